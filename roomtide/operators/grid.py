@@ -102,18 +102,13 @@ def with_weather(df: DataFrame, weather: DataFrame | None, freq: str = "15min")
     """Attach interpolated temperature; moments outside the weather series get its nearest end."""
     if weather is None:
         return df.withColumn("outside_temp", F.lit(None).cast("double"))
-    grid = weather_grid(weather, freq)
-    ends = normalize_weather(weather).agg(
-        F.struct(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi")).alias("e")
-    )
     step = seconds_of(freq)
-    lo, hi = bucket_scalar(ends, "lo", step), bucket_scalar(ends, "hi", step)
-    keyed = df.withColumn("_at", F.least(F.greatest(bucket("timestamp", step), lo), hi))
-    return keyed.join(grid.withColumnRenamed("timestamp", "_at"), "_at", "left").drop("_at")
-
-
-def bucket_scalar(ends: DataFrame, field: str, step: int):
-    return ends.select(bucket(F.col("e").getField(field), step)).scalar()
+    series = align(normalize_weather(weather), [], "outside_temp", step)
+    ends = series.agg(F.struct(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"))).scalar()
+    keyed = df.withColumn("_ends", ends).withColumn("_at", bucket("timestamp", step))
+    keyed = keyed.withColumn("_at", F.least(F.greatest("_at", "_ends.lo"), F.col("_ends.hi"))).drop("_ends")
+    grid = weather_grid(weather, freq).withColumnRenamed("timestamp", "_at")
+    return keyed.join(grid, "_at", "left").drop("_at")
 
 
 def impute_median(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:

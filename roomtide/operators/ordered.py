@@ -64,32 +64,40 @@ def _pick(freq: DataFrame, keys: Sequence[str], ranks: dict[str, Callable[[Colum
     return rows.groupBy(*keys).agg(*picked)
 
 
+def with_bins(freq: DataFrame, bounds: Column) -> DataFrame:
+    """Number of the equal-width bin of ``_v``; ``bounds`` has its smallest value and its span."""
+    lo, span = F.col("_bounds").getField("lo"), F.col("_bounds").getField("span")
+    usable = (span > 0) & (span < F.lit(float("inf")))
+    position = F.floor(F.try_divide(F.col("_v") - lo, span) * BINS)
+    number = F.when(usable, F.least(position, F.lit(BINS))).otherwise(F.lit(0))
+    return freq.withColumn("_bounds", bounds).withColumn("_bin", number).drop("_bounds")
+
+
 def percentiles(
     df: DataFrame,
     keys: Sequence[str],
     value: str | Column,
     probs: dict[str, float],
     weight: str | Column | None = None,
+    few_values: bool = False,
 ) -> DataFrame:
     """Exact percentiles with linear interpolation, per key.
 
     Equal values are counted together before anything is sorted, and the sort
     covers only the value bins in which a percentile lies, so a hot key is
     spread over as many tasks as it has distinct values. Nulls are ignored.
+    ``few_values`` says that a key has a small number of distinct values by its
+    nature (head counts); their counts then go to Spark's own ``percentile``.
     """
     value = as_col(value).cast("double")
     weight = F.lit(1) if weight is None else as_col(weight)
     rows = df.select(*keys, value.alias("_v"), weight.cast("bigint").alias("_w"))
     rows = rows.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    bounds = rows.agg(F.struct(F.min("_v").alias("lo"), F.max("_v").alias("hi")).alias("b")).scalar()
-    lo, span = bounds.getField("lo"), bounds.getField("hi") - bounds.getField("lo")
-    position = F.floor(F.try_divide(F.col("_v") - lo, span) * BINS)
-    usable = (span > 0) & (span < F.lit(float("inf")))
-    freq = (
-        rows.groupBy(*keys, "_v")
-        .agg(F.sum("_w").alias("_w"))
-        .withColumn("_bin", F.when(usable, F.least(position, F.lit(BINS))).otherwise(F.lit(0)))
-    )
+    if few_values:
+        counted = rows.groupBy(*keys, "_v").agg(F.sum("_w").alias("_w"))
+        return counted.groupBy(*keys).agg(*[F.percentile("_v", p, F.col("_w")).alias(name) for name, p in probs.items()])
+    bounds = rows.agg(F.struct(F.min("_v").alias("lo"), (F.max("_v") - F.min("_v")).alias("span"))).scalar()
+    freq = with_bins(rows.groupBy(*keys, "_v").agg(F.sum("_w").alias("_w")), bounds)
     ranks: dict[str, Callable[[Column], Column]] = {}
     for name, p in probs.items():
         ranks[f"{name}_lo"] = lambda n, p=p: F.floor((n - 1) * F.lit(p)).cast("bigint")
@@ -116,7 +124,7 @@ def chronological_split(
 
     Adds boolean ``is_train``. The moment of the last training row is found
     by counting rows per time bin and sorting only the bin that holds it, so no
-    key is sorted as a whole. Rows that share that moment are told apart by
+    key is sorted as a whole; it is kept in a written table with one row per key. Rows that share that moment are told apart by
     ``tie_breaker`` (a number, unique within a moment); without one they all
     count as training rows.
     """
@@ -131,27 +139,23 @@ def chronological_split(
         .withColumn("_bin", bucket("_v", bin_seconds))
     )
     cut = _pick(freq, keys, {"_cut": last_train})
-    cut = cut.select(*keys, "_cut", (last_train(F.col("_total")) - F.col("_cut_below")).alias("_cut_rank"))
+    cut = durable(cut.select(*keys, "_cut", (last_train(F.col("_total")) - F.col("_cut_below")).alias("_cut_rank")))
     if keys:
         marked = match(rows, cut, keys, "left")
     else:
         one = cut.select(F.struct("_cut", "_cut_rank")).scalar()
-        marked = rows.withColumn("_cut", one.getField("_cut")).withColumn("_cut_rank", one.getField("_cut_rank"))
+        marked = rows.withColumn("_c", one).select("*", "_c.*").drop("_c")
     before = F.col(ts) < F.col("_cut")
     same = F.col(ts) == F.col("_cut")
     if tie_breaker is None:
         is_train = before | same
         return marked.withColumn("is_train", F.coalesce(is_train, F.lit(False))).drop("_cut", "_cut_rank")
     tied = marked.where(same).withColumn("_t", F.col(tie_breaker).cast("double"))
-    low = tied.agg(F.min("_t")).scalar()
-    span = tied.agg(F.max("_t") - F.min("_t")).scalar()
-    tied = (
-        tied.groupBy(*keys, "_cut_rank", F.col("_t").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_w"))
-        .withColumn("_bin", F.when(span > 0, F.floor(F.try_divide(F.col("_v") - low, span) * BINS)).otherwise(F.lit(0)))
-    )
+    bounds = tied.agg(F.struct(F.min("_t").alias("lo"), (F.max("_t") - F.min("_t")).alias("span"))).scalar()
+    tied = tied.groupBy(*keys, "_cut_rank", F.col("_t").alias("_v")).agg(F.count(F.lit(1)).alias("_w"))
+    tied = with_bins(tied, bounds)
     # the rank within the tied rows differs per key, so it is part of the key
-    last = _pick_ranked(tied, keys)
+    last = durable(_pick_ranked(tied, keys))
     if keys:
         marked = match(marked, last, keys, "left")
     else:
@@ -173,8 +177,8 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], name:
     """Exact 1-based row number within each key, in ``order``; also ``<name>_total``.
 
     Rows are cut into range slices of about equal size, so one hot key fills
-    many slices. The slices are checkpointed: their borders come from a sample,
-    and the counting pass and the numbering pass must see the same ones.
+    many slices. The slices are written out first: their borders come from a
+    sample, and the counting pass and the numbering pass must see the same ones.
     ``order`` should identify a row within its key.
     """
     sliced = df.repartitionByRange(*[F.col(c) for c in [*keys, *order]])

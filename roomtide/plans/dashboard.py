@@ -34,7 +34,7 @@ def _percent(flag: Column) -> Column:
 
 def occupancy_kpis(occupancy: DataFrame, start=None, end=None) -> DataFrame:
     rows = occupancy.where(between("beginning", start, end))
-    median = percentiles(rows, [], "occupancy", {"m": 0.5}).select("m").scalar()
+    median = percentiles(rows, [], "occupancy", {"m": 0.5}, few_values=True).select("m").scalar()
     return rows.agg(
         _rows().alias("rows"),
         F.count_distinct("space_id").cast("int").alias("spaces"),
@@ -100,7 +100,7 @@ def heatmap_by(occupancy: DataFrame, how: str = "mean", space_id=None, start=Non
     )
     keys = ["day_of_week", "hour_of_day"]
     if how == "median":
-        cells = percentiles(rows, keys, "occupancy", {"occ": 0.5})
+        cells = percentiles(rows, keys, "occupancy", {"occ": 0.5}, few_values=True)
     elif how in ("mean", "max"):
         cells = rows.groupBy(*keys).agg((F.avg if how == "mean" else F.max)("occupancy").cast("double").alias("occ"))
     else:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from roomtide.functions.scalars import dow_mon0, epoch_micros, minute_of_day
 from roomtide.operators.ordered import percentiles
 from roomtide.plans.forecast import finish_forecast, model_rows
+from roomtide.session import durable
 
 DAILY_TERMS = 4
 WEEKLY_TERMS = 3
@@ -63,11 +64,14 @@ def solve_zone(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def fit_regression(train: DataFrame) -> DataFrame:
-    """``zone_id, coef, sigma, temp_mid, n``; missing temperatures take the zone's median."""
+    """``zone_id, coef, sigma, temp_mid, n``; missing temperatures take the zone's median.
+
+    The model (one row per zone) is written out, so predicting never refits.
+    """
     rows = model_rows(train)
     if "outside_temp" not in rows.columns:
         rows = rows.withColumn("outside_temp", F.lit(None).cast("double"))
-    middle = percentiles(rows, ["zone_id"], "outside_temp", {"temp_mid": 0.5})
+    middle = durable(percentiles(rows, ["zone_id"], "outside_temp", {"temp_mid": 0.5}))
     rows = rows.join(middle, "zone_id", "left").withColumn("temp_mid", F.coalesce("temp_mid", F.lit(0.0)))
     rows = rows.select(
         "zone_id", "temp_mid", dow_mon0("ds").alias("dow"), minute_of_day("ds").alias("minute"),
@@ -79,7 +83,7 @@ def fit_regression(train: DataFrame) -> DataFrame:
     sums = rows.groupBy("zone_id", "temp_mid", "dow", "minute").agg(
         F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(v).alias(k) for k, v in products.items()]
     )
-    return sums.groupBy("zone_id").applyInPandas(solve_zone, COEFFICIENTS)
+    return durable(sums.groupBy("zone_id").applyInPandas(solve_zone, COEFFICIENTS))
 
 
 def predict_regression(model: DataFrame, future: DataFrame) -> DataFrame:

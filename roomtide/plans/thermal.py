@@ -1,13 +1,15 @@
 """Occupancy inferred from air-handler temperatures, and setback planning.
 
 Data-dependent scalars (threshold, sampling step, newest moment, spread) enter
-the plan as scalar subqueries: Spark evaluates each once and ships the value
-like a literal, so nothing is collected and nothing is cross-joined.
+the plan as scalar subqueries over one-row tables, so nothing is collected and
+nothing is cross-joined. The threshold and the step, which most tables need,
+are computed once per study and written out.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -18,6 +20,7 @@ from roomtide.operators.canonical import last_days
 from roomtide.operators.grid import expand_slots
 from roomtide.operators.ordered import chronological_split, percentiles, runs
 from roomtide.operators.series import step_hours, thin
+from roomtide.session import durable
 
 # Status code of an occupied air handler, number of candidate
 # thresholds, smallest spread of the logistic curve, probability limits.
@@ -79,24 +82,24 @@ def select_threshold(train: DataFrame, delta: str = "cooling_delta_f", target: s
     candidate then follows from cumulative sums over at most 301 rows. The
     first of equally good candidates wins.
     """
-    q = percentiles(train, [], delta, {"lo": 0.01, "hi": 0.99}).select(F.struct("lo", "hi")).scalar()
-    lo, hi, last = q.getField("lo"), q.getField("hi"), CANDIDATES - 1
-    step = (hi - lo) / F.lit(float(last))
+    last = CANDIDATES - 1
+    q = percentiles(train, [], delta, {"lo": 0.01, "hi": 0.99})
+    q = q.select(F.struct("lo", "hi", ((F.col("hi") - F.col("lo")) / F.lit(float(last))).alias("step"))).scalar()
 
     def candidate(i: Column) -> Column:
-        return F.when(i == last, hi).otherwise(lo + i.cast("double") * step)
+        return F.when(i == last, F.col("_q.hi")).otherwise(F.col("_q.lo") + i.cast("double") * F.col("_q.step"))
 
     # Arithmetic gives the candidate next to the value up to rounding; the exact
     # comparisons around it settle the count.
-    x = F.col(delta)
-    guess = F.coalesce(F.floor(F.try_divide(x - lo, step)), F.lit(0))
-    guess = F.least(F.greatest(guess, F.lit(0)), F.lit(last)).cast("bigint")
-    first = F.greatest(guess - 1, F.lit(0))
-    reached = first
+    x = F.col("_x")
+    rows = train.select(F.col(delta).alias("_x"), F.col(target).alias("t")).withColumn("_q", q)
+    guess = F.coalesce(F.floor(F.try_divide(x - F.col("_q.lo"), F.col("_q.step"))), F.lit(0))
+    rows = rows.withColumn("_first", F.greatest(F.least(guess, F.lit(last)) - 1, F.lit(0)).cast("bigint"))
+    reached = F.col("_first")
     for shift in range(4):
-        i = first + shift
+        i = F.col("_first") + shift
         reached = reached + F.when((i <= last) & (x >= candidate(i)), 1).otherwise(0)
-    counts = train.select(reached.alias("reached"), F.col(target).alias("t")).groupBy("reached").agg(
+    counts = rows.select(reached.alias("reached"), "t").groupBy("reached").agg(
         tally(F.col("t")).alias("pos"), tally(~F.col("t")).alias("neg")
     )
     ladder = train.sparkSession.range(CANDIDATES + 1).select(F.col("id").alias("reached"))
@@ -114,44 +117,56 @@ def select_threshold(train: DataFrame, delta: str = "cooling_delta_f", target: s
     best = scored.withColumn("balanced_accuracy", (recall + specificity) / 2).agg(
         F.min(F.struct((-F.col("balanced_accuracy")).alias("s"), "i")).alias("b")
     )
-    return best.select(candidate(F.col("b.i")).alias("threshold_f"), (-F.col("b.s")).alias("balanced_accuracy"))
+    return best.withColumn("_q", q).select(
+        candidate(F.col("b.i")).alias("threshold_f"), (-F.col("b.s")).alias("balanced_accuracy")
+    )
 
 
-@dataclass
 class ThermalStudy:
-    """All report tables of one building, as lazy DataFrames over one raw frame."""
-
-    raw: DataFrame
-    settings: ThermalSettings = field(default_factory=ThermalSettings)
-    tie_breaker: str | None = None
-
-    def __post_init__(self) -> None:
-        keep = (self.tie_breaker,) if self.tie_breaker else ()
-        self.signal = signal(self.raw, keep)
-        self.step = step_hours(self.signal, "timestamp")
-        split = chronological_split(
-            self.signal, [], "timestamp", self.settings.train_ratio, self.tie_breaker, at_least=1
+    """All report tables of one building over one raw frame."""
+
+    def __init__(self, raw: DataFrame, settings: ThermalSettings = ThermalSettings(), tie_breaker: str | None = None):
+        self.raw, self.settings, self.tie_breaker = raw, settings, tie_breaker
+        self.signal = signal(raw, (tie_breaker,) if tie_breaker else ())
+
+    @cached_property
+    def prepared(self) -> DataFrame:
+        """The signal, parsed once and written as a typed table for the passes below."""
+        return durable(self.signal)
+
+    @cached_property
+    def split(self) -> DataFrame:
+        return chronological_split(
+            self.prepared, [], "timestamp", self.settings.train_ratio, self.tie_breaker, at_least=1
         )
-        self.threshold = select_threshold(split.where("is_train"))
-        limit = self.threshold.select("threshold_f").scalar()
-        self.classified = split.withColumn("occupied_pred", F.col("cooling_delta_f") >= limit)
 
-    @property
-    def step_value(self) -> Column:
-        return self.step.scalar()
+    @cached_property
+    def threshold(self) -> DataFrame:
+        """One row: ``threshold_f, balanced_accuracy``, found on the training part."""
+        return durable(select_threshold(self.split.where("is_train")))
+
+    @cached_property
+    def step(self) -> DataFrame:
+        """One row: ``step_hours``."""
+        return durable(step_hours(self.prepared, "timestamp"))
 
-    @property
-    def step_micros(self) -> Column:
-        """Sampling step in whole microseconds."""
-        return self.step.select(F.rint(F.col("step_hours") * 3600.0 * 1e6).cast("bigint")).scalar()
+    @cached_property
+    def classified(self) -> DataFrame:
+        limit = self.threshold.select("threshold_f").scalar()
+        return self.split.withColumn("occupied_pred", F.col("cooling_delta_f") >= limit)
+
+    def with_step(self, df: DataFrame) -> DataFrame:
+        """Attach the sampling step: ``_step`` in hours and ``_step_us`` in whole microseconds."""
+        micros = F.rint(F.col("step_hours") * 3600.0 * 1e6).cast("bigint")
+        step = self.step.select(F.struct(F.col("step_hours").alias("_step"), micros.alias("_step_us"))).scalar()
+        return df.withColumn("_s", step).select("*", "_s.*").drop("_s")
 
     def with_opportunity(self) -> DataFrame:
         s = self.settings
         idle = ~F.col("occupied_pred") & (F.col("hvac_kw") >= float(s.opportunity_kw))
-        saved = F.col("hvac_kw") * self.step_value * float(s.setback_reduction)
-        return self.classified.withColumn("opportunity", idle).withColumn(
-            "avoidable_kwh", F.when(idle, saved).otherwise(F.lit(0.0))
-        )
+        saved = F.col("hvac_kw") * F.col("_step") * float(s.setback_reduction)
+        rows = self.with_step(self.classified).withColumn("opportunity", idle)
+        return rows.withColumn("avoidable_kwh", F.when(idle, saved).otherwise(F.lit(0.0)))
 
     def metrics(self) -> DataFrame:
         """Confusion metrics for ``train``, ``test`` and ``all``; an empty test part repeats ``train``."""
@@ -199,17 +214,20 @@ class ThermalStudy:
 
     def forecast(self) -> DataFrame:
         """Expected load, occupancy probability and setback advice per future step."""
+        return self._forecast().drop("_step", "_step_us")
+
+    def _forecast(self) -> DataFrame:
         s = self.settings
-        newest = self.signal.agg(F.max("timestamp").alias("_last"))
-        steps = F.greatest(F.rint(F.lit(float(s.forecast_hours)) / self.step_value), F.lit(1.0)).cast("bigint")
-        span = newest.where(F.col("_last").isNotNull()).select(
-            after("_last", self.step_micros).alias("_start"), steps.alias("_n")
+        newest = self.with_step(self.prepared.agg(F.max("timestamp").alias("_last")).where(F.col("_last").isNotNull()))
+        steps = F.greatest(F.rint(F.lit(float(s.forecast_hours)) / F.col("_step")), F.lit(1.0)).cast("bigint")
+        span = newest.select(
+            after("_last", F.col("_step_us")).alias("_start"), steps.alias("_n"), "_step", "_step_us"
         )
-        grid = expand_slots(span, "_start", "_n", self.step_micros).select("slot", "timestamp")
+        grid = expand_slots(span, "_start", "_n", F.col("_step_us")).drop("_start", "_n")
         grid = grid.withColumns({"day_of_week": dow_mon0("timestamp"), "hour": hour_of("timestamp")})
         # the weekly profile has at most 168 rows
         rows = grid.join(F.broadcast(self.weekly_profile()), ["day_of_week", "hour"], "left")
-        spread = self.signal.agg(F.greatest(F.stddev_samp("cooling_delta_f") / 4.0, F.lit(MIN_SPREAD))).scalar()
+        spread = self.prepared.agg(F.greatest(F.stddev_samp("cooling_delta_f") / 4.0, F.lit(MIN_SPREAD))).scalar()
         limit = self.threshold.select("threshold_f").scalar()
         z = (F.col("expected_cooling_delta_f") - limit) / spread
         low, high = PROBABILITY_RANGE
@@ -222,14 +240,14 @@ class ThermalStudy:
             F.col("expected_hvac_kw") >= float(s.opportunity_kw)
         )
         rows = rows.withColumn("setback_recommended", F.coalesce(advise, F.lit(False)))
-        saved = F.col("expected_hvac_kw") * self.step_value * float(s.setback_reduction)
+        saved = F.col("expected_hvac_kw") * F.col("_step") * float(s.setback_reduction)
         return rows.withColumn(
             "projected_savings_kwh", F.when(F.col("setback_recommended"), saved).otherwise(F.lit(0.0))
         )
 
     def windows(self, top: int = 10) -> DataFrame:
         """The ``top`` setback windows by projected savings, earlier start first on ties."""
-        return setback_windows(self.forecast(), self.step_value, self.step_micros, top)
+        return setback_windows(self._forecast(), top)
 
     def summary(self) -> DataFrame:
         delta, there = F.col("cooling_delta_f"), F.col("occupied_actual")
@@ -239,19 +257,17 @@ class ThermalStudy:
             F.avg(F.when(there, delta)).alias("occupied_delta_mean_f"),
             F.avg(F.when(~there, delta)).alias("unoccupied_delta_mean_f"),
         )
-        return one.withColumn("step_minutes", self.step_value * 60.0)
+        rows = self.with_step(one)
+        return rows.withColumn("step_minutes", F.col("_step") * 60.0).drop("_step", "_step_us")
 
     def historical(self) -> DataFrame:
         one = self.with_opportunity().agg(
-            tally(F.col("opportunity")).alias("n"),
+            (tally(F.col("opportunity")) * F.max("_step")).alias("opportunity_hours"),
             F.sum("avoidable_kwh").alias("estimated_avoidable_kwh"),
             share(F.col("opportunity")).alias("opportunity_rate"),
-            F.sum("hvac_kw").alias("kw"),
-        )
-        return one.select(
-            (F.col("n") * self.step_value).alias("opportunity_hours"), "estimated_avoidable_kwh", "opportunity_rate",
-            (F.col("kw") * self.step_value).alias("total_hvac_energy_kwh"),
+            (F.sum("hvac_kw") * F.max("_step")).alias("total_hvac_energy_kwh"),
         )
+        return one
 
     def report(self) -> dict[str, DataFrame]:
         """Report sections by name, for ``sinks.write_sections``."""
@@ -280,21 +296,23 @@ def confusion_metrics(counts: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def setback_windows(forecast: DataFrame, step: Column, step_micros: Column, top: int = 10) -> DataFrame:
-    """Runs of recommended setback, longest savings first.
+def setback_windows(forecast: DataFrame, top: int = 10) -> DataFrame:
+    """Runs of recommended setback, largest savings first.
 
-    ``forecast`` is numbered without holes by ``slot``.
+    ``forecast`` is numbered without holes by ``slot`` and carries the step as
+    ``_step`` (hours) and ``_step_us`` (microseconds).
     """
-    found = runs(
-        forecast, [], "slot", "setback_recommended",
-        ["projected_savings_kwh", "expected_hvac_kw", "occ_prob_from_temp"],
-    )
-    start = forecast.agg(F.min(F.struct("slot", "timestamp"))).scalar()
-    offset = (F.col("first_slot") - start.getField("slot")) * step_micros
-    begin = after(start.getField("timestamp"), offset)
+    sums = ["projected_savings_kwh", "expected_hvac_kw", "occ_prob_from_temp"]
+    found = runs(forecast, [], "slot", "setback_recommended", sums)
+    origin = forecast.agg(
+        F.min(F.struct("slot", "timestamp", "_step", "_step_us"))
+    ).scalar()
+    found = found.withColumn("_o", origin)
+    step, micros = F.col("_o._step"), F.col("_o._step_us")
+    offset = (F.col("first_slot") - F.col("_o.slot")) * micros
     rows = found.select(
-        begin.alias("start"),
-        after(start.getField("timestamp"), offset + F.col("length") * step_micros).alias("end"),
+        after("_o.timestamp", offset).alias("start"),
+        after("_o.timestamp", offset + F.col("length") * micros).alias("end"),
         (F.col("length") * step).alias("duration_hours"),
         F.col("projected_savings_kwh_sum").alias("projected_savings_kwh"),
         F.try_divide("expected_hvac_kw_sum", "expected_hvac_kw_n").alias("mean_hvac_kw"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,18 +41,25 @@ def local_session(cores: int | str = 8, app: str = "roomtide", memory: str = "8g
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a checkpoint in the cluster's shared folder.
+    """Write ``df`` as a table in the cluster's shared folder and read it back.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a local master
-    without that setting gets a temporary folder.
+    This cuts the lineage: a lost executor costs a re-read, not a re-run. The
+    folder is the session's ``spark.checkpoint.dir``; only a local master
+    without that setting gets a temporary folder. Unlike an RDD checkpoint the
+    table is columnar and has statistics, so later passes read only the columns
+    they need and the optimizer knows its size.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="roomtide-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = f"{shared_folder(spark)}/roomtide/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="roomtide-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder

@@ -20,9 +20,12 @@ class Demo:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._open: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return open_parquet(self.spark, self.folder, name)
+        if name not in self._open:
+            self._open[name] = open_parquet(self.spark, self.folder, name)
+        return self._open[name]
 
     @property
     def events(self) -> DataFrame:
