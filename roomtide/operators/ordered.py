@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from roomtide.functions.scalars import as_col, bucket
 from roomtide.session import durable
@@ -237,6 +237,16 @@ def slot_lags(
     return lagged.where("_own").drop("_own", "_block")
 
 
+def so_far(ordered: WindowSpec, skip: int) -> WindowSpec:
+    """Frame from the start up to ``skip`` rows before the current one.
+
+    Looking ahead uses this frame on the reversed order: Spark keeps a running
+    value for it, while a frame that ends at the last row is evaluated anew for
+    every row.
+    """
+    return ordered.rowsBetween(Window.unboundedPreceding, -skip)
+
+
 def neighbours(
     df: DataFrame,
     keys: Sequence[str],
@@ -252,12 +262,11 @@ def neighbours(
     """
     reach = 0 if inclusive else 1
     rows = df.withColumn("_val", value).withColumn("_chunk", chunk)
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(order)
-    rows = rows.withColumn(
-        "_prev", F.last("_val", True).over(inside.rowsBetween(Window.unboundedPreceding, -reach))
-    ).withColumn("_next", F.first("_val", True).over(inside.rowsBetween(reach, Window.unboundedFollowing)))
+    inside = Window.partitionBy(*keys, "_chunk")
+    rows = rows.withColumn("_prev", F.last("_val", True).over(so_far(inside.orderBy(order), reach)))
+    rows = rows.withColumn("_next", F.last("_val", True).over(so_far(inside.orderBy(F.desc(order)), reach)))
     present = F.col("_val").isNotNull()
-    across = Window.partitionBy(*keys).orderBy("_chunk")
+    across = Window.partitionBy(*keys)
     borders = (
         df.withColumn("_val", value)
         .withColumn("_chunk", chunk)
@@ -269,8 +278,8 @@ def neighbours(
         .select(
             *keys,
             "_chunk",
-            F.last("_tail", True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_from_left"),
-            F.first("_head", True).over(across.rowsBetween(1, Window.unboundedFollowing)).alias("_from_right"),
+            F.last("_tail", True).over(so_far(across.orderBy("_chunk"), 1)).alias("_from_left"),
+            F.last("_head", True).over(so_far(across.orderBy(F.desc("_chunk")), 1)).alias("_from_right"),
         )
     )
     return (

@@ -94,7 +94,7 @@ def step_hours(df: DataFrame, ts: str, default: float = 0.25) -> DataFrame:
     times adds ``n - 1`` distances of zero.
     """
     moments = df.where(F.col(ts).isNotNull()).groupBy(F.col(ts).alias("_ts")).agg(F.count(F.lit(1)).alias("_n"))
-    following = neighbours(moments, [], "_ts", F.col("_ts"), F.to_date("_ts"), inclusive=False)
+    following = neighbours(moments, [], "_ts", F.col("_ts"), bucket("_ts", HOUR), inclusive=False)
     seconds = (epoch_micros("_next") - epoch_micros("_ts")) / F.lit(1_000_000)
     gap = F.struct(seconds.alias("gap"), F.lit(1).cast("bigint").alias("n"))
     repeats = F.struct(F.lit(0.0).alias("gap"), (F.col("_n") - 1).cast("bigint").alias("n"))

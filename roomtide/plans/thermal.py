@@ -52,7 +52,7 @@ def signal(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     def mean_of(a: Column, b: Column) -> Column:
         return F.coalesce((a + b) / 2, a, b)
 
-    parsed = raw.select(
+    readings = F.struct(
         to_moment("timestamp").alias("timestamp"),
         (occupied("occ_ahu1") | occupied("occ_ahu2")).alias("occupied_actual"),
         *[
@@ -61,7 +61,10 @@ def signal(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         ],
         first_number("hvac_power_kw").alias("kw"),
         *keep,
-    ).where(F.col("timestamp").isNotNull())
+    )
+    # as a generated row the parsed readings are evaluated once; a plain
+    # projection would be repeated inside the null filter below
+    parsed = raw.select(F.inline(F.array(readings))).where(F.col("timestamp").isNotNull())
     delta1, delta2 = F.col("return1") - F.col("supply1"), F.col("return2") - F.col("supply2")
     return parsed.select(
         "timestamp", "occupied_actual",
@@ -134,6 +137,11 @@ class ThermalStudy:
         """The signal, parsed once and written as a typed table for the passes below."""
         return durable(self.signal)
 
+    @property
+    def rows(self) -> DataFrame:
+        """The written table where a pass has needed it already, else the signal itself."""
+        return self.__dict__.get("prepared", self.signal)
+
     @cached_property
     def split(self) -> DataFrame:
         return chronological_split(
@@ -200,7 +208,7 @@ class ThermalStudy:
 
     def weekly_profile(self) -> DataFrame:
         keys = [dow_mon0("timestamp").alias("day_of_week"), hour_of("timestamp").alias("hour")]
-        return self.signal.groupBy(*keys).agg(
+        return self.rows.groupBy(*keys).agg(
             F.avg("cooling_delta_f").alias("expected_cooling_delta_f"),
             F.avg("hvac_kw").alias("expected_hvac_kw"),
             share(F.col("occupied_actual")).alias("occupancy_rate_actual"),
@@ -251,7 +259,7 @@ class ThermalStudy:
 
     def summary(self) -> DataFrame:
         delta, there = F.col("cooling_delta_f"), F.col("occupied_actual")
-        one = self.signal.agg(
+        one = self.prepared.agg(
             F.count(F.lit(1)).cast("bigint").alias("rows"),
             F.min("timestamp").alias("start"), F.max("timestamp").alias("end"),
             F.avg(F.when(there, delta)).alias("occupied_delta_mean_f"),
