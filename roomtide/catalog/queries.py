@@ -34,13 +34,18 @@ def tidy(df: DataFrame, places: int = 6) -> DataFrame:
     return df.select(*[round_to(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def query(build: Callable[[Demo], DataFrame]) -> Callable[[Demo], DataFrame]:
-    """Register ``build`` under its own name."""
-    def run(spark: SparkSession, folder: str) -> DataFrame:
-        return tidy(build(Demo(tune(spark), folder)))
+def query(name: str | Callable[[Demo], DataFrame]):
+    """Register a function under its own name, or under the name given."""
+    def register(build: Callable[[Demo], DataFrame], key: str) -> Callable[[Demo], DataFrame]:
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            return tidy(build(Demo(tune(spark), folder)))
 
-    QUERIES[build.__name__] = run
-    return build
+        QUERIES[key] = run
+        return build
+
+    if callable(name):
+        return register(name, name.__name__)
+    return lambda build: register(build, name)
 
 
 # --- sources ----------------------------------------------------------------
@@ -53,22 +58,16 @@ def scan_project_filter_limit(d: Demo) -> DataFrame:
     )
 
 
-@query
+@query("occupancy_source")
 def occupancy_source_zone(d: Demo) -> DataFrame:
     return occupancy_source(d.space_occ, "7")
 
 
-QUERIES["occupancy_source"] = QUERIES.pop("occupancy_source_zone")
-
-
-@query
+@query("weather_source")
 def weather_source_rows(d: Demo) -> DataFrame:
     return weather_source(d.weather)
 
 
-QUERIES["weather_source"] = QUERIES.pop("weather_source_rows")
-
-
 @query
 def schema_dictionary(d: Demo) -> DataFrame:
     tables = {name: d.table(name) for name in TABLES}
@@ -246,7 +245,7 @@ def merge_occupancy_hvac(d: Demo) -> DataFrame:
 
 @query
 def merge_occupancy_hvac_left(d: Demo) -> DataFrame:
-    running = d.hvac_state.where(F.col("hvac_mode") != "Off")
+    running = d.hvac_state.where(F.col("hvac_mode") != "Off")  # leaves buckets without a partner
     return merge.merge_occupancy_equipment(d.occ, running, how="left")
 
 
@@ -303,14 +302,11 @@ def hourly_features(d: Demo) -> DataFrame:
     return series.hourly_features(hourly, d.weather).drop("slot", "slots")
 
 
-@query
+@query("chronological_split")
 def split_rows(d: Demo) -> DataFrame:
     return chronological_split(canonical.normalize_occupancy(d.occ), ["zone_id"], "timestamp", 0.8)
 
 
-QUERIES["chronological_split"] = QUERIES.pop("split_rows")
-
-
 @query
 def infer_step_hours(d: Demo) -> DataFrame:
     return series.step_hours(d.occ, "timestamp")

@@ -110,6 +110,15 @@ def day_window(start_day: date | str, end_day: date | str, half_open: bool = Fal
     return moment(start_day), end if half_open else end - timedelta(seconds=1)
 
 
+def chosen_days(value, first_day: date, last_day: date) -> tuple[date, date]:
+    """Day range from a user's choice: a pair (either part may be missing), one day, or nothing."""
+    if isinstance(value, (tuple, list)) and len(value) == 2:
+        return value[0] or first_day, value[1] or last_day
+    if isinstance(value, date):
+        return value, value
+    return first_day, last_day
+
+
 def day_bounds(df: DataFrame, ts: str) -> DataFrame:
     """One row: first and last day with data, today when there is none."""
     return df.agg(

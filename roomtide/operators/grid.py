@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from roomtide.functions.scalars import (
     after, bucket, dow_mon0, epoch_micros, hour_of, non_negative, seconds_of, weekend,
 )
-from roomtide.operators.canonical import normalize_occupancy, normalize_weather
+from roomtide.operators.canonical import normalize_occupancy, normalize_weather, occupancy_rows
 from roomtide.operators.ordered import BLOCK, neighbours, percentiles, slot_lags
 
 DEFAULT_LAGS = (1, 4, 96)
@@ -19,11 +19,15 @@ def expand_slots(spans: DataFrame, start: str, slots: str, step_micros) -> DataF
     """One row per slot: ``slot`` from 0 to ``slots - 1`` and its ``timestamp``.
 
     Expansion goes block by block, so no row ever carries a whole zone's grid.
+    The spans are few and small, which would leave their expansion to one task;
+    the blocks are therefore spread over all shuffle partitions first.
     """
     last = F.col(slots) - 1
     blocks = spans.where(last >= 0).withColumn(
         "_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(last / BLOCK).cast("bigint")))
     )
+    tasks = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = blocks.repartition(tasks, *spans.columns, "_b")
     first = F.col("_b") * BLOCK
     rows = blocks.withColumn("slot", F.explode(F.sequence(first, F.least(first + (BLOCK - 1), last)))).drop("_b")
     return rows.withColumn("timestamp", after(start, F.col("slot") * step_micros))
@@ -34,11 +38,22 @@ def align(series: DataFrame, keys: Sequence[str], value: str, step: int) -> Data
     return series.groupBy(bucket("timestamp", step).alias("timestamp"), *keys).agg(F.avg(value).alias(value))
 
 
-def zone_spans(series: DataFrame, freq: str) -> DataFrame:
-    """Per zone: first grid point and number of grid points up to its last row."""
-    step = seconds_of(freq) * 1_000_000
-    spans = series.groupBy("zone_id").agg(F.min("timestamp").alias("grid_start"), F.max("timestamp").alias("_end"))
-    slots = F.floor((epoch_micros("_end") - epoch_micros("grid_start")) / F.lit(step)).cast("bigint") + 1
+def zone_spans(
+    occupancy: DataFrame, freq: str, align_mode: str = "floor", zone_id: str | None = None
+) -> DataFrame:
+    """Per zone: first grid point and number of grid points up to its last row.
+
+    Works on the raw rows: the ends of a series do not depend on collapsing
+    duplicates, so this pass shuffles one row per zone and task only.
+    """
+    step = seconds_of(freq)
+    spans = occupancy_rows(occupancy, zone_id).groupBy("zone_id").agg(
+        F.min("timestamp").alias("grid_start"), F.max("timestamp").alias("_end")
+    )
+    if align_mode == "floor":
+        spans = spans.withColumn("grid_start", bucket("grid_start", step)).withColumn("_end", bucket("_end", step))
+    distance = epoch_micros("_end") - epoch_micros("grid_start")
+    slots = F.floor(distance / F.lit(step * 1_000_000)).cast("bigint") + 1
     return spans.select("zone_id", "grid_start", slots.alias("slots"))
 
 
@@ -61,7 +76,8 @@ def dense_grid(
     grid point. ``slot`` numbers the grid points, ``slots`` is their count.
     """
     series = series_on_freq(occupancy, freq, align_mode, zone_id)
-    grid = expand_slots(zone_spans(series, freq), "grid_start", "slots", F.lit(seconds_of(freq) * 1_000_000))
+    spans = zone_spans(occupancy, freq, align_mode, zone_id)
+    grid = expand_slots(spans, "grid_start", "slots", F.lit(seconds_of(freq) * 1_000_000))
     return grid.drop("grid_start").join(series, ["zone_id", "timestamp"], "left").select(
         "zone_id", "timestamp", "slot", "slots", non_negative("occupancy_count").alias("occupancy_count")
     )

@@ -16,7 +16,7 @@ from roomtide.functions.scalars import as_col, bucket
 from roomtide.session import durable
 
 BLOCK = 8192
-BINS = 1024
+BINS_PER_DOUBLING = 4096
 
 
 def match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -64,13 +64,15 @@ def _pick(freq: DataFrame, keys: Sequence[str], ranks: dict[str, Callable[[Colum
     return rows.groupBy(*keys).agg(*picked)
 
 
-def with_bins(freq: DataFrame, bounds: Column) -> DataFrame:
-    """Number of the equal-width bin of ``_v``; ``bounds`` has its smallest value and its span."""
-    lo, span = F.col("_bounds").getField("lo"), F.col("_bounds").getField("span")
-    usable = (span > 0) & (span < F.lit(float("inf")))
-    position = F.floor(F.try_divide(F.col("_v") - lo, span) * BINS)
-    number = F.when(usable, F.least(position, F.lit(BINS))).otherwise(F.lit(0))
-    return freq.withColumn("_bounds", bounds).withColumn("_bin", number).drop("_bounds")
+def with_bins(freq: DataFrame) -> DataFrame:
+    """Bin number of ``_v`` on a logarithmic scale, 4096 bins per doubling.
+
+    The scale is fixed, so it takes no pass over the data to set it up, and
+    a few wild readings cannot squeeze all others into one bin.
+    """
+    size = F.floor(F.log2(F.abs("_v") * 2.0**20 + 1.0) * BINS_PER_DOUBLING)
+    capped = F.when(F.abs("_v") > 1e300, F.lit(2000 * BINS_PER_DOUBLING)).otherwise(size).cast("bigint")
+    return freq.withColumn("_bin", F.when(F.col("_v") < 0, -capped).otherwise(capped))
 
 
 def percentiles(
@@ -96,8 +98,7 @@ def percentiles(
     if few_values:
         counted = rows.groupBy(*keys, "_v").agg(F.sum("_w").alias("_w"))
         return counted.groupBy(*keys).agg(*[F.percentile("_v", p, F.col("_w")).alias(name) for name, p in probs.items()])
-    bounds = rows.agg(F.struct(F.min("_v").alias("lo"), (F.max("_v") - F.min("_v")).alias("span"))).scalar()
-    freq = with_bins(rows.groupBy(*keys, "_v").agg(F.sum("_w").alias("_w")), bounds)
+    freq = with_bins(rows.groupBy(*keys, "_v").agg(F.sum("_w").alias("_w")))
     ranks: dict[str, Callable[[Column], Column]] = {}
     for name, p in probs.items():
         ranks[f"{name}_lo"] = lambda n, p=p: F.floor((n - 1) * F.lit(p)).cast("bigint")
@@ -151,9 +152,7 @@ def chronological_split(
         is_train = before | same
         return marked.withColumn("is_train", F.coalesce(is_train, F.lit(False))).drop("_cut", "_cut_rank")
     tied = marked.where(same).withColumn("_t", F.col(tie_breaker).cast("double"))
-    bounds = tied.agg(F.struct(F.min("_t").alias("lo"), (F.max("_t") - F.min("_t")).alias("span"))).scalar()
-    tied = tied.groupBy(*keys, "_cut_rank", F.col("_t").alias("_v")).agg(F.count(F.lit(1)).alias("_w"))
-    tied = with_bins(tied, bounds)
+    tied = with_bins(tied.groupBy(*keys, "_cut_rank", F.col("_t").alias("_v")).agg(F.count(F.lit(1)).alias("_w")))
     # the rank within the tied rows differs per key, so it is part of the key
     last = durable(_pick_ranked(tied, keys))
     if keys:

@@ -41,19 +41,19 @@ def split_hourly(features: DataFrame, train_ratio: float, holdout: float) -> Dat
 
 def train_trees(
     features: DataFrame, train_ratio: float = 0.8, holdout: float = 0.1, rounds: int = 1000,
-    learning_rate: float = 0.05, depth: int = 6, seed: int = 7,
+    learning_rate: float = 0.05, depth: int = 6, tolerance: float = 0.001, seed: int = 7,
 ) -> TreeForecast:
     """Fit on the first part of the series and predict the rest.
 
-    Training stops before ``rounds`` trees when the validation error no
-    longer improves.
+    Training stops before ``rounds`` trees once a tree improves the validation
+    error by less than ``tolerance``.
     """
     rows = split_hourly(features, train_ratio, holdout)
     inputs = [c for c in features.columns if c not in NOT_FEATURES]
     known = rows.where(F.col("part") != "test").withColumn("is_validation", F.col("part") == "validate")
     trees = GBTRegressor(
         labelCol=TARGET, featuresCol="inputs", maxIter=rounds, stepSize=learning_rate, maxDepth=depth,
-        validationIndicatorCol="is_validation", validationTol=0.01, seed=seed,
+        validationIndicatorCol="is_validation", validationTol=tolerance, seed=seed,
     )
     model = Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="inputs"), trees]).fit(known)
     tested = model.transform(rows.where(F.col("part") == "test"))

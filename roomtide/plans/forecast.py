@@ -16,7 +16,6 @@ from roomtide.functions.scalars import (
 )
 from roomtide.operators.canonical import moment, moment_lit
 from roomtide.operators.grid import DEFAULT_LAGS, dense_grid, expand_slots, zone_spans
-from roomtide.operators.grid import series_on_freq
 from roomtide.operators.ordered import percentiles
 
 OCCUPIED_FROM = 1.0
@@ -222,7 +221,7 @@ def backtest_zones(
     ``insufficient_data``, because the metrics start from the list of zones.
     """
     keep = 1.0 - test_ratio
-    spans = zone_spans(series_on_freq(occupancy, freq, align_mode), freq)
+    spans = zone_spans(occupancy, freq, align_mode)
     n = F.greatest(F.col("slots") - warmup, F.lit(0))
     usable = (F.col("cut") >= 1) & (F.col("cut") < F.col("n"))
     zones = spans.select("zone_id", n.alias("n")).withColumn("cut", cut_at("n", keep)).withColumn("usable", usable)

@@ -98,3 +98,10 @@ def test_day_window_and_bounds(spark, at):
     assert tuple(canonical.day_bounds(df, "t").first()) == (date(2025, 1, 1), date(2025, 1, 3))
     empty = canonical.day_bounds(df.limit(0), "t").first()
     assert empty.first_day == empty.last_day and empty.first_day is not None
+
+
+def test_chosen_days():
+    first, last, one = date(2025, 1, 1), date(2025, 1, 31), date(2025, 1, 7)
+    assert canonical.chosen_days((one, None), first, last) == (one, last)
+    assert canonical.chosen_days(one, first, last) == (one, one)
+    assert canonical.chosen_days(None, first, last) == (first, last)
