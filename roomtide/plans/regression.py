@@ -9,6 +9,8 @@ sums per zone at one-minute steps), whatever the number of training rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -25,6 +27,7 @@ BAND = 1.2815515655446004  # 80 % of a normal distribution lies within this many
 YEAR_MICROS = 365.25 * 86400 * 1e6
 EPOCH_2020 = 1_577_836_800_000_000
 
+SUMS = ["n", "t", "x", "tt", "xx", "tx", "y", "ty", "xy", "yy"]
 COEFFICIENTS = "zone_id string, coef array<double>, sigma double, temp_mid double, n bigint"
 
 
@@ -36,31 +39,41 @@ def _years(ds: Column | str) -> Column:
     return (epoch_micros(ds) - F.lit(EPOCH_2020)) / F.lit(YEAR_MICROS)
 
 
-def solve_zone(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Normal equations of one zone from its per-slot sums."""
-    pdf = pdf.sort_values(["dow", "minute"])
-    minute_of_week = pdf["dow"].to_numpy() * DAY + pdf["minute"].to_numpy()
-    waves = [np.ones(len(pdf))]
-    for period, k in _angles():
-        waves += [np.sin(2 * np.pi * k * minute_of_week / period), np.cos(2 * np.pi * k * minute_of_week / period)]
-    phi = np.stack(waves, axis=1)
-    s = {c: pdf[c].to_numpy(dtype=float) for c in ("n", "t", "x", "tt", "xx", "tx", "y", "ty", "xy", "yy")}
-    p = phi.shape[1]
-    gram = np.zeros((p + 2, p + 2))
-    gram[:p, :p] = phi.T @ (phi * s["n"][:, None])
-    gram[:p, p] = gram[p, :p] = phi.T @ s["t"]
-    gram[:p, p + 1] = gram[p + 1, :p] = phi.T @ s["x"]
-    gram[p, p], gram[p + 1, p + 1] = s["tt"].sum(), s["xx"].sum()
-    gram[p, p + 1] = gram[p + 1, p] = s["tx"].sum()
-    moment = np.concatenate([phi.T @ s["y"], [s["ty"].sum(), s["xy"].sum()]])
-    coef, _, rank, _ = np.linalg.lstsq(gram, moment, rcond=1e-12)
-    n = s["n"].sum()
-    rss = max(s["yy"].sum() - 2 * coef @ moment + coef @ gram @ coef, 0.0)
-    sigma = float(np.sqrt(rss / max(n - rank, 1)))
-    return pd.DataFrame({
-        "zone_id": [pdf["zone_id"].iloc[0]], "coef": [coef.tolist()], "sigma": [sigma],
-        "temp_mid": [float(pdf["temp_mid"].iloc[0])], "n": [int(n)],
-    })
+def zone_solver() -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Function that solves the normal equations of one zone from its per-slot sums.
+
+    It is a closure over plain values, so executors need numpy and pandas but
+    not this package.
+    """
+    angles, day, sums = _angles(), DAY, SUMS
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["dow", "minute"])
+        minute_of_week = pdf["dow"].to_numpy() * day + pdf["minute"].to_numpy()
+        waves = [np.ones(len(pdf))]
+        for period, k in angles:
+            phase = 2 * np.pi * k * minute_of_week / period
+            waves += [np.sin(phase), np.cos(phase)]
+        phi = np.stack(waves, axis=1)
+        s = {c: pdf[c].to_numpy(dtype=float) for c in sums}
+        p = phi.shape[1]
+        gram = np.zeros((p + 2, p + 2))
+        gram[:p, :p] = phi.T @ (phi * s["n"][:, None])
+        gram[:p, p] = gram[p, :p] = phi.T @ s["t"]
+        gram[:p, p + 1] = gram[p + 1, :p] = phi.T @ s["x"]
+        gram[p, p], gram[p + 1, p + 1] = s["tt"].sum(), s["xx"].sum()
+        gram[p, p + 1] = gram[p + 1, p] = s["tx"].sum()
+        moment = np.concatenate([phi.T @ s["y"], [s["ty"].sum(), s["xy"].sum()]])
+        coef, _, rank, _ = np.linalg.lstsq(gram, moment, rcond=1e-12)
+        n = s["n"].sum()
+        rss = max(s["yy"].sum() - 2 * coef @ moment + coef @ gram @ coef, 0.0)
+        return pd.DataFrame({
+            "zone_id": [pdf["zone_id"].iloc[0]], "coef": [coef.tolist()],
+            "sigma": [float(np.sqrt(rss / max(n - rank, 1)))],
+            "temp_mid": [float(pdf["temp_mid"].iloc[0])], "n": [int(n)],
+        })
+
+    return solve
 
 
 def fit_regression(train: DataFrame) -> DataFrame:
@@ -83,7 +96,7 @@ def fit_regression(train: DataFrame) -> DataFrame:
     sums = rows.groupBy("zone_id", "temp_mid", "dow", "minute").agg(
         F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(v).alias(k) for k, v in products.items()]
     )
-    return durable(sums.groupBy("zone_id").applyInPandas(solve_zone, COEFFICIENTS))
+    return durable(sums.groupBy("zone_id").applyInPandas(zone_solver(), COEFFICIENTS))
 
 
 def predict_regression(model: DataFrame, future: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """The dashboard's bucketed aggregates on a stream of readings.
 
 The same expressions as in the batch jobs, per event-time bucket. A watermark
-bounds the state to the buckets that may still receive late rows.
+bounds the state to the buckets that may still receive late rows. Watermarks
+need a zoned timestamp, so local times pass through the session zone (UTC).
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from roomtide.functions.scalars import round_to, share
 
 
 def _per_bucket(stream: DataFrame, zone: str, bucket: str, late: str):
-    rows = stream.withWatermark("timestamp", late)
+    rows = stream.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", late)
     return rows.groupBy(F.window("timestamp", bucket), zone)
 
 
@@ -22,7 +23,7 @@ def live_occupancy(stream: DataFrame, bucket: str = "15 minutes", late: str = "3
         F.avg("occupancy_count").alias("avg_occ"), F.max("occupancy_count").alias("peak_occ"),
         F.count(F.lit(1)).alias("samples"),
     )
-    return found.select(F.col("window.start").alias("timestamp"), "zone_id", "avg_occ", "peak_occ", "samples")
+    return found.select(F.col("window.start").cast("timestamp_ntz").alias("timestamp"), "zone_id", "avg_occ", "peak_occ", "samples")
 
 
 def live_comfort(
@@ -38,5 +39,5 @@ def live_comfort(
         F.count(F.lit(1)).alias("samples"),
     )
     return found.select(
-        F.col("window.start").alias("timestamp"), "space_id", "avg_temp", "comfort_exceedance_pct", "samples"
+        F.col("window.start").cast("timestamp_ntz").alias("timestamp"), "space_id", "avg_temp", "comfort_exceedance_pct", "samples"
     )
