@@ -15,8 +15,9 @@ from roomtide.functions.scalars import (
     to_moment, to_number,
 )
 from roomtide.operators.canonical import moment, moment_lit
-from roomtide.operators.grid import DEFAULT_LAGS, dense_grid, expand_slots, zone_spans
+from roomtide.operators.grid import DEFAULT_LAGS, dense_grid, expand_slots
 from roomtide.operators.ordered import percentiles
+from roomtide.session import durable
 
 OCCUPIED_FROM = 1.0
 
@@ -134,8 +135,11 @@ def model_frame(
     ``pos`` counts a zone's rows from 0 and ``n`` is their number. Both follow
     from the slot number, so splitting needs neither a sort nor a window.
     """
-    grid = dense_grid(occupancy, freq, align_mode, zone_id).where(F.col("slot") >= warmup)
-    return grid.select(
+    return after_warmup(dense_grid(occupancy, freq, align_mode, zone_id), warmup)
+
+
+def after_warmup(grid: DataFrame, warmup: int) -> DataFrame:
+    return grid.where(F.col("slot") >= warmup).select(
         "zone_id", F.col("timestamp").alias("ds"), F.col("occupancy_count").alias("y"),
         (F.col("slot") - warmup).alias("pos"), (F.col("slots") - warmup).alias("n"),
     )
@@ -218,14 +222,15 @@ def backtest_zones(
     """Prepare, split, fit and score every zone in one plan.
 
     Zones too short to be split still get a row, with status
-    ``insufficient_data``, because the metrics start from the list of zones.
+    ``insufficient_data``, because the metrics start from the list of zones. The
+    grid, read by the zone list, the fit and the test, is written out once.
     """
     keep = 1.0 - test_ratio
-    spans = zone_spans(occupancy, freq, align_mode)
+    grid = durable(dense_grid(occupancy, freq, align_mode))
     n = F.greatest(F.col("slots") - warmup, F.lit(0))
     usable = (F.col("cut") >= 1) & (F.col("cut") < F.col("n"))
-    zones = spans.select("zone_id", n.alias("n")).withColumn("cut", cut_at("n", keep)).withColumn("usable", usable)
-    frame = model_frame(occupancy, freq, warmup, align_mode).withColumn("cut", cut_at("n", keep)).where(usable)
+    zones = grid.where(F.col("slot") == 0).select("zone_id", n.alias("n")).withColumn("cut", cut_at("n", keep)).withColumn("usable", usable)
+    frame = after_warmup(grid, warmup).withColumn("cut", cut_at("n", keep)).where(usable)
     model = fit_profile(frame.where(F.col("pos") < F.col("cut")))
     test = frame.where(F.col("pos") >= F.col("cut")).select("zone_id", "ds", "y")
     predicted = predict_rows(model, test)
