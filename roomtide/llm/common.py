@@ -16,7 +16,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from roomtide.operators.ordered import match
 
 
 def portable(module: str) -> None:
@@ -181,3 +183,23 @@ class Hasher:
                 total[:kept] += hashes[done:] * np.uint64(power)
                 power, done = power * self.step % (1 << 64), done + 1
             yield length, mixed(total[:max(len(hashes) - length + 1, 0)])
+
+
+# --- running sums -----------------------------------------------------------
+
+def prefix_sums(
+    rows: DataFrame, counted: DataFrame, keys: list[str], block: list[str], order: list[str], value: str, name: str
+) -> DataFrame:
+    """``rows`` and the running sum of ``value`` within ``keys``, in the order ``block``, ``order``.
+
+    No task sees more than one block: the sums of the blocks (from ``counted``,
+    the same rows without what is wide) are a small table of their own.
+    """
+    place = [*keys, *block]
+    earlier = Window.partitionBy(*keys).orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
+    before = counted.groupBy(*place).agg(F.sum(value).alias("_sum")).select(
+        *place, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before")
+    )
+    within = Window.partitionBy(*place).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    running = rows.withColumn(name, F.sum(value).over(within))
+    return match(running, before, place).withColumn(name, F.col(name) + F.col("_before")).drop("_before")

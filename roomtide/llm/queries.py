@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roomtide.llm import decontaminate, language
+from roomtide.llm import decontaminate, language, mixing, sharding
 from roomtide.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,12 +31,12 @@ ORACLES["op7_benchmark_decontamination"] = r"""
 WITH doc AS (
   SELECT doc_id, list_filter(string_split_regex(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
   FROM documents
 ), item AS (
   SELECT item_id, list_filter(string_split_regex(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
   FROM benchmark
 ), gram AS (
   SELECT DISTINCT item_id, n, list_aggregate(w[i:i + n - 1], 'string_agg', ' ') AS g
@@ -64,3 +64,13 @@ FROM doc LEFT JOIN words_hit USING (doc_id) LEFT JOIN items_hit USING (doc_id)
 @query
 def op8_language_id(table) -> DataFrame:
     return language.languages(table("documents"))
+
+
+@query
+def op2_source_mix(table) -> DataFrame:
+    return mixing.mix_report(table("documents"))
+
+
+@query
+def op4_sharding(table) -> DataFrame:
+    return sharding.shard_plan(table("documents"))
