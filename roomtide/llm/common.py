@@ -2,8 +2,8 @@
 
 Texts are processed as the UTF-8 bytes of an Arrow batch. Word borders, word
 hashes and n-gram hashes of a whole block of documents come from a few array
-operations; no Python object per word is made. Hashes only find candidates or
-name things; operators whose result depends on equality compare the bytes.
+operations; no Python object per word is made. Hashes have 64 bits. Across
+documents they only find candidates, whose bytes or words are then compared.
 """
 
 from __future__ import annotations

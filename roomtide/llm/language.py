@@ -141,11 +141,12 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", *,
     marked = rows.select(
         F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text")
     )
-    by_mark = Window.partitionBy("lang").orderBy("mark")
-    marks = (  # row_number() <= k is cut to k rows a task before the shuffle, so a hot language moves little
-        marked.select("lang", "mark").withColumn("_n", F.row_number().over(by_mark)).where(F.col("_n") <= per_language)
-        .groupBy("lang").agg(F.max("mark").alias("last"))
-    )
+    first = lambda df, keys: df.withColumn(
+        "_n", F.row_number().over(Window.partitionBy(*keys).orderBy("mark"))
+    ).where(F.col("_n") <= per_language)
+    # the first rows of each of 64 parts of a language, then of the language: a hot language is no single large task
+    parted = first(marked.select("lang", "mark", F.pmod("mark", F.lit(64)).alias("_part")), ["lang", "_part"])
+    marks = first(parted, ["lang"]).groupBy("lang").agg(F.max("mark").alias("last"))
     limits = marks.orderBy("lang").limit(max_languages).collect()
     if not limits:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0)

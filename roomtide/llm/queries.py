@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roomtide.llm import decontaminate, language, mixing, sharding
+from roomtide.llm import chat, decontaminate, language, licenses, mixing, quality, sharding
 from roomtide.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,41 @@ def op2_source_mix(table) -> DataFrame:
 @query
 def op4_sharding(table) -> DataFrame:
     return sharding.shard_plan(table("documents"))
+
+
+@query
+def op5_quality_rules(table) -> DataFrame:
+    return quality.quality(table("documents"), table("labels"))
+
+
+@query
+def op1_license_scan(table) -> DataFrame:
+    return licenses.license_report(table("documents"))
+
+
+@query
+def op6_chat_formatting(table) -> DataFrame:
+    return chat.formatted_conversations(table("conversations"))
+
+
+def _sql_escaped(column: str, role: bool = False) -> str:
+    sql = f"replace({column}, '&', '&amp;')"
+    for control in [*chat.CONTROLS, *(["\n"] if role else [])]:
+        sql = f"replace({sql}, '{control}', '{chat.ENTITY[control[0]]}{control[1:]}')"
+    return sql
+
+
+ORACLES["op6_chat_formatting"] = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({len(chat.START)} + length({_sql_escaped('role', True)}) + 1 + length({_sql_escaped('text')}) + {len(chat.END)})
+    AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
