@@ -31,7 +31,7 @@ from roomtide.session import durable
 
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2.0
 UNIT = 24  # expected copies are counted in 2**-24
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 2_000
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
