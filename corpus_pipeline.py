@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roomtide.llm import decontaminate, language
+from roomtide.llm import decontaminate, jaccard, language, mixing, sharding
 from roomtide.session import shared_folder, tune
 
 
@@ -16,18 +16,39 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language.keep_recognised(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked documents: the one with the smallest id."""
+    tune(spark)
+    return jaccard.keep_one(docs)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
     tune(spark)
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated or left out so that the sources reach their target weights."""
+    tune(spark)
+    return mixing.mixed_documents(docs)
+
+
+def sharding_plan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the shard each goes to; equal texts share one."""
+    tune(spark)
+    return sharding.sharded_documents(docs)
+
+
 STAGES = [
     ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
     ("benchmark_decontamination", benchmark_decontamination),
+    ("source_mix", source_mix),
+    ("sharding", sharding_plan),
 ]
 
-ORACLE_SQL = None  # learned and heap-based stages; each is tested against brute force
+ORACLE_SQL = None  # a trained classifier comes first, which SQL cannot express; each stage is tested by itself
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
