@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roomtide.llm import chat, decontaminate, jaccard, language, licenses, mixing, quality, sharding
+from roomtide.llm import chat, decontaminate, jaccard, language, licenses, mixing, quality, repeats, sharding
 from roomtide.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,8 @@ FROM turns GROUP BY conv_id
 @query
 def op10_jaccard_join(table) -> DataFrame:
     return jaccard.jaccard_components(table("documents"))
+
+
+@query
+def op9_suffix_dedup(table) -> DataFrame:
+    return repeats.repeat_report(table("documents"))
