@@ -386,8 +386,9 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(f.node, mask=f.n == 0)], names=[*batch.schema.names, node])
 
     marked = docs.mapInArrow(mark, schema)
-    own = chosen.withColumnsRenamed({"node": "_node"})
-    staying = marked.join(own, marked[node] == own["_node"]).where(F.col(id_col).eqNullSafe(F.col("_kept_id")))
+    rows = marked.select(F.struct(*columns).alias("_doc"), F.col(node).alias("node"), F.col(id_col).alias("_id"))
+    staying = rows.join(chosen, "node").where(F.col("_id").eqNullSafe(F.col("_kept_id")))
     if repeated:
-        staying = staying.dropDuplicates([node])
-    return staying.select(columns).unionByName(marked.where(F.col(node).isNull()).select(columns))
+        staying = staying.dropDuplicates(["node"])
+    staying = staying.select("_doc").unionByName(rows.where(F.col("node").isNull()).select("_doc"))
+    return staying.select(*[F.col("_doc").getField(c).alias(c) for c in columns])

@@ -70,7 +70,7 @@ def mix(
     """
     kept = list(docs.columns if keep is None else keep)
     sized = docs.select(
-        *kept, F.col(source_col).cast("string").alias("_source"), n_space_words(F.col(text_col)).alias("_size"),
+        F.struct(*kept).alias("_doc"), F.col(source_col).cast("string").alias("_source"), n_space_words(F.col(text_col)).alias("_size"),
         F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("_mark"),
     )
     narrow = text_col not in kept
@@ -97,7 +97,7 @@ def mix(
     before = F.shiftright(F.col("_through") + F.col("_offset") - F.col("_expected"), UNIT)
     names = {name: fresh(docs, name) for name in ("size", "source_size", "target", "copies")}
     return ordered.select(
-        *kept, F.col("_size").alias(names["size"]), F.col("_source_size").alias(names["source_size"]),
+        *[F.col("_doc").getField(c).alias(c) for c in kept], F.col("_size").alias(names["size"]), F.col("_source_size").alias(names["source_size"]),
         F.col("_target").alias(names["target"]), (last - before).alias(names["copies"]),
     ), names
 

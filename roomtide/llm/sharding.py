@@ -37,31 +37,31 @@ def longest_first(items: list[tuple[tuple, int]], shards: int) -> dict[tuple, in
     return where
 
 
-def assign(docs: DataFrame, *, size: Column, group: Column, shards: int = SHARDS, fine: int = FINE) -> tuple[DataFrame, dict[str, str]]:
-    """``docs`` with ``shard`` (0 to shards - 1), and the added names.
+def assign(docs: DataFrame, *, size: Column, group: Column, shards: int = SHARDS, fine: int = FINE) -> tuple[DataFrame, str]:
+    """``docs`` with ``shard`` (0 to shards - 1), and the name of that column.
 
     ``size`` is a whole number per row, ``group`` a 64-bit key of the rows that
     stay together.
     """
     spark, limit = docs.sparkSession, shards * fine
-    names = {name: fresh(docs, name) for name in ("group", "bundle", "shard")}
-    group_col, bundle_col = names["group"], names["bundle"]
-    bundle = F.pmod(F.xxhash64(F.lit("bundle"), group_col), F.lit(limit))
-    keyed = docs.withColumn(group_col, group)
-    groups = durable(keyed.select(group_col, size.cast("bigint").alias("_bytes")).groupBy(group_col).agg(F.sum("_bytes").alias("_bytes")))
+    bundle = F.pmod(F.xxhash64(F.lit("bundle"), "_group"), F.lit(limit))
+    keyed = docs.select(F.struct("*").alias("_doc"), group.alias("_group"), size.cast("bigint").alias("_bytes"))
+    groups = durable(keyed.groupBy("_group").agg(F.sum("_bytes").alias("_bytes")))
     total = groups.agg(F.sum("_bytes")).first()[0] or 0
     large = F.col("_bytes") * limit > total
-    alone = [tuple(r) for r in groups.where(large).select(group_col, "_bytes").collect()]
-    bundles = [tuple(r) for r in groups.where(~large).groupBy(bundle.alias(bundle_col)).agg(F.sum("_bytes")).collect()]
+    alone = [tuple(r) for r in groups.where(large).select("_group", "_bytes").collect()]
+    bundles = [tuple(r) for r in groups.where(~large).groupBy(bundle.alias("_bundle")).agg(F.sum("_bytes")).collect()]
     where = longest_first([((0, k), n) for k, n in alone] + [((1, k), n) for k, n in bundles], shards)
-    of_group = spark.createDataFrame([(k, where[0, k]) for k, _ in alone], f"{group_col} bigint, _alone int")
-    of_bundle = spark.createDataFrame([(k, where[1, k]) for k, _ in bundles], f"{bundle_col} bigint, _bundled int")
+    of_group = spark.createDataFrame([(k, where[0, k]) for k, _ in alone], "_group bigint, _alone int")
+    of_bundle = spark.createDataFrame([(k, where[1, k]) for k, _ in bundles], "_bundle bigint, _bundled int")
     placed = (
-        keyed.withColumn(bundle_col, bundle)
-        .join(F.broadcast(of_group), group_col, "left").join(F.broadcast(of_bundle), bundle_col, "left")
-        .withColumn(names["shard"], F.coalesce("_alone", "_bundled"))
+        keyed.withColumn("_bundle", bundle)
+        .join(F.broadcast(of_group), "_group", "left").join(F.broadcast(of_bundle), "_bundle", "left")
     )
-    return placed.select(*docs.columns, group_col, names["shard"]), names
+    name = fresh(docs, "shard")
+    return placed.select(
+        *[F.col("_doc").getField(c).alias(c) for c in docs.columns], F.coalesce("_alone", "_bundled").alias(name)
+    ), name
 
 
 def text_group(text: str) -> Column:
@@ -77,18 +77,17 @@ def shard_plan(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", te
         F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"),
     )
     facts = durable(rows)
-    placed, names = assign(facts, size=F.col("size"), group=F.col("_text"), shards=shards)
+    placed, shard = assign(facts, size=F.col("size"), group=F.col("_text"), shards=shards)
     buckets = facts.count() // (shards * BLOCK_ROWS) + 1
     placed = placed.withColumn("_mark", F.xxhash64(F.lit("slot"), "doc_id", "_text"))
     placed = durable(placed.withColumn("_bucket", F.pmod("_mark", F.lit(buckets))).withColumn("_one", F.lit(1)))
-    numbered = prefix_sums(placed, placed, [names["shard"]], ["_bucket"], ["_mark", "doc_id"], "_one", "_slot")
+    numbered = prefix_sums(placed, placed, [shard], ["_bucket"], ["_mark", "doc_id"], "_one", "_slot")
     return numbered.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col(names["shard"]).alias("shard"),
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col(shard).alias("shard"),
         (F.col("_slot") - 1).cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
 
 
 def sharded_documents(docs: DataFrame, shards: int = SHARDS, text_col: str = "text") -> DataFrame:
     """``docs`` with the shard of each row in an added column ``shard``."""
-    placed, names = assign(docs, size=n_bytes(F.col(text_col)) + 1, group=text_group(text_col), shards=shards)
-    return placed.select(*docs.columns, names["shard"])
+    return assign(docs, size=n_bytes(F.col(text_col)) + 1, group=text_group(text_col), shards=shards)[0]
