@@ -14,7 +14,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from roomtide.catalog.queries import QUERIES  # noqa: E402
-from roomtide.session import local_session  # noqa: E402
+from roomtide.session import local_session, scratch  # noqa: E402
 
 
 def main() -> None:
@@ -26,7 +26,8 @@ def main() -> None:
     times: dict[str, float] = {}
     for name in only or QUERIES:
         start = time.perf_counter()
-        QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
+        with scratch(spark):
+            QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
     print(json.dumps({
         "metric": "total wall time of the registered queries",

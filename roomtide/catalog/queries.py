@@ -409,7 +409,7 @@ def seasonal_regression_forecast(d: Demo) -> DataFrame:
 @query
 def gbt_hourly_forecast(d: Demo) -> DataFrame:
     hourly = series.hourly_series(d.occ, "timestamp", "occupancy_count")
-    return boosted.train_trees(series.hourly_features(hourly, d.weather), rounds=20, depth=4).predictions
+    return boosted.train_trees(series.hourly_features(hourly, d.weather)).predictions
 
 
 # --- thermal proxy ----------------------------------------------------------

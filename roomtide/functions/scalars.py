@@ -71,8 +71,14 @@ def non_negative(c: Column | str) -> Column:
 # --- arithmetic -------------------------------------------------------------
 
 def round_to(c: Column | str, places: int = 2) -> Column:
-    """Decimal rounding, half away from zero, returned as double."""
-    return F.round(as_col(c).try_cast("decimal(38,10)"), places).cast("double")
+    """Decimal rounding, half away from zero, returned as double.
+
+    Doubles too large for the decimal have no digits after the point any more
+    and stay as they are.
+    """
+    exact = F.round(as_col(c).try_cast("decimal(38,10)"), places).cast("double")
+    plain = as_col(c).try_cast("double")
+    return F.coalesce(exact, F.when((F.abs(plain) >= 1e27) & ~F.isnan(plain), plain))
 
 
 def ratio(top: Column, bottom: Column) -> Column:
@@ -117,8 +123,9 @@ def day_of(ts: Column | str) -> Column:
 
 
 def bucket(ts: Column | str, seconds: int) -> Column:
-    """Start of the epoch-aligned bucket ``ts`` falls in."""
-    return F.window(as_col(ts), f"{seconds} seconds").getField("start")
+    """Start of the epoch-aligned bucket ``ts`` falls in; null stays null."""
+    step = F.lit(seconds * 1_000_000)
+    return F.timestamp_add("MICROSECOND", -F.pmod(epoch_micros(ts), step), as_col(ts))
 
 
 def epoch_micros(ts: Column | str) -> Column:

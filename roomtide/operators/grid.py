@@ -115,14 +115,18 @@ def bucket_of_slots(step: int, days: int = 30):
 
 
 def with_weather(df: DataFrame, weather: DataFrame | None, freq: str = "15min") -> DataFrame:
-    """Attach interpolated temperature; moments outside the weather series get its nearest end."""
+    """Attach interpolated temperature; moments outside the weather series get its nearest end.
+
+    Rows without a time are kept and have no temperature.
+    """
     if weather is None:
         return df.withColumn("outside_temp", F.lit(None).cast("double"))
     step = seconds_of(freq)
     series = align(normalize_weather(weather), [], "outside_temp", step)
     ends = series.agg(F.struct(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"))).scalar()
     keyed = df.withColumn("_ends", ends).withColumn("_at", bucket("timestamp", step))
-    keyed = keyed.withColumn("_at", F.least(F.greatest("_at", "_ends.lo"), F.col("_ends.hi"))).drop("_ends")
+    inside = F.least(F.greatest("_at", "_ends.lo"), F.col("_ends.hi"))
+    keyed = keyed.withColumn("_at", F.when(F.col("_at").isNotNull(), inside)).drop("_ends")
     grid = weather_grid(weather, freq).withColumnRenamed("timestamp", "_at")
     return keyed.join(grid, "_at", "left").drop("_at")
 

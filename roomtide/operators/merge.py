@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from roomtide.functions.scalars import bucket, hour_of, seconds_of, to_moment, to_number
 from roomtide.operators.canonical import (
     EQUIPMENT_TIME, EQUIPMENT_ZONE, normalize_occupancy, normalize_weather, resolve,
 )
 from roomtide.operators.grid import align
-from roomtide.operators.ordered import neighbours
+from roomtide.operators.ordered import match, neighbours
 
 
 def with_hvac_on(df: DataFrame) -> DataFrame:
@@ -24,15 +25,16 @@ def with_hvac_on(df: DataFrame) -> DataFrame:
 def equipment_buckets(equipment: DataFrame, freq: str = "15min") -> DataFrame:
     """One row per (bucket, zone): the first non-null reading of every column.
 
-    "First" is by raw timestamp, then by the payload, so it does not depend on
-    the order in which files are read.
+    "First" is by raw timestamp, then by a hash of the payload, so it does not
+    depend on the order in which files are read.
     """
     ts = resolve(equipment, EQUIPMENT_TIME, "equipment timestamp")
     zone = resolve(equipment, EQUIPMENT_ZONE, "equipment zone")
     rows = equipment.withColumns({ts: to_moment(ts), zone: F.col(zone).cast("string")}).dropna(subset=[ts, zone])
     rows = with_hvac_on(rows.withColumnsRenamed({ts: "timestamp", zone: "zone_id"}))
     payload = [c for c in rows.columns if c not in ("timestamp", "zone_id")]
-    rows = rows.withColumn("_order", F.struct("timestamp", *payload))
+    # one hash of the payload settles ties, so the state per column does not grow with the number of columns
+    rows = rows.withColumn("_order", F.struct("timestamp", F.xxhash64(*payload) if payload else F.lit(0)))
     first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col("_order"))).alias(c) for c in payload]
     return rows.groupBy(bucket("timestamp", seconds_of(freq)).alias("timestamp"), "zone_id").agg(*first)
 
@@ -80,10 +82,12 @@ def tariff_by_hour(tariff: DataFrame, priority: str = "tou_id") -> DataFrame:
 def add_tariff(df: DataFrame, tariff: DataFrame, priority: str = "tou_id", zone: str | None = "zone_id") -> DataFrame:
     """Rate of the row's hour; hours without a tariff take the last known rate.
 
-    The fill runs in time order within each zone (over the whole frame without
-    one). A rate depends on the hour only, so the fill works on the distinct
-    calendar hours of a zone, never on its raw rows. The hour table has at most
-    24 rows, which makes it safe to broadcast.
+    A rate depends on the hour only, so rows look it up in the 24-hour table,
+    which is safe to broadcast, and are not shuffled. Only rows whose hour has
+    no rate are filled, in time order within each zone (over the whole frame
+    without one), from the distinct calendar hours of the zone. Rows without a
+    time come last in that order; a null zone is a zone like others. Every row
+    is kept.
     """
     if "timestamp" not in df.columns:
         raise ValueError("add_tariff needs a timestamp column")
@@ -91,11 +95,17 @@ def add_tariff(df: DataFrame, tariff: DataFrame, priority: str = "tou_id", zone:
     rates = tariff_by_hour(tariff, priority)
     base = df.withColumn("timestamp", to_moment("timestamp")).withColumn("hour", hour_of("timestamp"))
     base = base.withColumn("_at", bucket("timestamp", 3600))
-    present = base.select(*keys, "_at", "hour").distinct().join(F.broadcast(rates), "hour", "left")
+    looked = base.join(F.broadcast(rates), "hour", "left").select(*base.columns, "tou_rate")
+    present = looked.select(*keys, "_at", "tou_rate").distinct()
     month = F.trunc(F.to_date("_at"), "month")
-    filled = neighbours(present, keys, "_at", F.col("tou_rate"), month)
-    filled = filled.select(*keys, "_at", F.coalesce("_prev", "_next").alias("tou_rate"))
-    return base.join(filled, [*keys, "_at"], "left").drop("_at")
+    filled = neighbours(present.where(F.col("_at").isNotNull()), keys, "_at", F.col("tou_rate"), month)
+    filled = filled.select(*keys, "_at", F.coalesce("_prev", "_next").alias("_fill"))
+    no_time = F.lit(None).cast(dict(present.dtypes)["_at"])
+    latest = F.max_by("tou_rate", F.when(F.col("tou_rate").isNotNull(), F.col("_at")))
+    last = present.groupBy(*keys).agg(latest.alias("_fill")).select(*keys, no_time.alias("_at"), "_fill")
+    missing = match(looked.where(F.col("tou_rate").isNull()), filled.unionByName(last), [*keys, "_at"], "left")
+    missing = missing.withColumn("tou_rate", F.col("_fill")).drop("_fill")
+    return looked.where(F.col("tou_rate").isNotNull()).unionByName(missing).drop("_at")
 
 
 def flag_opportunity(
@@ -112,7 +122,10 @@ def flag_opportunity(
     for name in (occupancy, state):
         if name not in df.columns:
             raise ValueError(f"missing column: {name}")
-    running = F.coalesce(F.col(state).cast("boolean"), F.lit(null_state))
+    if isinstance(df.schema[state].dataType, StringType):
+        running = F.coalesce(F.lower(F.trim(state)) != "off", F.lit(null_state))  # any text but "off" counts as on
+    else:
+        running = F.coalesce(F.col(state).cast("boolean"), F.lit(null_state))
     people = F.coalesce(to_number(occupancy), F.lit(0.0))
     out = df.withColumn(occupancy, people).withColumn("is_opportunity", (F.col(occupancy) <= 0) & running)
     if energy and energy in df.columns:

@@ -70,9 +70,10 @@ def with_bins(freq: DataFrame) -> DataFrame:
     The scale is fixed, so it takes no pass over the data to set it up, and
     a few wild readings cannot squeeze all others into one bin.
     """
-    size = F.floor(F.log2(F.abs("_v") * 2.0**20 + 1.0) * BINS_PER_DOUBLING)
-    capped = F.when(F.abs("_v") > 1e300, F.lit(2000 * BINS_PER_DOUBLING)).otherwise(size).cast("bigint")
-    return freq.withColumn("_bin", F.when(F.col("_v") < 0, -capped).otherwise(capped))
+    v = F.col("_v").cast("double")
+    size = F.floor(F.log2(F.abs(v) * 2.0**20 + 1.0) * BINS_PER_DOUBLING)
+    capped = F.when(F.abs(v) > 1e300, F.lit(2000 * BINS_PER_DOUBLING)).otherwise(size).cast("bigint")
+    return freq.withColumn("_bin", F.when(v < 0, -capped).otherwise(capped))
 
 
 def percentiles(
@@ -151,7 +152,7 @@ def chronological_split(
     if tie_breaker is None:
         is_train = before | same
         return marked.withColumn("is_train", F.coalesce(is_train, F.lit(False))).drop("_cut", "_cut_rank")
-    tied = marked.where(same).withColumn("_t", F.col(tie_breaker).cast("double"))
+    tied = marked.where(same).withColumn("_t", F.col(tie_breaker))  # in its own type: a double would merge large ids
     tied = with_bins(tied.groupBy(*keys, "_cut_rank", F.col("_t").alias("_v")).agg(F.count(F.lit(1)).alias("_w")))
     # the rank within the tied rows differs per key, so it is part of the key
     last = durable(_pick_ranked(tied, keys))
@@ -159,7 +160,7 @@ def chronological_split(
         marked = match(marked, last, keys, "left")
     else:
         marked = marked.withColumn("_cut_tie", last.select("_cut_tie").scalar())
-    is_train = before | (same & (F.col(tie_breaker).cast("double") <= F.col("_cut_tie")))
+    is_train = before | (same & (F.col(tie_breaker) <= F.col("_cut_tie")))
     return marked.withColumn("is_train", F.coalesce(is_train, F.lit(False))).drop("_cut", "_cut_rank", "_cut_tie")
 
 

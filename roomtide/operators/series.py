@@ -38,7 +38,7 @@ def engineer_features(
 def hourly_series(df: DataFrame, ts: str, value: str) -> DataFrame:
     """Hourly sum over all sources; hours without rows count 0."""
     sums = (
-        df.select(to_moment(ts).alias("_ts"), to_number(value).alias("_v"))
+        df.select(to_moment(ts).alias("_ts"), to_number(value).alias("_v")).where(F.col("_ts").isNotNull())
         .groupBy(bucket("_ts", HOUR).alias("timestamp"))
         .agg(F.coalesce(F.sum("_v"), F.lit(0.0)).alias("occupancy"))
     )

@@ -6,7 +6,9 @@ minute-of-day profile per zone, and the zone's overall mean.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -14,14 +16,22 @@ from roomtide.functions.scalars import (
     after, as_col, dow_mon0, epoch_micros, minute_of_day, non_negative, ratio, seconds_of, tally,
     to_moment, to_number,
 )
-from roomtide.operators.canonical import moment, moment_lit
-from roomtide.operators.grid import DEFAULT_LAGS, dense_grid, expand_slots
+from roomtide.operators.canonical import first_zones, moment, moment_lit, normalize_weather, only_zones
+from roomtide.operators.grid import DEFAULT_LAGS, dense_grid, expand_slots, with_weather
 from roomtide.operators.ordered import percentiles
 from roomtide.session import durable
 
 OCCUPIED_FROM = 1.0
 
 
+@dataclass(frozen=True)
+class Backend:
+    """A way to forecast: ``fit(train)`` gives a model, ``predict(model, future)`` rows, ``zones(model)`` its zone ids."""
+    fit: Callable[[DataFrame], Any]
+    predict: Callable[[Any, DataFrame], DataFrame]
+    zones: Callable[[Any], DataFrame]
+
+
 @dataclass(frozen=True)
 class SeasonalProfile:
     slots: DataFrame  # zone_id, dow, minute, expected
@@ -79,6 +89,9 @@ def predict_rows(model: SeasonalProfile, future: DataFrame) -> DataFrame:
     return finish_forecast(joined.drop("dow", "minute", "expected", "zone_mean"))
 
 
+PROFILE = Backend(fit_profile, predict_rows, lambda model: model.level)
+
+
 def future_periods(train: DataFrame, periods: int, freq: str = "15min") -> DataFrame:
     """The next ``periods`` steps after each zone's last training row."""
     if periods <= 0:
@@ -103,16 +116,20 @@ def future_range(zones: DataFrame, start, end, freq: str = "15min") -> DataFrame
 
 
 def with_future_weather(future: DataFrame, weather: DataFrame | None, train: DataFrame) -> DataFrame:
-    """Temperature for future rows: the weather row of that moment, else the zone's training median."""
+    """Temperature for future rows: what the row has, the mean of that moment's weather rows, the zone's training median.
+
+    A model trained without temperature takes none: the rows are returned as they are.
+    """
+    if "outside_temp" not in train.columns:
+        return future
     median = percentiles(model_rows(train), ["zone_id"], "outside_temp", {"_median": 0.5})
-    rows = future
+    rows = future if "outside_temp" in future.columns else future.withColumn("outside_temp", F.lit(None).cast("double"))
     if weather is not None:
         names = {"timestamp": "ds", "temperature": "outside_temp"}
         weather = weather.withColumnsRenamed({a: b for a, b in names.items() if b not in weather.columns})
-        weather = weather.select(to_moment("ds").alias("ds"), to_number("outside_temp").alias("outside_temp"))
-        rows = rows.join(weather, "ds", "left")
-    elif "outside_temp" not in rows.columns:
-        rows = rows.withColumn("outside_temp", F.lit(None).cast("double"))
+        weather = weather.select(to_moment("ds").alias("ds"), to_number("outside_temp").alias("_reading"))
+        weather = weather.groupBy("ds").agg(F.avg("_reading").alias("_reading"))
+        rows = rows.join(weather, "ds", "left").withColumn("outside_temp", F.coalesce("outside_temp", "_reading")).drop("_reading")
     filled = rows.join(median, "zone_id", "left")
     return filled.withColumn("outside_temp", F.coalesce("outside_temp", "_median")).drop("_median")
 
@@ -150,15 +167,37 @@ def cut_at(n, train_ratio: float):
     return F.floor(as_col(n).cast("double") * F.lit(float(train_ratio))).cast("bigint")
 
 
+def temperatures(rows: DataFrame, weather: DataFrame | None, freq: str) -> DataFrame:
+    """Model rows with the temperature of their slot; unchanged without weather."""
+    if weather is None:
+        return rows
+    return with_weather(rows.withColumnRenamed("ds", "timestamp"), weather, freq).withColumnRenamed("timestamp", "ds")
+
+
 def predict_occupancy(
     occupancy: DataFrame, start, end, freq: str = "15min", train_ratio: float = 0.8,
-    zone_id: str | None = None, model: SeasonalProfile | None = None, align_mode: str = "floor",
+    zone_id: str | None = None, model: Any = None, align_mode: str = "floor",
+    weather_history: DataFrame | None = None, weather_future: DataFrame | None = None, backend: Backend = PROFILE,
 ) -> DataFrame:
-    """Train on the first part of every zone's history and forecast a range of moments."""
+    """Train on the first part of every zone's history and forecast a range of moments.
+
+    With ``weather_history`` the training rows get their temperature, and the
+    range gets that of ``weather_future``, or the zone's training median. A
+    ``model`` that the caller has fitted takes the temperatures as they are.
+    """
+    train = None
     if model is None:
         frame = model_frame(occupancy, freq, align_mode=align_mode, zone_id=zone_id)
-        model = fit_profile(frame.where(F.col("pos") < cut_at("n", train_ratio)))
-    out = predict_rows(model, future_range(model.level, start, end, freq))
+        train = frame.where(F.col("pos") < cut_at("n", train_ratio)).select("zone_id", "ds", "y")
+        train = temperatures(train, weather_history, freq)
+        model = backend.fit(train)
+    future = future_range(backend.zones(model).select("zone_id"), start, end, freq)
+    if train is not None:
+        future = with_future_weather(future, weather_future, train)
+    elif weather_future is not None:
+        readings = normalize_weather(weather_future).withColumnRenamed("timestamp", "ds")
+        future = future.join(readings, "ds", "left")
+    out = backend.predict(model, future)
     return out.select(
         F.col("ds").alias("timestamp"), "zone_id", "pred_occupancy_count", "pred_is_occupied"
     )
@@ -176,8 +215,11 @@ def pair_up(actual: DataFrame, forecast: DataFrame) -> DataFrame:
     )
 
 
-def score(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Occupied/unoccupied metrics (truth ``y > 0``) and mean absolute error."""
+METRICS = ("binary_accuracy", "precision", "recall", "f1", "mae", "n_eval_rows")
+
+
+def score(pairs: DataFrame, keys: list[str], metrics: Sequence[str] = METRICS) -> DataFrame:
+    """Occupied/unoccupied metrics (truth ``y > 0``) and mean absolute error; unknown names in ``metrics`` are ignored."""
     truth, guess = F.col("y") > 0, F.col("pred_is_occupied")
     counted = pairs.groupBy(*keys).agg(
         tally(truth & guess).alias("tp"), tally(~truth & ~guess).alias("tn"),
@@ -187,16 +229,17 @@ def score(pairs: DataFrame, keys: list[str]) -> DataFrame:
     )
     tp, tn, fp, fn = (F.col(c) for c in ("tp", "tn", "fp", "fn"))
     precision, recall = ratio(tp, tp + fp), ratio(tp, tp + fn)
-    return counted.select(
+    found = counted.select(
         *keys, ratio(tp + tn, F.col("n_eval_rows")).alias("binary_accuracy"),
         precision.alias("precision"), recall.alias("recall"),
         ratio(2 * precision * recall, precision + recall).alias("f1"), "mae", "n_eval_rows",
     )
+    return found.select(*keys, *[m for m in metrics if m in METRICS])
 
 
-def evaluate(model: SeasonalProfile, test: DataFrame) -> DataFrame:
+def evaluate(model: Any, test: DataFrame, metrics: Sequence[str] = METRICS, backend: Backend = PROFILE) -> DataFrame:
     rows = model_rows(test)
-    return score(predict_rows(model, rows), ["zone_id"])
+    return score(backend.predict(model, rows), ["zone_id"], metrics)
 
 
 def error_metrics(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -217,24 +260,34 @@ class Backtest:
 
 def backtest_zones(
     occupancy: DataFrame, freq: str = "15min", test_ratio: float = 0.2, accuracy_threshold: float = 0.8,
-    warmup: int = max(DEFAULT_LAGS), align_mode: str = "floor",
+    warmup: int = max(DEFAULT_LAGS), align_mode: str = "floor", weather: DataFrame | None = None,
+    zones: Sequence[str] | None = None, max_zones: int | None = None, backend: Backend = PROFILE,
 ) -> Backtest:
     """Prepare, split, fit and score every zone in one plan.
 
+    ``zones`` names the zones to test, ``max_zones`` takes the first in text order.
+
     Zones too short to be split still get a row, with status
     ``insufficient_data``, because the metrics start from the list of zones. The
     grid, read by the zone list, the fit and the test, is written out once.
     """
     keep = 1.0 - test_ratio
-    grid = durable(dense_grid(occupancy, freq, align_mode))
+    grid = dense_grid(occupancy, freq, align_mode)
+    if zones is not None:
+        grid = grid.where(F.col("zone_id").isin([str(z) for z in zones]))
+    if max_zones is not None:
+        grid = only_zones(grid, first_zones(grid, max_zones))
+    grid = durable(grid)
     n = F.greatest(F.col("slots") - warmup, F.lit(0))
     usable = (F.col("cut") >= 1) & (F.col("cut") < F.col("n"))
-    zones = grid.where(F.col("slot") == 0).select("zone_id", n.alias("n")).withColumn("cut", cut_at("n", keep)).withColumn("usable", usable)
+    listed = grid.where(F.col("slot") == 0).select("zone_id", n.alias("n")).withColumn("cut", cut_at("n", keep)).withColumn("usable", usable)
     frame = after_warmup(grid, warmup).withColumn("cut", cut_at("n", keep)).where(usable)
-    model = fit_profile(frame.where(F.col("pos") < F.col("cut")))
-    test = frame.where(F.col("pos") >= F.col("cut")).select("zone_id", "ds", "y")
-    predicted = predict_rows(model, test)
-    scored = zones.join(score(predicted, ["zone_id"]), "zone_id", "left")
+    frame = temperatures(frame, weather, freq)
+    inputs = ["zone_id", "ds", "y", *(["outside_temp"] if weather is not None else [])]
+    model = backend.fit(frame.where(F.col("pos") < F.col("cut")).select(inputs))
+    test = frame.where(F.col("pos") >= F.col("cut")).select(inputs)
+    predicted = backend.predict(model, test)
+    scored = listed.join(score(predicted, ["zone_id"]), "zone_id", "left")
     zero = {c: F.coalesce(c, F.lit(0.0)) for c in ("binary_accuracy", "precision", "recall", "f1")}
     metrics = scored.withColumns(zero).select(
         "zone_id",

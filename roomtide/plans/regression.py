@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from roomtide.functions.scalars import dow_mon0, epoch_micros, minute_of_day
 from roomtide.operators.ordered import percentiles
-from roomtide.plans.forecast import finish_forecast, model_rows
+from roomtide.plans.forecast import Backend, finish_forecast, model_rows
 from roomtide.session import durable
 
 DAILY_TERMS = 4
@@ -116,3 +116,6 @@ def predict_regression(model: DataFrame, future: DataFrame) -> DataFrame:
     band = F.col("sigma") * BAND
     rows = rows.withColumns({"yhat_lower": F.col("yhat") - band, "yhat_upper": F.col("yhat") + band})
     return finish_forecast(rows.drop("coef", "sigma", "temp_mid", "n"))
+
+
+REGRESSION = Backend(fit_regression, predict_regression, lambda model: model.select("zone_id"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,8 +27,10 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: int | str = 8, app: str = "roomtide", memory: str = "8g") -> SparkSession:
-    """Session for tests and the benchmark on one machine."""
+def local_session(
+    cores: int | str = 8, app: str = "roomtide", memory: str = "8g", scratch_dir: str | None = None
+) -> SparkSession:
+    """Session for tests and the benchmark on one machine; only here is a local folder right for written tables."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -34,6 +38,7 @@ def local_session(cores: int | str = 8, app: str = "roomtide", memory: str = "8g
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", scratch_dir or tempfile.mkdtemp(prefix="roomtide-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -43,23 +48,40 @@ def local_session(cores: int | str = 8, app: str = "roomtide", memory: str = "8g
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the cluster's shared folder and read it back.
 
-    This cuts the lineage: a lost executor costs a re-read, not a re-run. The
-    folder is the session's ``spark.checkpoint.dir``; only a local master
-    without that setting gets a temporary folder. Unlike an RDD checkpoint the
-    table is columnar and has statistics, so later passes read only the columns
-    they need and the optimizer knows its size.
+    This cuts the lineage: a lost executor costs a re-read, not a re-run. Unlike
+    an RDD checkpoint the table is columnar and has statistics, so later passes
+    read only the columns they need and the optimizer knows its size. Inside
+    ``scratch`` the table is removed at the end of the block.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/roomtide/{uuid.uuid4().hex}"
+    for owned in _owned:
+        owned.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where it is unset, a folder in the warehouse, which all executors share too."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="roomtide-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+
+
+_owned: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables that ``durable`` writes inside this block when it ends.
+
+    Results must be computed or written inside the block.
+    """
+    paths: list[str] = []
+    _owned.append(paths)
+    try:
+        yield
+    finally:
+        _owned.pop()
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

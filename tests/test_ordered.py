@@ -53,7 +53,7 @@ def test_weighted_percentiles(spark):
 def test_split_takes_exactly_the_first_rows(spark, skewed, at):
     pdf = skewed.assign(ts=[at(int(m)) for m in skewed.t])
     df = spark.createDataFrame(
-        [(None if k is None else str(k), t, int(i)) for k, t, i in zip(pdf.k, pdf.ts.dt.to_pydatetime(), pdf.id)],
+        [(None if k is None else str(k), t, int(i)) for k, t, i in zip(pdf.k, [x.to_pydatetime() for x in pdf.ts], pdf.id)],
         "k string, ts timestamp_ntz, id bigint",
     )
     got = ordered.chronological_split(df, ["k"], "ts", 0.8, tie_breaker="id").toPandas()
@@ -65,6 +65,13 @@ def test_split_takes_exactly_the_first_rows(spark, skewed, at):
     assert (overall.is_train.to_numpy() == (np.arange(len(overall)) < len(overall) // 2)).all()
 
 
+def test_split_tells_large_ids_apart(spark, at):
+    first = 2**53
+    df = spark.createDataFrame([(at(0), first + i) for i in range(10)], "ts timestamp_ntz, id bigint")
+    got = ordered.chronological_split(df, [], "ts", 0.5, tie_breaker="id").where("is_train").collect()
+    assert sorted(r.id for r in got) == [first + i for i in range(5)]
+
+
 def test_split_of_few_rows(spark, at):
     df = spark.createDataFrame([(at(0),)], "ts timestamp_ntz")
     assert ordered.chronological_split(df, [], "ts", 0.8).first().is_train is False

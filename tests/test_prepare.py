@@ -40,16 +40,37 @@ def quarter_hours(occ, at):
     return occ([(at(15 * i), "A", float(i)) for i in range(12)])
 
 
-def test_lags_do_not_leak_the_future(quarter_hours, weather, at):
-    temps = weather([(at(60 * i), 60.0 + i) for i in range(4)])
-    for mode in ("floor", "exact"):
-        got = grid.forecast_features(quarter_hours, temps, lags=[1, 4], drop_warmup=False, align_mode=mode)
-        rows = got.orderBy("timestamp").collect()
-        assert len(rows) == 12
-        assert rows[2].occupancy_lag_1 == rows[1].occupancy_count
-        assert rows[5].occupancy_lag_4 == rows[1].occupancy_count
-        assert [r.outside_temp for r in rows] == [60.0 + i / 4 for i in range(12)]
-    assert grid.forecast_features(quarter_hours, temps, lags=[1, 4]).count() == 8
+def test_lags_equal_shifted_counts(occ, at):
+    rng = np.random.default_rng(3)
+    rows = [(at(15 * i), zone, float(rng.integers(0, 30))) for zone, n in (("x", 150), ("y", 9), ("z", 1)) for i in range(n)]
+    lags = [1, 3, 8, 20]
+    got = grid.forecast_features(occ(rows), lags=lags, drop_warmup=False).toPandas().sort_values(["zone_id", "timestamp"])
+    assert len(got) == len(rows)
+    for lag in lags:
+        expected = got.groupby("zone_id").occupancy_count.shift(lag)
+        pd.testing.assert_series_equal(got[f"occupancy_lag_{lag}"], expected, check_names=False)
+    kept = grid.forecast_features(occ(rows), lags=lags).groupBy("zone_id").count().collect()
+    assert {r.zone_id: r["count"] for r in kept} == {"x": 130}
+
+
+def test_rows_without_time_or_zone_are_kept(spark, weather, at):
+    schema = "id int, timestamp string, zone_id string"
+    times = ["2025-01-01 03:10:00", "2025-01-01 09:59:59", None, "not a time", "2025-01-01 12:00:00", None, "2024-12-31 05:00:00"]
+    zones = ["a", "a", "a", "b", None, None, None]
+    rows = spark.createDataFrame(list(zip(range(7), times, zones)), schema)
+    tariff = spark.createDataFrame([(1, 9, 17, 0.5), (2, 0, 4, 0.1)], "tou_id int, start_hour int, end_hour int, rate_kwh double")
+    got = {r.id: r.tou_rate for r in merge.add_tariff(rows, tariff).collect()}
+    # in its zone, a row without time comes last; zone b has no rate at all; the first row of no zone looks ahead
+    assert got == {0: 0.1, 1: 0.5, 2: 0.5, 3: None, 4: 0.5, 5: 0.5, 6: 0.5}
+    moments = rows.withColumn("timestamp", F.expr("try_cast(timestamp as timestamp_ntz)"))
+    warm = {r.id: r.outside_temp for r in grid.with_weather(moments, weather([(at(180), 50.0), (at(600), 57.0)])).collect()}
+    assert warm == {0: 50.0, 1: 56.75, 2: None, 3: None, 4: 57.0, 5: None, 6: 50.0}
+
+
+def test_text_states(spark):
+    rows = spark.createDataFrame([(0.0, "Off", 2.0), (0.0, "cool", 2.0), (None, None, 3.0), (4.0, "heat", 1.0)], "occupancy_count double, hvac_on string, energy_kwh double")
+    got = [(r.is_opportunity, r.potential_energy_savings) for r in merge.flag_opportunity(rows).collect()]
+    assert got == [(False, 0.0), (True, 2.0), (True, 3.0), (False, 0.0)]
 
 
 def test_grid_is_dense_per_zone(occ, at):

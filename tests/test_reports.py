@@ -65,18 +65,34 @@ COMFORT = "below_band_pct double, above_band_pct double, out_of_band_pct double"
 
 
 def test_occupancy_insights(spark):
-    heat = spark.createDataFrame([(1, 9, 15.0, 100), (1, 10, 20.0, 100), (2, 9, 10.0, 100), (2, 10, 11.0, 100)], HEAT)
-    spaces = spark.createDataFrame(
-        [("1", "R 1001", 12.0, 40, 100), ("2", "R 1002", 8.5, 32, 100), ("3", "R 1003", 3.2, 10, 100), ("4", "R 1004", 2.4, 8, 100)], SPACES)
-    got = insights.occupancy_insights(heat, spaces, 2).collect()
-    assert [tuple(r) for r in got] == [("Monday", "10:00", "20.00", "R 1001", "12.00", ["R 1004", "R 1003"])]
+    rng = np.random.default_rng(5)
+    cells = [(d, h, float(rng.integers(0, 400)) / 8, int(rng.integers(1, 50))) for d in range(7) for h in range(6, 20)]
+    rooms = [(str(i), f"room {i:02d}", float(rng.integers(0, 90)) / 4, int(rng.integers(1, 60)), 30) for i in range(25)]
+    got = insights.occupancy_insights(spark.createDataFrame(cells, HEAT), spark.createDataFrame(rooms, SPACES), 4).first()
+    day_means = {d: np.mean([c[2] for c in cells if c[0] == d]) for d in range(7)}
+    weekdays = ["Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday"]
+    top_cell = max(cells, key=lambda c: (c[2], -c[0], -c[1]))
+    top_room = max(rooms, key=lambda r: (r[2], [-ord(x) for x in r[1]]))
+    quiet = [r[1] for r in sorted(rooms, key=lambda r: (r[2], r[1]))[:4]]
+    assert tuple(got) == (
+        weekdays[max(day_means, key=day_means.get)], f"{top_cell[1]:02d}:00", f"{top_cell[2]:.2f}", top_room[1], f"{top_room[2]:.2f}", quiet,
+    )
 
 
 def test_hvac_insights(spark):
-    zones = spark.createDataFrame([("A", 74.0, 1.2, 8.0, 1000), ("B", 70.5, 3.1, 12.0, 1000), ("C", 78.2, 2.0, 25.0, 1000)], ZONES)
-    comfort = spark.createDataFrame([(5.0, 9.0, 14.0)], COMFORT)
-    assert tuple(insights.hvac_insights(zones, comfort).first()) == ("B", "3.10", "C", "78.20", "B", "70.50", "14.00")
-    assert insights.hvac_insights(zones, comfort.limit(0)).first().overall_out_of_band_pct == "15.00"
+    rng = np.random.default_rng(6)
+    zones = [(f"zone {i}", 60 + float(rng.integers(0, 160)) / 8, float(rng.integers(1, 64)) / 16, float(rng.integers(0, 100)), 50) for i in range(12)]
+    zones.append(("no reading", None, None, None, 0))
+    known = [z for z in zones if z[1] is not None]
+    got = insights.hvac_insights(spark.createDataFrame(zones, ZONES), spark.createDataFrame([(1.0, 2.0, 3.25)], COMFORT)).first()
+    swings, hot, cold = max(known, key=lambda z: z[2]), max(known, key=lambda z: z[1]), min(known, key=lambda z: z[1])
+    # ties go to the smaller label
+    swings = min(z for z in known if z[2] == swings[2])
+    hot, cold = min(z for z in known if z[1] == hot[1]), min(z for z in known if z[1] == cold[1])
+    assert tuple(got) == (swings[0], f"{swings[2]:.2f}", hot[0], f"{hot[1]:.2f}", cold[0], f"{cold[1]:.2f}", "3.25")
+    mean = np.mean([z[3] for z in known])
+    alone = insights.hvac_insights(spark.createDataFrame(zones, ZONES), spark.createDataFrame([], COMFORT)).first()
+    assert alone.overall_out_of_band_pct == f"{mean:.2f}"
 
 
 def test_insights_of_nothing(spark):

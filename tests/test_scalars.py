@@ -105,3 +105,15 @@ def test_chosen_days():
     assert canonical.chosen_days((one, None), first, last) == (one, last)
     assert canonical.chosen_days(one, first, last) == (one, one)
     assert canonical.chosen_days(None, first, last) == (first, last)
+
+
+def test_rounding_keeps_large_numbers(spark):
+    df = spark.createDataFrame([(1e29,), (-3e30,), (1.005,), (2.5,), (None,), (float("nan"),)], "x double")
+    got = [r.x for r in df.select(s.round_to("x", 2).alias("x")).collect()]
+    assert got == [1e29, -3e30, 1.01, 2.5, None, None]
+
+
+def test_bucket_keeps_nulls(spark):
+    df = spark.sql("SELECT * FROM VALUES (timestamp_ntz'2025-01-01 10:59:59.9'), (timestamp_ntz'1969-12-31 23:59:00'), (NULL) AS t(x)")
+    got = [str(r.b) for r in df.select(s.bucket("x", 900).alias("b")).collect()]
+    assert got == ["2025-01-01 10:45:00", "1969-12-31 23:45:00", "None"]
