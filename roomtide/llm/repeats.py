@@ -46,7 +46,7 @@ from roomtide.session import durable
 portable(__name__)
 
 LENGTH, GRAM = 200, 32
-GROUP_BYTES, HOT = 2 << 20, 4096
+GROUP_BYTES, HOT = 1 << 19, 1024
 PLACE = np.uint64((1 << 31) - 1)
 
 
