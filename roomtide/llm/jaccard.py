@@ -9,19 +9,23 @@ Documents with the same shingle set are one node; nodes x and y link when
    ``o = threshold (n + m) / (100 + threshold)``, so below a level where x posts
    ``s`` of its ``n`` shingles the two share at least ``o - (n - s)``, the
    occurrence bound T. A node that shares fewer shingles with all others
-   together is dropped at once. This is exact, and most nodes go here.
-2. Collapse. Each list names a hub (its smallest node under a few fixed
-   orders); nodes that share enough with a hub are compared with it. One link
-   suffices to put a node into a large group, so thousands of near copies shrink
-   to a few components without comparing all pairs. Nothing is dropped here.
-3. T-occurrence search for what the hubs left: only lists that still touch two
+   together is dropped at once. This is exact, and most nodes go here. The
+   texts of those that stay are packed into a table, from which denser lists,
+   in the end of all shingles, are made and pruned in the same way. What a node
+   shares with all others together also bounds each pair's overlap.
+2. Collapse. In a few rounds, nodes are put into bands by their smallest
+   shared shingles and compared with their neighbours there, if the two are not
+   connected yet and can link at all. One link suffices to put a node into a large group, so
+   thousands of near copies shrink to a few components without comparing all
+   pairs. Nothing is dropped here.
+3. T-occurrence search for what the bands left: only lists that still touch two
    components count. A node is the query for larger nodes (ties by node). Of its
    lists the longest, at most T - 1, are set aside (DivideSkip); the others are
    merged with a heap, and a node found often enough is a candidate. In a list
    that is mostly one component, members of that component see only the rest of
    the list. Lists are cut into pieces by the hash of the node, so a query never
    holds an unbounded list.
-4. Candidates are verified on the whole sets: every shingle list not merged is
+4. Candidates, each node's best first, are verified on the whole sets: every shingle list not merged is
    probed by binary search in the other node's sorted shingles.
 
 Components come from label propagation with pointer jumping over the verified
@@ -50,9 +54,12 @@ from roomtide.session import durable
 portable(__name__)
 
 SHINGLE, THRESHOLD = 4, 85
-LEVELS = (0.2, 0.3, 0.5, 1.0)
-HUB_ORDERS = (0, -1, 0x5DEECE66D5DEECE6, 0x2545F4914F6CDD1D)
-HUB_SHARE = 0.3  # of a node's posted shingles that must name a hub before the two are compared
+LEVELS = (0.2, 0.3, 0.5, 1.0)  # first lists, of all nodes
+DENSER = ((0.5, 1.0), (1.0,))  # second and third lists, of the nodes that stay
+ROUNDS = ((2, 2, 1, 1), (1, 1, 1, 1))  # shingles in the keys of each round's bands
+BEST_FIRST = (4, 16)  # candidates of each node that are verified before the rest of them
+SLICE = 256  # nodes of a band that are sorted together
+KNOWN_BYTES = 64 << 20  # shingle sets that a verifying task keeps
 LONG_LIST, PIECE = 32, 1024
 
 
@@ -81,7 +88,7 @@ def shingle_sets(texts: pa.Array, hasher: Hasher, k: int) -> tuple[np.ndarray, n
 class NodeFacts:
     """Per text of a block: node key, number of shingles, posted shingles, and the bounds for its partners."""
 
-    def __init__(self, grams: np.ndarray, bounds: np.ndarray, threshold: int):
+    def __init__(self, grams: np.ndarray, bounds: np.ndarray, threshold: int, levels: tuple[float, ...] = LEVELS):
         n = np.diff(bounds)
         self.n = n
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(grams))])
@@ -91,7 +98,7 @@ class NodeFacts:
         self.to_stay = np.ones(len(n), dtype=np.int64)  # shared with all others together, if any link exists
         open_, bound = n > 0, np.full(len(n), np.iinfo(np.int64).max)
         overlap = -(-2 * threshold * n // (100 + threshold))
-        for k, level in enumerate(LEVELS):
+        for k, level in enumerate(levels):
             limit = np.uint64(min(int(level * 2.0**64), (1 << 64) - 1))
             below = np.concatenate([[0], np.cumsum(grams <= limit)])
             s = below[bounds[1:]] - below[bounds[:-1]]
@@ -140,22 +147,68 @@ def postings(docs: DataFrame, text_col: str, k: int, threshold: int) -> DataFram
 
 # --- inverted lists ---------------------------------------------------------
 
-def shared_postings(docs: DataFrame, nodes: DataFrame, text_col: str, k: int, threshold: int) -> DataFrame:
-    """Postings of the shingles that two nodes post, of the nodes that share enough for a link. Written out."""
-    all_rows = postings(docs, text_col, k, threshold)
-    shared = all_rows.groupBy("shingle").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).where("_a <> _b").select("shingle")
-    rows = durable(all_rows.join(shared, "shingle").distinct())
+def pruned(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``rows`` of lists with two nodes, of nodes that share enough for a link. Written out."""
     for _ in range(2):  # dropping nodes leaves lists with one node, so a second pass drops more
         stay = (
             rows.groupBy("node").agg(F.count(F.lit(1)).alias("_shared")).join(nodes, "node")
             .where(F.col("_shared") >= F.col("to_stay")).select("node")
         )
         kept = rows.join(stay, "node")
-        shared = kept.groupBy("shingle").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).where("_a <> _b").select("shingle")
-        rows = durable(kept.join(shared, "shingle"))
+        rows = durable(kept.join(shared_shingles(kept), "shingle"))
     return rows
 
 
+def shared_shingles(rows: DataFrame) -> DataFrame:
+    ends = rows.groupBy("shingle").agg(F.min("node").alias("_a"), F.max("node").alias("_b"))
+    return ends.where("_a <> _b").select("shingle")
+
+
+def shared_postings(docs: DataFrame, nodes: DataFrame, text_col: str, k: int, threshold: int) -> DataFrame:
+    """First lists: what all documents post below LEVELS, pruned."""
+    all_rows = postings(docs, text_col, k, threshold)
+    return pruned(durable(all_rows.join(shared_shingles(all_rows), "shingle").distinct()), nodes)
+
+
+def dense_postings(texts: DataFrame, k: int, threshold: int, levels: tuple[float, ...]) -> tuple[DataFrame, DataFrame]:
+    """Denser lists, of the nodes that are left: what they post below ``levels``, pruned, and the nodes' facts.
+
+    With more shingles a pair must share a larger part of them, so this drops
+    most nodes that only share a passage.
+    """
+    def facts(batches):
+        for _, f in unpacked(batches):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(f.node), *map(pa.array, (f.n, f.posted, f.at_least, f.to_stay))],
+                names=["node", "n", "posted", "at_least", "to_stay"],
+            )
+
+    def post(batches):
+        for grams, f in unpacked(batches):
+            rank = np.arange(len(grams)) - np.repeat(np.cumsum(f.n) - f.n, f.n)
+            kept = rank < np.repeat(f.posted, f.n)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(grams[kept].view(np.int64)), pa.array(np.repeat(f.node, f.posted))], names=["shingle", "node"]
+            )
+
+    def unpacked(batches):
+        hasher = Hasher()
+        for batch in batches:
+            for first in range(0, batch.num_rows, 100):
+                some = batch.slice(first, 100)
+                raw = [
+                    pa.decompress(p, decompressed_size=n, codec="zstd", asbytes=True)
+                    for n, p in zip(some.column(1).to_pylist(), some.column(2).to_pylist())
+                ]
+                grams, bounds = shingle_sets(pa.array([r.decode("utf-8") for r in raw], pa.string()), hasher, k)
+                yield grams, NodeFacts(grams, bounds, threshold, levels)
+
+    packed = texts.select("node", "size", "packed")
+    nodes = durable(packed.mapInArrow(facts, "node bigint, n bigint, posted bigint, at_least bigint, to_stay bigint"))
+    all_rows = packed.mapInArrow(post, "shingle bigint, node bigint")
+    return pruned(durable(all_rows.join(shared_shingles(all_rows), "shingle")), nodes), nodes
+
+
 def node_texts(docs: DataFrame, rows: DataFrame, text_col: str, k: int, threshold: int) -> DataFrame:
     """(node, size, packed): one compressed text for each node of ``rows``. Written out."""
     def pack(batches):
@@ -181,14 +234,17 @@ def node_texts(docs: DataFrame, rows: DataFrame, text_col: str, k: int, threshol
 def verify(pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
     """The (x, y) of ``pairs`` that link. Written out."""
     def check(batches):
-        hasher, known = Hasher(), OrderedDict()
+        hasher, known, held = Hasher(), OrderedDict(), 0
 
         def grams(node, size, packed):
+            nonlocal held
             if node not in known:
                 text = pa.decompress(packed, decompressed_size=size, codec="zstd", asbytes=True).decode("utf-8")
                 known[node] = shingle_sets(pa.array([text], pa.string()), hasher, k)[0]
-                if len(known) > 64:
-                    known.popitem(last=False)
+                held += known[node].nbytes
+                while held > KNOWN_BYTES and len(known) > 2:
+                    held -= known.popitem(last=False)[1].nbytes
+            known.move_to_end(node)
             return known[node]
 
         for batch in batches:
@@ -253,36 +309,64 @@ def open_lists(rows: DataFrame) -> DataFrame:
     return rows.join(mixed_lists, "shingle")
 
 
-def hub_pairs(rows: DataFrame, nodes: DataFrame, order: int, threshold: int) -> DataFrame:
-    """(x, y): nodes and the hubs of their lists, if enough lists agree and the sizes allow a link."""
-    mask = F.lit(order).cast("bigint")
-    hubs = rows.groupBy("shingle").agg(F.min(F.col("node").bitwiseXOR(mask)).alias("_hub")).select(
-        "shingle", F.col("_hub").bitwiseXOR(mask).alias("y")
+def band_keys(rows: DataFrame) -> DataFrame:
+    """(round, mask, band, node): a key of each node for every band: its smallest posted shingles in the band's order. Written out.
+
+    Nodes that agree in a key are likely to be similar, the more so the more shingles the key is made of.
+    """
+    own = rows.groupBy("node").agg(F.collect_list("shingle").alias("_own"))
+    bands, no = [], 0
+    for number, sizes in enumerate(ROUNDS):
+        for size in sizes:
+            mask = F.lit((no * 0x9E3779B97F4A7C1) & ((1 << 60) - 1)).cast("bigint")
+            least = F.slice(F.array_sort(F.transform("_own", lambda x, mask=mask: x.bitwiseXOR(mask))), 1, size)
+            bands.append(F.struct(F.lit(number).alias("round"), mask.alias("mask"), F.xxhash64(F.lit(no), least).alias("band")))
+            no += 1
+    return durable(own.select("node", F.inline(F.array(*bands))))
+
+
+def feasible(threshold: int):
+    """Do the sizes, and what each side shares at most, allow x and y to link?"""
+    need = threshold * (F.col("_nx") + F.col("_ny"))
+    return (
+        (100 * F.least("_nx", "_ny") >= threshold * F.greatest("_nx", "_ny"))
+        & ((100 + threshold) * F.least("_mx", "_my") >= need)
     )
-    owner = rows.select("shingle", F.col("node").alias("y"), F.col("component").alias("_cy"))
-    hubs = hubs.join(owner, ["shingle", "y"])
-    pairs = (
-        rows.join(hubs, "shingle").where(F.col("component") != F.col("_cy"))
-        .groupBy(F.col("node").alias("x"), "y").agg(F.count(F.lit(1)).alias("_c"))
+
+
+def band_pairs(bands: DataFrame, nodes: DataFrame, labels: DataFrame | None, number: int, threshold: int) -> DataFrame:
+    """(x, y): neighbours in their bands, sorted by size and then in the band's order, where components differ and a
+    link is possible. A large band is cut into slices of about ``SLICE`` nodes by hash."""
+    sized = labelled(bands.where(F.col("round") == number), labels).join(nodes.select("node", "n", "most"), "node")
+    open_ = sized.groupBy("band").agg(
+        F.count(F.lit(1)).alias("_rows"), (F.min("component") != F.max("component")).alias("_open")
+    ).where("_open")
+    sized = sized.join(open_, "band").withColumn("_slice", F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("_rows") / SLICE)))
+    order = Window.partitionBy("band", "_slice").orderBy("n", F.col("node").bitwiseXOR(F.col("mask")))
+    before = F.lag(F.struct("node", "component", "n", "most")).over(order)
+    pairs = sized.withColumn("_b", before).where(F.col("_b").isNotNull() & (F.col("component") != F.col("_b.component")))
+    pairs = pairs.select(
+        F.col("node").alias("x"), F.col("_b.node").alias("y"), F.col("n").alias("_nx"), F.col("most").alias("_mx"),
+        F.col("_b.n").alias("_ny"), F.col("_b.most").alias("_my"),
     )
-    size = lambda side: nodes.select(F.col("node").alias(side), F.col("n").alias(f"_n{side}"), F.col("posted").alias(f"_s{side}"))
-    pairs = pairs.join(size("x"), "x").where(F.col("_c") >= HUB_SHARE * F.col("_sx")).join(size("y"), "y")
-    return pairs.where(100 * F.least("_nx", "_ny") >= threshold * F.greatest("_nx", "_ny")).select("x", "y")
+    return pairs.where(feasible(threshold)).select("x", "y").distinct()
 
 
 def divide_skip(rows: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
-    """(x, y): candidates of the T-occurrence search; x is the smaller node."""
+    """(x, y, times): candidates of the T-occurrence search, and how often the merged lists hold y; x is the smaller node."""
     by_component = rows.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("_k"))
     lists = by_component.groupBy("shingle").agg(
         F.max_by("component", F.struct("_k", "component")).alias("_major"), F.sum("_k").alias("_all"), F.max("_k").alias("_most")
     )
-    facts = nodes.select("node", "n", "at_least")
+    facts = nodes.select("node", "n", "posted", "at_least", "most")
     seen = F.when(F.col("component") == F.col("_major"), F.col("_all") - F.col("_most")).otherwise(F.col("_all"))
     placed = durable(rows.join(lists, "shingle").select(
         "shingle", "node", "component", (F.col("component") == F.col("_major")).alias("_in_major"), seen.alias("_length")
     ))
     longest = Window.partitionBy("node").orderBy(F.col("_length").desc(), "shingle")
-    divided = placed.join(facts, "node").withColumn("_rank", F.row_number().over(longest)).withColumn(
+    # a query asks for larger nodes, so it must share T with others at all
+    asking = placed.join(facts.where(F.col("most") - F.col("n") + F.col("posted") >= F.col("at_least")), "node")
+    divided = asking.withColumn("_rank", F.row_number().over(longest)).withColumn(
         "_skip", (F.col("_length") > LONG_LIST) & (F.col("_rank") < F.col("at_least"))
     )
     divided = divided.withColumn("_need", F.col("at_least") - F.sum(F.col("_skip").cast("bigint")).over(Window.partitionBy("node")))
@@ -303,20 +387,24 @@ def divide_skip(rows: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
 
     def merge(batches):
         for batch in batches:
-            x, y = [], []
+            x, y, times = [], [], []
             for query, need, sorted_lists in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
                 for node, run in groupby(heapq.merge(*sorted_lists)):
-                    if node != query and sum(1 for _ in run) >= need:
+                    count = sum(1 for _ in run)
+                    if node != query and count >= need:
                         x.append(query)
                         y.append(node)
-            yield pa.RecordBatch.from_pydict({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64())})
+                        times.append(count)
+            yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in (("x", x), ("y", y), ("times", times))})
 
-    found = grouped.mapInArrow(merge, "x bigint, y bigint")
+    found = grouped.mapInArrow(merge, "x bigint, y bigint, times bigint")
     of = rows.select("node", "component").distinct().join(facts, "node")
-    side = lambda s: of.select(F.col("node").alias(s), F.col("component").alias(f"_c{s}"), F.col("n").alias(f"_n{s}"))
+    side = lambda s: of.select(
+        F.col("node").alias(s), F.col("component").alias(f"_c{s}"), F.col("n").alias(f"_n{s}"), F.col("most").alias(f"_m{s}")
+    )
     sized = found.join(side("x"), "x").join(side("y"), "y")
     larger = (F.col("_ny") > F.col("_nx")) | ((F.col("_ny") == F.col("_nx")) & (F.col("y") > F.col("x")))
-    return sized.where((F.col("_cx") != F.col("_cy")) & larger & (100 * F.col("_nx") >= threshold * F.col("_ny"))).select("x", "y")
+    return sized.where((F.col("_cx") != F.col("_cy")) & larger & feasible(threshold)).select("x", "y", "times")
 
 
 # --- the join ---------------------------------------------------------------
@@ -328,6 +416,12 @@ def node_components(docs: DataFrame, nodes: DataFrame, text_col: str, k: int, th
     if rows.isEmpty():
         return None
     texts = node_texts(docs, rows, text_col, k, threshold)
+    for levels in DENSER:
+        rows, distinct = dense_postings(texts.join(rows.select("node").distinct(), "node"), k, threshold, levels)
+    if rows.isEmpty():
+        return None
+    shared = rows.groupBy("node").agg(F.count(F.lit(1)).alias("_shared"))
+    distinct = durable(distinct.join(shared, "node").withColumn("most", F.col("n") - F.col("posted") + F.col("_shared")).drop("_shared"))
     links, labels = None, None
 
     def add(found: DataFrame) -> None:
@@ -337,9 +431,19 @@ def node_components(docs: DataFrame, nodes: DataFrame, text_col: str, k: int, th
             links = found if links is None else durable(links.union(found))
             labels = components(links)
 
-    for order in HUB_ORDERS:
-        add(hub_pairs(open_lists(labelled(rows, labels)), distinct, order, threshold))
-    add(divide_skip(durable(open_lists(labelled(rows, labels))), distinct, threshold))
+    bands = band_keys(rows)
+    for number in range(len(ROUNDS)):
+        add(band_pairs(bands, distinct, labels, number, threshold))
+    left = durable(divide_skip(durable(open_lists(labelled(rows, labels))), distinct, threshold))
+    for first in (*BEST_FIRST, None):  # a node that has found its group needs no further candidates in it
+        for side in ("x", "y"):
+            left = labelled(left.withColumnRenamed(side, "node"), labels).withColumnsRenamed({"node": side, "component": f"_c{side}"})
+        left = left.where("_cx <> _cy").drop("_cx", "_cy")
+        best = Window.partitionBy("x").orderBy(F.col("times").desc(), "y")
+        ranked = durable(left.withColumn("_rank", F.row_number().over(best)))
+        taken = ranked if first is None else ranked.where(F.col("_rank") <= first)
+        add(taken)
+        left = ranked.where(F.col("_rank") > (first or 0)).drop("_rank")
     return labels
 
 

@@ -110,7 +110,7 @@ def test_jaccard_components(docs, rows):
 
 def test_jaccard_search_without_hubs(spark, monkeypatch):
     """Chains and rings of near copies that only the T-occurrence search can link, with long and cut lists."""
-    monkeypatch.setattr(jaccard, "HUB_ORDERS", ())
+    monkeypatch.setattr(jaccard, "ROUNDS", ((),))
     monkeypatch.setattr(jaccard, "LONG_LIST", 2)
     monkeypatch.setattr(jaccard, "PIECE", 2)
     rows = []
