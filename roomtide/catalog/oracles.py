@@ -316,6 +316,12 @@ ORACLES: dict[str, str] = {
         last_value(tou_rate ignore nulls) over (partition by zone_id order by timestamp {ROWS_BACK}),
         first_value(tou_rate ignore nulls) over (partition by zone_id order by timestamp {ROWS_AHEAD}))''')} as tou_rate
         from (select *, {hour('timestamp')} as hour from v_occ) left join rates using (hour)""", "v_occ", "rates"),
+    "add_tou_dirty": sql(f"""select timestamp, zone_id, occupancy_count, hour, {r(f'''coalesce(
+        last_value(tou_rate ignore nulls) over (partition by zone_id order by timestamp nulls last {ROWS_BACK}),
+        first_value(tou_rate ignore nulls) over (partition by zone_id order by timestamp nulls last {ROWS_AHEAD}))''')} as tou_rate
+        from (select *, {hour('timestamp')} as hour from (select case when mark <> 3 then timestamp end as timestamp,
+        case when mark <> 5 then zone_id end as zone_id, occupancy_count from
+        (select *, ((cast(trunc(occupancy_count) as bigint) % 11) + 11) % 11 as mark from v_occ))) left join rates using (hour)""", "v_occ", "rates"),
     "opportunity_flag": sql(_opportunity("merged_left"), "merged_left"),
     "dense_grid": sql(f"select zone_id, timestamp, {r('occupancy_count')} as occupancy_count from dense", "dense"),
     "weather_interpolated": sql(f"select timestamp, {r('outside_temp')} as outside_temp from wline", "wline"),
@@ -336,6 +342,22 @@ ORACLES: dict[str, str] = {
         {hour('timestamp')} as hour, {dow('timestamp')} as day_of_week, cast(extract(isodow from timestamp) >= 6 as int) as is_weekend,
         lag(occupancy, 1) over (order by timestamp) as occ_lag_1h, lag(occupancy, 24) over (order by timestamp) as occ_lag_24h
         from hours left join v_weather using (timestamp)) where outside_temp is not null and occ_lag_24h is not null""", "hours", "v_weather"),
+    "gbt_hourly_frame": sql(f"""select f.*, case when pos < floor(floor(n * 0.8::double) * (1.0::double - 0.1::double)) then 'train'
+        when pos < floor(n * 0.8::double) then 'validate' else 'test' end as part
+        from (select * from (select timestamp, occupancy, {r(f'last_value(outside_temp ignore nulls) over (order by timestamp {ROWS_BACK})')} as outside_temp,
+        {hour('timestamp')} as hour, {dow('timestamp')} as day_of_week, cast(extract(isodow from timestamp) >= 6 as int) as is_weekend,
+        lag(occupancy, 1) over (order by timestamp) as occ_lag_1h, lag(occupancy, 24) over (order by timestamp) as occ_lag_24h
+        from hours left join v_weather using (timestamp)) where outside_temp is not null and occ_lag_24h is not null) f
+        join (select timestamp as moment, row_number() over (order by timestamp) - 25 as pos, count(*) over () - 24 as n from hours) on moment = f.timestamp""",
+        "hours", "v_weather"),
+    "regression_slot_sums": sql(f"""select * from (with rows as (select zone_id, ds, y, outside_temp from train left join wline on wline.timestamp =
+        greatest(least(ds, (select max(timestamp) from wline)), (select min(timestamp) from wline))),
+        mid as (select zone_id, quantile_cont(outside_temp, 0.5) as temp_mid from rows group by 1),
+        parts as (select zone_id, temp_mid, {dow('ds')} as dow, {minute('ds')} as minute, y,
+        (epoch_us(ds) - 1577836800000000) / 31557600000000.0::double as t, outside_temp - temp_mid as x from rows join mid using (zone_id))
+        select zone_id, {r('temp_mid')} as temp_mid, dow, minute, count(*)::double as n, {r('sum(t)')} as t, {r('sum(x)')} as x, {r('sum(t * t)')} as tt,
+        {r('sum(x * x)')} as xx, {r('sum(t * x)')} as tx, {r('sum(y)')} as y, {r('sum(t * y)')} as ty, {r('sum(x * y)')} as xy, {r('sum(y * y)')} as yy
+        from parts group by all)""", "train", "wline"),
     "chronological_split": sql("""select timestamp, zone_id, occupancy_count, row_number() over (partition by zone_id order by timestamp)
         <= floor(count(*) over (partition by zone_id) * 0.8::double) as is_train from norm""", "norm"),
     "infer_step_hours": sql(f"""select {r('quantile_cont(gap, 0.5) / 3600.0')} as step_hours from

@@ -330,6 +330,16 @@ def sliding_sequences(d: Demo) -> DataFrame:
     )
 
 
+@query
+def add_tou_dirty(d: Demo) -> DataFrame:
+    """Some rows have no time, some no zone."""
+    mark = F.pmod(F.col("occupancy_count").cast("bigint"), F.lit(11))
+    rows = d.occ.withColumns({
+        "timestamp": F.when(mark != 3, F.col("timestamp")), "zone_id": F.when(mark != 5, F.col("zone_id")),
+    })
+    return merge.add_tariff(rows, d.tariff).select("timestamp", "zone_id", "occupancy_count", "hour", "tou_rate")
+
+
 # --- forecasting ------------------------------------------------------------
 
 def train_frame(d: Demo) -> DataFrame:
@@ -406,6 +416,18 @@ def seasonal_regression_forecast(d: Demo) -> DataFrame:
     return regression.predict_regression(model, future)
 
 
+@query
+def regression_slot_sums(d: Demo) -> DataFrame:
+    rows = forecast.temperatures(train_frame(d), d.weather, "15min")
+    return regression.slot_sums(forecast.model_rows(rows))
+
+
+@query
+def gbt_hourly_frame(d: Demo) -> DataFrame:
+    hourly = series.hourly_series(d.occ, "timestamp", "occupancy_count")
+    return boosted.split_hourly(series.hourly_features(hourly, d.weather), 0.8, 0.1).drop("slot", "slots")
+
+
 @query
 def gbt_hourly_forecast(d: Demo) -> DataFrame:
     hourly = series.hourly_series(d.occ, "timestamp", "occupancy_count")

@@ -84,6 +84,11 @@ def fit_regression(train: DataFrame) -> DataFrame:
     rows = model_rows(train)
     if "outside_temp" not in rows.columns:
         rows = rows.withColumn("outside_temp", F.lit(None).cast("double"))
+    return durable(slot_sums(rows).groupBy("zone_id").applyInPandas(zone_solver(), COEFFICIENTS))
+
+
+def slot_sums(rows: DataFrame) -> DataFrame:
+    """Ten sums per zone and weekly slot; all that the normal equations need of ``zone_id, ds, y, outside_temp``."""
     middle = durable(percentiles(rows, ["zone_id"], "outside_temp", {"temp_mid": 0.5}))
     rows = rows.join(middle, "zone_id", "left").withColumn("temp_mid", F.coalesce("temp_mid", F.lit(0.0)))
     rows = rows.select(
@@ -93,10 +98,9 @@ def fit_regression(train: DataFrame) -> DataFrame:
     )
     t, x, y = F.col("_t"), F.col("_x"), F.col("_y")
     products = {"t": t, "x": x, "tt": t * t, "xx": x * x, "tx": t * x, "y": y, "ty": t * y, "xy": x * y, "yy": y * y}
-    sums = rows.groupBy("zone_id", "temp_mid", "dow", "minute").agg(
+    return rows.groupBy("zone_id", "temp_mid", "dow", "minute").agg(
         F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(v).alias(k) for k, v in products.items()]
     )
-    return durable(sums.groupBy("zone_id").applyInPandas(zone_solver(), COEFFICIENTS))
 
 
 def predict_regression(model: DataFrame, future: DataFrame) -> DataFrame:
