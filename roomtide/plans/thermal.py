@@ -126,37 +126,37 @@ def select_threshold(train: DataFrame, delta: str = "cooling_delta_f", target: s
 
 
 class ThermalStudy:
-    """All report tables of one building over one raw frame."""
+    """All report tables of one building over one raw frame.
+
+    Threshold, cut-off and step are one-row results; they enter the tables as
+    scalar subqueries, so a table is one plan and nothing runs while it is built.
+    """
 
     def __init__(self, raw: DataFrame, settings: ThermalSettings = ThermalSettings(), tie_breaker: str | None = None):
         self.raw, self.settings, self.tie_breaker = raw, settings, tie_breaker
         self.signal = signal(raw, (tie_breaker,) if tie_breaker else ())
 
-    @cached_property
-    def prepared(self) -> DataFrame:
-        """The signal, parsed once and written as a typed table for the passes below."""
-        return durable(self.signal)
-
-    @property
-    def rows(self) -> DataFrame:
-        """The written table where a pass has needed it already, else the signal itself."""
-        return self.__dict__.get("prepared", self.signal)
+    def written(self) -> ThermalStudy:
+        """The same study over its signal written as a typed table: worth it when several report tables are wanted."""
+        study = ThermalStudy(self.raw, self.settings, self.tie_breaker)
+        study.signal = durable(self.signal)
+        return study
 
     @cached_property
     def split(self) -> DataFrame:
         return chronological_split(
-            self.prepared, [], "timestamp", self.settings.train_ratio, self.tie_breaker, at_least=1
+            self.signal, [], "timestamp", self.settings.train_ratio, self.tie_breaker, at_least=1
         )
 
     @cached_property
     def threshold(self) -> DataFrame:
         """One row: ``threshold_f, balanced_accuracy``, found on the training part."""
-        return durable(select_threshold(self.split.where("is_train")))
+        return select_threshold(self.split.where("is_train"))
 
     @cached_property
     def step(self) -> DataFrame:
         """One row: ``step_hours``."""
-        return durable(step_hours(self.prepared, "timestamp"))
+        return step_hours(self.signal, "timestamp")
 
     @cached_property
     def classified(self) -> DataFrame:
@@ -208,7 +208,7 @@ class ThermalStudy:
 
     def weekly_profile(self) -> DataFrame:
         keys = [dow_mon0("timestamp").alias("day_of_week"), hour_of("timestamp").alias("hour")]
-        return self.rows.groupBy(*keys).agg(
+        return self.signal.groupBy(*keys).agg(
             F.avg("cooling_delta_f").alias("expected_cooling_delta_f"),
             F.avg("hvac_kw").alias("expected_hvac_kw"),
             share(F.col("occupied_actual")).alias("occupancy_rate_actual"),
@@ -226,7 +226,7 @@ class ThermalStudy:
 
     def _forecast(self) -> DataFrame:
         s = self.settings
-        newest = self.with_step(self.prepared.agg(F.max("timestamp").alias("_last")).where(F.col("_last").isNotNull()))
+        newest = self.with_step(self.signal.agg(F.max("timestamp").alias("_last")).where(F.col("_last").isNotNull()))
         steps = F.greatest(F.rint(F.lit(float(s.forecast_hours)) / F.col("_step")), F.lit(1.0)).cast("bigint")
         span = newest.select(
             after("_last", F.col("_step_us")).alias("_start"), steps.alias("_n"), "_step", "_step_us"
@@ -235,7 +235,7 @@ class ThermalStudy:
         grid = grid.withColumns({"day_of_week": dow_mon0("timestamp"), "hour": hour_of("timestamp")})
         # the weekly profile has at most 168 rows
         rows = grid.join(F.broadcast(self.weekly_profile()), ["day_of_week", "hour"], "left")
-        spread = self.prepared.agg(F.greatest(F.stddev_samp("cooling_delta_f") / 4.0, F.lit(MIN_SPREAD))).scalar()
+        spread = self.signal.agg(F.greatest(F.stddev_samp("cooling_delta_f") / 4.0, F.lit(MIN_SPREAD))).scalar()
         limit = self.threshold.select("threshold_f").scalar()
         z = (F.col("expected_cooling_delta_f") - limit) / spread
         low, high = PROBABILITY_RANGE
@@ -259,7 +259,7 @@ class ThermalStudy:
 
     def summary(self) -> DataFrame:
         delta, there = F.col("cooling_delta_f"), F.col("occupied_actual")
-        one = self.prepared.agg(
+        one = self.signal.agg(
             F.count(F.lit(1)).cast("bigint").alias("rows"),
             F.min("timestamp").alias("start"), F.max("timestamp").alias("end"),
             F.avg(F.when(there, delta)).alias("occupied_delta_mean_f"),
@@ -278,7 +278,10 @@ class ThermalStudy:
         return one
 
     def report(self) -> dict[str, DataFrame]:
-        """Report sections by name, for ``sinks.write_sections``."""
+        """Report sections by name, for ``sinks.write_sections``; the signal is written once for all of them."""
+        return self.written()._sections()
+
+    def _sections(self) -> dict[str, DataFrame]:
         s = self.settings
         config = self.threshold.select(
             "threshold_f", *[F.lit(v).alias(k) for k, v in vars(s).items()]
