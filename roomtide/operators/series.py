@@ -71,8 +71,8 @@ def thin(df: DataFrame, order: Sequence[str], points: int) -> DataFrame:
     """Keep ``points`` evenly spaced rows (all of them when there are fewer).
 
     Wanted positions are those of an even spacing from the first to the last
-    row, rounded half to even. The list has ``points`` rows, so it is
-    broadcast.
+    row, rounded half to even; arithmetic on a row's number tells
+    whether it is one of them.
     """
     rows = number_rows(df, [], order, "_row")
     # position i lies at i * (n - 1) / (points - 1)

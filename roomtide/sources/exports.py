@@ -9,6 +9,7 @@ from __future__ import annotations
 import csv
 import re
 from collections.abc import Iterable, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -82,13 +83,15 @@ def with_week_order(df: DataFrame, file_name: str = "file_name") -> DataFrame:
 
 
 def _layouts(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
-    """Files of a folder by header line; only headers are read here."""
-    files = [r.path for r in spark.read.format("binaryFile").load(path).select("path").collect()]
+    """Files of a folder by header line, found in one job; the driver gets a header line and a name per file."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"),
+    )
+    first = lines.where(F.col("start") == 0).groupBy("file").agg(F.min_by("value", "at").alias("header"))
     groups: dict[tuple[str, ...], list[str]] = {}
-    for name in sorted(files):
-        line = spark.read.text(name).first()
-        header = next(csv.reader([line[0] if line else ""]))
-        groups.setdefault(tuple(header), []).append(name)
+    for row in sorted(first.collect(), key=lambda r: r["file"]):
+        groups.setdefault(tuple(next(csv.reader([row["header"]]))), []).append(unquote(row["file"]))
     return groups
 
 

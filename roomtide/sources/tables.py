@@ -13,6 +13,14 @@ def open_parquet(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def open_csv(spark: SparkSession, path: str, schema: str, **options: str) -> DataFrame:
+    """CSV files with a header line and a declared schema, so that no pass is spent on guessing types.
+
+    A value that does not fit its type becomes null.
+    """
+    return spark.read.schema(schema).options(header=True, mode="PERMISSIVE", **options).csv(path)
+
+
 def open_jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
     """Database table; pass ``partitionColumn``, bounds and ``numPartitions`` for a parallel read."""
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()

@@ -297,3 +297,30 @@ def test_backtest_sink(spark, tmp_path):
     paths = sinks.write_backtest(df, df, str(tmp_path), "20250101_000000")
     assert paths["metrics"].endswith("occupancy_model_metrics_20250101_000000")
     assert spark.read.option("header", True).csv(paths["forecasts"]).first().zone_id == "a"
+
+
+def test_many_exports_are_read_in_few_jobs(spark, tmp_path):
+    header = "Timestamp,AH-01 Occ Eff Status,AH-02 Occ Eff Status,AH-01 Return Air Temp,AH-01 Supply Air Temp,AH-02 Return Air Temp,AH-02 Supply Air Temp,HVAC Meter HVAC Elec Power"
+    folder = tmp_path / "weekly files"
+    folder.mkdir()
+    for i in range(60):
+        lead = "Spare," if i % 2 else ""
+        line = ("x," if i % 2 else "") + f"2025-01-01 {i // 60:02d}:{i % 60:02d}:00,AAAB,AAAA,70,60,71,61,{i}"
+        (folder / f"B_Week_Jan{i % 28 + 1:02d}_{i}.csv").write_text(f"{lead}{header}\n{line}\n")
+    tracker, group = spark.sparkContext.statusTracker(), "exports"
+    spark.sparkContext.setJobGroup(group, "reading headers")
+    rows = exports.read_exports(spark, str(folder))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(tracker.getJobIdsForGroup(group)) <= 3
+    assert sorted(int(r.hvac_power_kw) for r in rows.collect()) == list(range(60))
+
+
+def test_typed_csv(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,at,reading\n1,2025-01-01 00:00:00,2.5\n2,never,x\n")
+    got = tables.open_csv(spark, str(tmp_path / "a.csv"), "id int, at timestamp_ntz, reading double").orderBy("id").collect()
+    assert [(r.id, str(r.at), r.reading) for r in got] == [(1, "2025-01-01 00:00:00", 2.5), (2, "None", None)]
+
+
+def test_hvac_source_takes_the_named_columns(spark, at):
+    rows = spark.createDataFrame([(at(0), "7", 70.5, "x"), (at(15), "8", 71.0, "y")], "timestamp timestamp_ntz, space_id string, zone_temp double, more string")
+    assert tables.hvac_source(rows).count() == 2
