@@ -431,7 +431,7 @@ def node_components(docs: DataFrame, nodes: DataFrame, text_col: str, k: int, th
             links = found if links is None else durable(links.union(found))
             labels = components(links)
 
-    bands = band_keys(rows)
+    bands = band_keys(rows) if ROUNDS else None
     for number in range(len(ROUNDS)):
         add(band_pairs(bands, distinct, labels, number, threshold))
     left = durable(divide_skip(durable(open_lists(labelled(rows, labels))), distinct, threshold))

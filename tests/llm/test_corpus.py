@@ -108,9 +108,9 @@ def test_jaccard_components(docs, rows):
     assert bag(jaccard.jaccard_components(docs), "doc_id", "n_shingles", "component_id") == brute_components(rows)
 
 
-def test_jaccard_search_without_hubs(spark, monkeypatch):
+def test_jaccard_search_without_bands(spark, monkeypatch):
     """Chains and rings of near copies that only the T-occurrence search can link, with long and cut lists."""
-    monkeypatch.setattr(jaccard, "ROUNDS", ((),))
+    monkeypatch.setattr(jaccard, "ROUNDS", ())
     monkeypatch.setattr(jaccard, "LONG_LIST", 2)
     monkeypatch.setattr(jaccard, "PIECE", 2)
     rows = []
