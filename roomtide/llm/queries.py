@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roomtide.llm import chat, decontaminate, jaccard, language, licenses, mixing, quality, repeats, sharding
+from roomtide.llm import chat, decontaminate, jaccard, language, licenses, lines, mixing, quality, repeats, sharding
 from roomtide.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,8 @@ def op10_jaccard_join(table) -> DataFrame:
 @query
 def op9_suffix_dedup(table) -> DataFrame:
     return repeats.repeat_report(table("documents"))
+
+
+@query
+def op3_line_dedup(table) -> DataFrame:
+    return lines.line_report(table("documents"))
