@@ -17,9 +17,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents: the one with the smallest id."""
+    """One document of each group of documents linked at five words and 0.8: the one with the smallest id."""
     tune(spark)
-    return jaccard.keep_one(docs)
+    return jaccard.keep_one(docs, shingle=5, threshold=80)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from roomtide.llm import decontaminate, jaccard, language, licenses, mixing, quality, repeats, sharding
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_words bigint, _size string"
@@ -134,6 +135,17 @@ def test_keep_one_of_each_group(docs, rows):
     assert got == expected
 
 
+def test_pipeline_stage_links_at_five_words_and_80(spark):
+    base, block = sentence(70, 100), sentence(71, 22)
+    rows = [(1, base), (2, f"{base} {block}"), (3, sentence(72, 100))]
+    a, b = ({tuple(t.split()[i:i + k]) for i in range(len(t.split()) - k + 1)} for _, t in rows[:2] for k in [5])
+    assert 80 <= 100 * len(a & b) / len(a | b) < 85
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = corpus_pipeline.near_duplicates(spark, docs, None)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+    assert jaccard.keep_one(docs).count() == 3
+
+
 # --- suffix-array dedup -----------------------------------------------------
 
 @pytest.mark.parametrize("hot", [4096, 1])
