@@ -3,8 +3,8 @@
 A text is the bag of its byte n-grams (one to four bytes, letters only, with
 word borders), each hashed to a row of an embedding table. The mean of the rows
 goes through a linear softmax. Table and softmax are learned by stochastic
-gradient descent in numpy on at most ``per_language`` labelled documents of
-each of at most ``max_languages`` languages, taken by the hash of their text;
+gradient descent in numpy on at most ``per_language`` different labelled texts of
+each of at most ``max_languages`` languages, taken by the hash of the text;
 that bound is the only sampling here. A tenth of them is held back to fit the
 softmax temperature and the confidence below which a text is rejected.
 
@@ -144,8 +144,10 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", *,
     first = lambda df, keys: df.withColumn(
         "_n", F.row_number().over(Window.partitionBy(*keys).orderBy("mark"))
     ).where(F.col("_n") <= per_language)
-    # the first rows of each of 64 parts of a language, then of the language: a hot language is no single large task
-    parted = first(marked.select("lang", "mark", F.pmod("mark", F.lit(64)).alias("_part")), ["lang", "_part"])
+    # copies have one mark, and the bound counts different texts; the first of each of 64 parts of a language,
+    # then of the language: a hot language is no single large task
+    texts = marked.select("lang", "mark").distinct()
+    parted = first(texts.withColumn("_part", F.pmod("mark", F.lit(64))), ["lang", "_part"])
     marks = first(parted, ["lang"]).groupBy("lang").agg(F.max("mark").alias("last"))
     limits = marks.orderBy("lang").limit(max_languages).collect()
     if not limits:

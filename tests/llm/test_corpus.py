@@ -318,6 +318,17 @@ def test_language_rules(spark):
     assert {r.lang_pred for r in language.languages(unlabelled).collect()} == {"und"}
 
 
+def test_language_bound_counts_texts(spark, monkeypatch):
+    texts = [f"text number {i} of many" for i in range(30)]
+    docs = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string")
+    order = [r.text for r in docs.orderBy(F.xxhash64("text")).collect()]
+    copies = spark.createDataFrame([(order[2], "en")] * 50, "text string, lang string")
+    seen, bags = [], language.bags
+    monkeypatch.setattr(language, "bags", lambda texts, buckets: seen.extend(texts.to_pylist()) or bags(texts, buckets))
+    language.fit(docs.union(copies), per_language=20)
+    assert seen == order[:20]
+
+
 # --- empty tables -----------------------------------------------------------
 
 def test_empty_tables(spark, empty):
