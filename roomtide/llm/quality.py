@@ -6,11 +6,15 @@ summed by bucket. Trusted text is a bounded sample (``trusted_rows`` documents,
 taken by the hash of their id) of the documents labelled good; its counters
 come from the same pass. Both become smoothed multinomials, and a document's
 score is the mean over its n-grams of log(trusted / raw). Every document is
-held against one threshold: the ``tail`` quantile of the trusted sample's own
-scores, less a fixed margin.
+held against one threshold, learned from the scores of all labelled documents
+that pass the base rules: the one that best separates documents labelled good
+from those labelled bad (quality 0 or toxic) among those that lose at most a
+share ``tail`` of the good ones. It never lies more than ``margin`` below the
+highest threshold with that share; without documents labelled bad it lies there.
 
 Defined cases: null and empty texts have no words and fail the base rules.
-Repeated rows count as rows in the corpus and are scored alike. Without
+Repeated rows count as rows in the corpus and are scored alike. A document with
+a good and a bad label counts as good. Without
 trusted documents the ratio is 0 everywhere and only the base rules decide.
 Labels without a document, and documents without a label, change nothing.
 """
@@ -22,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from roomtide.llm.common import SPACE_GAPS, Hasher, Words, blocks, byte_set, portable, text_bytes
+from roomtide.session import durable
 
 portable(__name__)
 
@@ -29,6 +34,7 @@ BUCKETS, GRAM = 1 << 14, 3
 TRUSTED_ROWS = 5_000
 TAIL, MARGIN = 0.002, 0.15
 SMOOTHING = 1.0
+STEPS = 4096  # score bins in 1
 MIN_WORDS, MAX_REPEAT_PCT, REPEAT_WINDOW = 10, 20, 5
 
 SYMBOL = np.zeros(256, dtype=bool)
@@ -147,6 +153,23 @@ def measures(docs: DataFrame, text_col: str, ratio: np.ndarray) -> DataFrame:
     return docs.mapInArrow(measure, schema)
 
 
+def separating_score(labelled: DataFrame, tail: float, margin: float) -> float:
+    """The threshold of ``labelled`` (llr, good); scores are log ratios of counts, so the table of bins is bounded."""
+    bins = labelled.groupBy(F.floor(F.col("llr") * STEPS).alias("bin")).agg(
+        F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")
+    )
+    table = bins.orderBy("bin").toPandas()
+    at, good, bad = (table[c].to_numpy(np.int64) for c in ("bin", "good", "bad"))
+    if not good.sum():
+        return -margin
+    lost = (np.cumsum(good) - good) / good.sum()  # by a threshold at the lower border of each bin
+    caught = (np.cumsum(bad) - bad) / max(bad.sum(), 1)
+    allowed = np.flatnonzero(lost <= tail)
+    best = allowed[np.argmax((caught - lost)[allowed])]
+    middle = (at[best - 1] + 1 + at[best]) / 2 / STEPS if best else -np.inf  # of the gap above the last bad row caught
+    return float(max(middle, at[allowed[-1]] / STEPS - margin))
+
+
 def quality(
     docs: DataFrame, labels: DataFrame, *, trusted_rows: int = TRUSTED_ROWS, tail: float = TAIL, margin: float = MARGIN
 ) -> DataFrame:
@@ -162,11 +185,12 @@ def quality(
     marked = docs.select("doc_id", "text").join(F.broadcast(trusted), "doc_id", "left")
     marked = marked.withColumn("_trusted", F.coalesce("_trusted", F.lit(False)))
     ratio = log_ratio(count_grams(marked.select("text", "_trusted"), "text", "_trusted"))
-    scored = measures(marked, "text", ratio)
-    sample = measures(marked.where("_trusted"), "text", ratio).where(F.col("n_words") >= MIN_WORDS)
-    lowest = sample.agg(F.percentile("llr", tail)).first()[0]
-    threshold = (lowest if lowest is not None else 0.0) - margin
+    scored = durable(measures(docs.select("doc_id", "text"), "text", ratio).drop("text"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words"))
+    bad = labels.where((F.col("quality") == 0) | (F.col("toxic") == 1))
+    classes = good.select("doc_id", F.lit(True).alias("good")).unionByName(bad.select("doc_id", F.lit(False).alias("good")))
+    classes = classes.groupBy("doc_id").agg(F.max("good").alias("good"))
+    threshold = separating_score(scored.where(~failed).select("doc_id", "llr").join(classes, "doc_id"), tail, margin)
     return scored.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         (~failed & (F.col("llr") >= threshold)).alias("kept"), "llr",

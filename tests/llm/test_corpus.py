@@ -241,6 +241,17 @@ def test_quality_ratio_finds_junk(spark):
     assert quality.quality(docs, nobody).where("kept").count() == 50
 
 
+def test_quality_threshold_separates_labels(spark):
+    good = [(i, sentence(i, 80)) for i in range(60)]
+    bad = [(100 + i, " ".join(w.upper() if k % 20 == 0 else w for k, w in enumerate(sentence(i, 80).split()))) for i in range(40)]
+    docs = spark.createDataFrame(good + bad, "doc_id bigint, text string")
+    labels = [(i, 1, 0) for i in range(60)] + [(100 + i, i % 2, (i + 1) % 2) for i in range(40)]
+    labels = spark.createDataFrame(labels[:60] + [r for r in labels[60:] if r[2]], "doc_id bigint, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.quality(docs, labels).collect()}
+    assert {i for i, r in got.items() if r.kept} == set(range(60))
+    assert min(got[i].llr for i in range(60)) - quality.MARGIN < min(got[100 + i].llr for i in range(40))
+
+
 # --- mixing -----------------------------------------------------------------
 
 def water_fill(sizes, weights=(3, 1, 2)):
