@@ -31,3 +31,14 @@ def test_later_runs_go(spark):
         got = Counter(tuple(r) for r in lines.dedup_lines(table, run=run).collect())
         assert got == brute(rows, run)
     assert lines.line_report(table.limit(0)).count() == 0
+
+
+def test_long_passages_go_on_fewer_lines(spark):
+    words = lambda n, tag: " ".join(f"{tag}{i}" for i in range(n))
+    long, a, b = words(10, "w"), words(6, "a"), words(4, "b")
+    rows = [(1, long), (2, long), (3, f"x\n{a}\n{b}\ny"), (4, f"{a}\n{b}"), (5, f"{b}\nz\n{a}"), (6, f"q\n{long}\nx"), (7, words(9, "w")), (8, words(9, "w"))]
+    got = {r.id: (r.n_removed, r.kept) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    whole = dict(rows)
+    assert got == {
+        1: (0, long), 2: (1, ""), 3: (0, whole[3]), 4: (2, ""), 5: (0, whole[5]), 6: (1, "q\nx"), 7: (0, whole[7]), 8: (0, whole[8])
+    }
