@@ -4,9 +4,8 @@ Every text is cut at line feeds and its lines are hashed. In each window of
 ``run`` lines the line with the smallest hash (the last of equals) is a
 fingerprint; a run of that length that stands in two places has the same
 fingerprint in both, so only shared fingerprints are joined. A fingerprint's
-position carries the hashes of all windows around it, which extends the match
-to both sides; matches that go on are found window by window and merge into one
-run. A window's first place (by id, then by a hash of the text, then by line)
+position carries the hashes of all windows it stands for, and these are counted.
+Matches are not extended: a longer one is the union of its windows. A window's first place (by id, then by a hash of the text, then by line)
 stays, its later places are deleted. Windows are counted with aggregation, so a
 very common line is no hot group and no pairs are listed.
 
