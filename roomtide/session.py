@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,12 +54,17 @@ def durable(df: DataFrame) -> DataFrame:
     read only the columns they need and the optimizer knows its size. Inside
     ``scratch`` the table is removed at the end of the block.
     """
-    spark = df.sparkSession
+    path = fresh_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fresh_path(spark: SparkSession) -> str:
+    """A new path in the shared folder; inside ``scratch`` what is written there is removed at the end of the block."""
     path = f"{shared_folder(spark)}/roomtide/{uuid.uuid4().hex}"
-    for owned in _owned:
+    for owned in _owned.get():
         owned.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -67,21 +73,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
 
 
-_owned: list[list[str]] = []
+# blocks that are open in this thread (or task), outermost first
+_owned: ContextVar[tuple[list[str], ...]] = ContextVar("owned", default=())
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Remove the tables that ``durable`` writes inside this block when it ends.
 
-    Results must be computed or written inside the block.
+    Results must be computed or written inside the block. Blocks of different
+    threads do not touch each other's tables.
     """
     paths: list[str] = []
-    _owned.append(paths)
+    token = _owned.set((*_owned.get(), paths))
     try:
         yield
     finally:
-        _owned.pop()
+        _owned.reset(token)
         for path in paths:
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path of the shared folder, whatever file system that is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
