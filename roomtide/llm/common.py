@@ -45,6 +45,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name if name.lower() not in {c.lower() for c in df.columns} else f"{name}_{uuid.uuid4().hex[:8]}"
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
 def n_space_words(text: Column) -> Column:
     """Number of white-space separated words; null counts as none."""
     parts = F.split(F.coalesce(text, F.lit("")), SPACE_GAP)

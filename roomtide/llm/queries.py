@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roomtide.llm import chat, decontaminate, jaccard, language, licenses, lines, mixing, quality, repeats, sharding
+from roomtide.llm import (
+    audit, chat, decontaminate, infill, jaccard, language, licenses, lines, mixing, quality, repeats, sharding, warc,
+)
 from roomtide.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +129,102 @@ def op9_suffix_dedup(table) -> DataFrame:
 @query
 def op3_line_dedup(table) -> DataFrame:
     return lines.line_report(table("documents"))
+
+
+@query
+def op11_fill_in_middle(table) -> DataFrame:
+    return infill.infill_report(table("documents"))
+
+
+ORACLES["op11_fill_in_middle"] = r"""
+WITH doc AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+    sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents
+), draw AS (
+  SELECT *, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+    CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4
+  FROM doc
+), cut AS (
+  SELECT doc_id, n, text, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b, u,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100
+      THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM draw
+), parts AS (
+  SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle,
+    array_to_string(u[b + 1:n], '') AS suffix
+  FROM cut
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+  CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle
+    ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+@query
+def op12_warc(table) -> DataFrame:
+    return warc.archive_report(table("pages"))
+
+
+ORACLES["op12_warc"] = f"""
+WITH page AS (
+  SELECT page_id, sha256(coalesce(html, '')) AS digest, octet_length(encode(coalesce(html, ''))) AS size FROM pages
+), first AS (
+  SELECT *, CASE WHEN size >= {warc.REVISIT_FROM} THEN min(page_id) OVER (PARTITION BY digest, size) END AS original FROM page
+)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id > original OR (page_id IS NULL AND original IS NOT NULL) THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > original OR (page_id IS NULL AND original IS NOT NULL) THEN original END AS refers_to
+FROM first
+"""
+
+
+@query
+def op13_filter_audit(table) -> DataFrame:
+    return audit.interaction_audit(table("documents"), table("labels"))
+
+
+ORACLES["op13_filter_audit"] = r"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+    list_filter(string_split_regex(coalesce(text, ''), '[ 	-
+]+'), lambda x: x <> '') AS w
+  FROM documents
+), mask AS (
+  SELECT part,
+    CASE WHEN len(w) < 100 THEN 1 ELSE 0 END
+    + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS m,
+    doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) AS good,
+    doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL) AS toxic
+  FROM doc
+), counted AS (
+  SELECT part, m, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS t FROM mask GROUP BY part, m
+), orders AS (
+  SELECT '' AS o UNION ALL
+  SELECT o || f FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f) WHERE NOT contains(o, f)
+), steps AS (
+  SELECT o AS filter_order, step, 1 << (ascii(o[step]) - 65) AS bit,
+    coalesce(list_sum([1 << (ascii(c) - 65) for c in string_split(o[1:step - 1], '') if c <> '']), 0) AS before
+  FROM orders, (SELECT unnest(range(1, 6)) AS step) WHERE length(o) = 5
+), rows_ AS (
+  SELECT part, filter_order, step, bit,
+    coalesce(sum(n) FILTER ((m & CAST(before AS BIGINT)) = 0 AND m & bit = 0), 0) AS kept,
+    coalesce(sum(n) FILTER ((m & CAST(before AS BIGINT)) = 0 AND m & bit > 0), 0) AS removed,
+    coalesce(sum(n) FILTER ((m & CAST(before AS BIGINT)) > 0 AND m & bit > 0), 0) AS redundant,
+    coalesce(sum(n) FILTER (m = bit), 0) AS unique_fails,
+    coalesce(sum(g) FILTER ((m & CAST(before AS BIGINT)) = 0 AND m & bit > 0), 0) AS good_lost,
+    coalesce(sum(t) FILTER ((m & CAST(before AS BIGINT)) = 0 AND m & bit > 0), 0) AS toxic_lost
+  FROM counted, steps GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM rows_
+"""
