@@ -71,14 +71,13 @@ def non_negative(c: Column | str) -> Column:
 # --- arithmetic -------------------------------------------------------------
 
 def round_to(c: Column | str, places: int = 2) -> Column:
-    """Decimal rounding, half away from zero, returned as double.
+    """Decimal rounding, half away from zero, returned as double; NaN becomes null.
 
-    Doubles too large for the decimal have no digits after the point any more
-    and stay as they are.
+    Ten digits are settled first, so that binary noise does not decide a tie.
+    The value is read once: where it is a subquery, that is planned once.
     """
-    exact = F.round(as_col(c).try_cast("decimal(38,10)"), places).cast("double")
-    plain = as_col(c).try_cast("double")
-    return F.coalesce(exact, F.when((F.abs(plain) >= 1e27) & ~F.isnan(plain), plain))
+    value = as_col(c).try_cast("double")
+    return F.nanvl(F.round(F.round(value, 10), places), F.lit(None).cast("double"))
 
 
 def ratio(top: Column, bottom: Column) -> Column:

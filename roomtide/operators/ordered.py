@@ -12,7 +12,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from roomtide.functions.scalars import as_col, bucket
+from roomtide.functions.scalars import after, as_col, bucket, epoch_micros
+from roomtide.operators.selection import ranked_values
 from roomtide.session import durable
 
 BLOCK = 8192
@@ -128,13 +129,17 @@ def chronological_split(
     by counting rows per time bin and sorting only the bin that holds it, so no
     key is sorted as a whole. Rows that share that moment are told apart by
     ``tie_breaker`` (a number, unique within a moment); without one they all
-    count as training rows.
+    count as training rows. Without keys the cut is found first and enters the
+    plan as literals (``chronological_cut``).
     """
+    rows = df.where(F.col(ts).isNotNull())
+    if not keys:
+        return rows.withColumn("is_train", chronological_cut(rows, ts, train_ratio, tie_breaker, at_least))
+
     def last_train(n: Column) -> Column:
         size = F.floor(n.cast("double") * F.lit(float(train_ratio))).cast("bigint")
         return F.greatest(size, F.lit(at_least).cast("bigint")) - 1
 
-    rows = df.where(F.col(ts).isNotNull())
     freq = (
         rows.groupBy(*keys, F.col(ts).alias("_v"))
         .agg(F.count(F.lit(1)).alias("_w"))
@@ -142,11 +147,7 @@ def chronological_split(
     )
     cut = _pick(freq, keys, {"_cut": last_train})
     cut = cut.select(*keys, "_cut", (last_train(F.col("_total")) - F.col("_cut_below")).alias("_cut_rank"))
-    if keys:
-        marked = match(rows, cut, keys, "left")
-    else:
-        one = cut.select(F.struct("_cut", "_cut_rank")).scalar()
-        marked = rows.withColumn("_c", one).select("*", "_c.*").drop("_c")
+    marked = match(rows, cut, keys, "left")
     before = F.col(ts) < F.col("_cut")
     same = F.col(ts) == F.col("_cut")
     if tie_breaker is None:
@@ -155,15 +156,34 @@ def chronological_split(
     tied = marked.where(same).withColumn("_t", F.col(tie_breaker))  # in its own type: a double would merge large ids
     tied = with_bins(tied.groupBy(*keys, "_cut_rank", F.col("_t").alias("_v")).agg(F.count(F.lit(1)).alias("_w")))
     # the rank within the tied rows differs per key, so it is part of the key
-    last = _pick_ranked(tied, keys)
-    if keys:
-        marked = match(marked, last, keys, "left")
-    else:
-        marked = marked.withColumn("_cut_tie", last.select("_cut_tie").scalar())
+    marked = match(marked, _pick_ranked(tied, keys), keys, "left")
     is_train = before | (same & (F.col(tie_breaker) <= F.col("_cut_tie")))
     return marked.withColumn("is_train", F.coalesce(is_train, F.lit(False))).drop("_cut", "_cut_rank", "_cut_tie")
 
 
+def chronological_cut(
+    df: DataFrame, ts: str, train_ratio: float, tie_breaker: str | None = None, at_least: int = 0
+) -> Column:
+    """Predicate of the first ``int(n * train_ratio)`` rows (``at_least`` so many) in time order, made of literals.
+
+    Runs the search for the cut; a tie-breaker is looked at only if the cut
+    falls between rows of one moment.
+    """
+    def last_train(n: int) -> int:
+        return max(int(n * float(train_ratio)), at_least) - 1
+
+    n, (cut,) = ranked_values(df, epoch_micros(ts), [train_ratio], lambda n: [last_train(n)])
+    if cut is None:
+        return F.lit(last_train(n) >= 0)
+    moment = after(F.lit("1970-01-01").cast("timestamp_ntz"), F.lit(cut.value)).cast(df.schema[ts].dataType)
+    if tie_breaker is None or last_train(n) == cut.below + cut.equal - 1:
+        return F.col(ts) <= moment
+    rank = last_train(n) - cut.below
+    _, (tie,) = ranked_values(df.where(F.col(ts) == moment), tie_breaker, [rank / cut.equal], lambda n: [rank])
+    last = F.lit(False) if tie is None else F.coalesce(F.col(tie_breaker) <= F.lit(tie.value), F.lit(False))
+    return (F.col(ts) < moment) | ((F.col(ts) == moment) & last)
+
+
 def _pick_ranked(tied: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Tie-breaker value at rank ``_cut_rank`` of each key's tied rows."""
     whole = [*keys, "_cut_rank"]
@@ -258,70 +278,72 @@ def neighbours(
     """Nearest non-null ``value`` before and after each row: ``_prev`` and ``_next``.
 
     ``chunk`` must grow with ``order``. Inside a chunk a window finds the
-    neighbour; across chunks it comes from a table with one row per chunk.
+    neighbour; across chunks it comes from a table with one row per chunk. That
+    table is made from the rows as they are dealt to the windows: its border
+    rows are kept whole, so both sides ask for the same exchange, and the input
+    is built once.
     """
     reach = 0 if inclusive else 1
-    rows = df.withColumn("_val", value).withColumn("_chunk", chunk)
+    cut = df.withColumn("_val", value).withColumn("_chunk", chunk).repartition(*[F.col(c) for c in [*keys, "_chunk"]])
     inside = Window.partitionBy(*keys, "_chunk")
-    rows = rows.withColumn("_prev", F.last("_val", True).over(so_far(inside.orderBy(order), reach)))
+    rows = cut.withColumn("_prev", F.last("_val", True).over(so_far(inside.orderBy(order), reach)))
     rows = rows.withColumn("_next", F.last("_val", True).over(so_far(inside.orderBy(F.desc(order)), reach)))
-    present = F.col("_val").isNotNull()
+    present = F.when(F.col("_val").isNotNull(), F.col(order))
+    whole_row = F.struct(*[F.col(f"`{c}`") for c in cut.columns])
+    borders = cut.groupBy(*keys, "_chunk").agg(
+        F.max_by(whole_row, present).alias("_tail"), F.min_by(whole_row, present).alias("_head")
+    )
     across = Window.partitionBy(*keys)
-    borders = (
-        df.withColumn("_val", value)
-        .withColumn("_chunk", chunk)
-        .groupBy(*keys, "_chunk")
-        .agg(
-            F.max(F.when(present, F.struct(F.col(order).alias("o"), F.col("_val").alias("v")))).alias("_tail"),
-            F.min(F.when(present, F.struct(F.col(order).alias("o"), F.col("_val").alias("v")))).alias("_head"),
-        )
-        .select(
-            *keys,
-            "_chunk",
-            F.last("_tail", True).over(so_far(across.orderBy("_chunk"), 1)).alias("_from_left"),
-            F.last("_head", True).over(so_far(across.orderBy(F.desc("_chunk")), 1)).alias("_from_right"),
-        )
+    borders = borders.select(
+        *keys, "_chunk",
+        F.last("_tail", True).over(so_far(across.orderBy("_chunk"), 1)).getField("_val").alias("_from_left"),
+        F.last("_head", True).over(so_far(across.orderBy(F.desc("_chunk")), 1)).getField("_val").alias("_from_right"),
     )
     return (
         match(rows, borders, [*keys, "_chunk"], "left")
-        .withColumn("_prev", F.coalesce("_prev", F.col("_from_left").getField("v")))
-        .withColumn("_next", F.coalesce("_next", F.col("_from_right").getField("v")))
+        .withColumn("_prev", F.coalesce("_prev", "_from_left"))
+        .withColumn("_next", F.coalesce("_next", "_from_right"))
         .drop("_val", "_chunk", "_from_left", "_from_right")
     )
 
 
 def runs(
-    df: DataFrame, keys: Sequence[str], slot: str, flag: str, sums: Sequence[str] = (), block: int = BLOCK
+    df: DataFrame, keys: Sequence[str], slot: str, flag: str, sums: Sequence[str] = (), lowest: Sequence[str] = (),
+    block: int = BLOCK,
 ) -> DataFrame:
     """Maximal runs of consecutive slots whose ``flag`` holds.
 
     One row per run: ``first_slot``, ``last_slot``, ``length`` and, for every
-    column in ``sums``, its sum and its non-null count (``<c>_sum``, ``<c>_n``).
-    Runs are built inside blocks; only those touching a block border (at most
-    two per block) are stitched together over the whole series.
+    column in ``sums``, its sum and its non-null count (``<c>_sum``, ``<c>_n``);
+    for those in ``lowest`` the smallest value under their own name. Runs are
+    built inside blocks; the pieces that touch a block border (at most two per
+    block) are stitched over the whole series. Border and inner pieces go
+    through the same exchange: an inner piece is a lane of its own.
     """
     on = df.where(F.col(flag)).withColumn("_block", F.floor(F.col(slot) / F.lit(block)).cast("bigint"))
     inside = Window.partitionBy(*keys, "_block").orderBy(slot)
     on = on.withColumn("_island", F.col(slot) - F.row_number().over(inside))
-    parts = on.groupBy(*keys, "_block", "_island").agg(
+    pieces = on.groupBy(*keys, "_block", "_island").agg(
         F.min(slot).alias("first_slot"),
         F.max(slot).alias("last_slot"),
         *[F.sum(c).alias(f"{c}_sum") for c in sums],
         *[F.count(c).alias(f"{c}_n") for c in sums],
+        *[F.min(c).alias(c) for c in lowest],
     )
     at_border = (F.pmod(F.col("first_slot"), F.lit(block)) == 0) | (
         F.pmod(F.col("last_slot"), F.lit(block)) == block - 1
     )
-    columns = ["first_slot", "last_slot", *[f"{c}_{s}" for c in sums for s in ("sum", "n")]]
-    edge = parts.where(at_border)
-    across = Window.partitionBy(*keys).orderBy("first_slot")
+    pieces = pieces.withColumn("_lane", F.when(at_border, F.lit(-1)).otherwise(F.col("_island")))
+    pieces = pieces.withColumn("_of_block", F.when(at_border, F.lit(-1)).otherwise(F.col("_block")))
+    lane = [*keys, "_of_block", "_lane"]
+    across = Window.partitionBy(*lane).orderBy("first_slot")
     joined = F.col("first_slot") == F.lag("last_slot").over(across) + 1
-    edge = edge.withColumn("_start", F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1))
-    edge = edge.withColumn("_group", F.sum("_start").over(across.rowsBetween(Window.unboundedPreceding, 0)))
-    stitched = edge.groupBy(*keys, "_group").agg(
+    pieces = pieces.withColumn("_start", F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1))
+    pieces = pieces.withColumn("_run", F.sum("_start").over(across.rowsBetween(Window.unboundedPreceding, 0)))
+    found = pieces.groupBy(*lane, "_run").agg(
         F.min("first_slot").alias("first_slot"),
         F.max("last_slot").alias("last_slot"),
-        *[F.sum(c).alias(c) for c in columns[2:]],
+        *[F.sum(f"{c}_{s}").alias(f"{c}_{s}") for c in sums for s in ("sum", "n")],
+        *[F.min(c).alias(c) for c in lowest],
     )
-    found = parts.where(~at_border).select(*keys, *columns).unionByName(stitched.select(*keys, *columns))
-    return found.withColumn("length", F.col("last_slot") - F.col("first_slot") + 1)
+    return found.drop("_of_block", "_lane", "_run").withColumn("length", F.col("last_slot") - F.col("first_slot") + 1)

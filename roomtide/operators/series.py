@@ -10,6 +10,8 @@ from roomtide.functions.scalars import bucket, epoch_micros, to_moment, to_numbe
 from roomtide.operators.canonical import normalize_weather
 from roomtide.operators.grid import DEFAULT_LAGS, bucket_of_slots, calendar, expand_slots
 from roomtide.operators.ordered import neighbours, number_rows, percentiles, slot_lags, with_halo
+from roomtide.operators.selection import quantiles
+from roomtide.session import durable
 
 HOUR = 3600
 
@@ -87,21 +89,32 @@ def thin(df: DataFrame, order: Sequence[str], points: int) -> DataFrame:
     return rows.where(keep).drop("_row", "_row_total")
 
 
-def step_hours(df: DataFrame, ts: str, default: float = 0.25) -> DataFrame:
-    """One row, ``step_hours``: median distance between successive rows.
+def sampling_gaps(df: DataFrame, ts: str) -> DataFrame:
+    """``gap``: microseconds between successive rows in time order, equal moments included.
 
-    Rows are counted per distinct moment first; a moment that occurs ``n``
-    times adds ``n - 1`` distances of zero.
+    Rows are cut into hours of the calendar. Gaps inside an hour and the first
+    and last moment of each hour come from the same exchange; the gaps between
+    hours follow from one row per hour.
     """
-    moments = df.where(F.col(ts).isNotNull()).groupBy(F.col(ts).alias("_ts")).agg(F.count(F.lit(1)).alias("_n"))
-    following = neighbours(moments, [], "_ts", F.col("_ts"), bucket("_ts", HOUR), inclusive=False)
-    seconds = (epoch_micros("_next") - epoch_micros("_ts")) / F.lit(1_000_000)
-    gap = F.struct(seconds.alias("gap"), F.lit(1).cast("bigint").alias("n"))
-    repeats = F.struct(F.lit(0.0).alias("gap"), (F.col("_n") - 1).cast("bigint").alias("n"))
-    gaps = following.select(F.inline(F.array(gap, repeats))).where(F.col("gap").isNotNull() & (F.col("n") > 0))
-    median = percentiles(gaps, [], "gap", {"median": 0.5}, weight="n")
+    moments = df.where(F.col(ts).isNotNull()).select(epoch_micros(ts).alias("_t"))
+    cut = moments.withColumn("_chunk", F.floor(F.col("_t") / F.lit(HOUR * 1_000_000)).cast("bigint")).repartition("_chunk")
+    inside = cut.select((F.col("_t") - F.lag("_t").over(Window.partitionBy("_chunk").orderBy("_t"))).alias("gap"))
+    ends = cut.groupBy("_chunk").agg(F.min("_t").alias("_head"), F.max("_t").alias("_tail"))
+    across = ends.select((F.col("_head") - F.lag("_tail").over(Window.orderBy("_chunk"))).alias("gap"))
+    return inside.unionByName(across).where(F.col("gap").isNotNull())
+
+
+def step_hours(df: DataFrame, ts: str, default: float = 0.25) -> DataFrame:
+    """One row, ``step_hours``: median distance between successive rows."""
+    median = percentiles(sampling_gaps(df, ts), [], "gap", {"median": 0.5})
     usable = F.col("median") > 0
-    return median.select(F.when(usable, F.col("median") / 3600.0).otherwise(F.lit(default)).alias("step_hours"))
+    return median.select(F.when(usable, F.col("median") / 3600e6).otherwise(F.lit(default)).alias("step_hours"))
+
+
+def sampling_step(df: DataFrame, ts: str, default: float = 0.25) -> float:
+    """The step of ``step_hours`` as a value; the gaps are written once and searched."""
+    (median,) = quantiles(durable(sampling_gaps(df, ts)), "gap", [0.5])
+    return median / 3600e6 if median else default
 
 
 def sequences(

@@ -1,9 +1,8 @@
 """Occupancy inferred from air-handler temperatures, and setback planning.
 
-Data-dependent scalars (threshold, sampling step, newest moment, spread) enter
-the plan as scalar subqueries over one-row tables, so nothing is collected and
-nothing is cross-joined. The threshold and the step, which most tables need,
-are computed once per study and written out.
+Data-dependent scalars (cut, threshold, sampling step, newest moment, spread)
+are one-row results. They are found once per study and enter the tables as
+literals: a scalar subquery would be copied into every expression that reads it.
 """
 
 from __future__ import annotations
@@ -11,15 +10,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from roomtide.functions.scalars import (
     after, dow_mon0, first_number, hour_of, ratio, share, tally, to_moment,
 )
 from roomtide.operators.canonical import last_days
-from roomtide.operators.grid import expand_slots
-from roomtide.operators.ordered import chronological_split, percentiles, runs
-from roomtide.operators.series import step_hours, thin
+from roomtide.operators.ordered import chronological_split, runs
+from roomtide.operators.selection import quantiles
+from roomtide.operators.series import sampling_step, thin
 from roomtide.session import durable
 
 # Status code of an occupied air handler, number of candidate
@@ -78,26 +77,27 @@ def signal(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def select_threshold(train: DataFrame, delta: str = "cooling_delta_f", target: str = "occupied_actual") -> DataFrame:
-    """Threshold with the best balanced accuracy among 300 candidates.
+    """Threshold with the best balanced accuracy among 300 candidates; one row.
 
-    Candidates are evenly spaced between the 1st and 99th percentile. One pass
-    counts rows by the number of candidates they reach; the score of every
-    candidate then follows from cumulative sums over at most 301 rows. The
-    first of equally good candidates wins.
+    Candidates are evenly spaced between the 1st and 99th percentile, which are
+    found first and enter the plan as literals. One pass counts rows by the
+    number of candidates they reach; the score of every candidate then follows
+    from cumulative sums over 301 counts. The first of equally good candidates wins.
     """
     last = CANDIDATES - 1
-    q = percentiles(train, [], delta, {"lo": 0.01, "hi": 0.99})
-    q = q.select(F.struct("lo", "hi", ((F.col("hi") - F.col("lo")) / F.lit(float(last))).alias("step"))).scalar()
+    low, high = quantiles(train, delta, [0.01, 0.99])
+    step = None if low is None else (high - low) / float(last)
+    lo, hi, width = (F.lit(v).cast("double") for v in (low, high, step))
 
     def candidate(i: Column) -> Column:
-        return F.when(i == last, F.col("_q.hi")).otherwise(F.col("_q.lo") + i.cast("double") * F.col("_q.step"))
+        return F.when(i == last, hi).otherwise(lo + i.cast("double") * width)
 
     # Arithmetic gives the candidate next to the value up to rounding; the exact
     # comparisons around it settle the count.
-    x = F.col("_x")
-    rows = train.select(F.col(delta).alias("_x"), F.col(target).alias("t")).withColumn("_q", q)
-    guess = F.coalesce(F.floor(F.try_divide(x - F.col("_q.lo"), F.col("_q.step"))), F.lit(0))
-    rows = rows.withColumn("_first", F.greatest(F.least(guess, F.lit(last)) - 1, F.lit(0)).cast("bigint"))
+    x = F.col(delta)
+    guess = F.coalesce(F.floor(F.try_divide(x - lo, width)), F.lit(0))
+    first = F.greatest(F.least(guess, F.lit(last)) - 1, F.lit(0)).cast("bigint")
+    rows = train.select(x, F.col(target).alias("t"), first.alias("_first"))
     reached = F.col("_first")
     for shift in range(4):
         i = F.col("_first") + shift
@@ -105,47 +105,47 @@ def select_threshold(train: DataFrame, delta: str = "cooling_delta_f", target: s
     counts = rows.select(reached.alias("reached"), "t").groupBy("reached").agg(
         tally(F.col("t")).alias("pos"), tally(~F.col("t")).alias("neg")
     )
-    ladder = train.sparkSession.range(CANDIDATES + 1).select(F.col("id").alias("reached"))
-    ladder = ladder.join(F.broadcast(counts), "reached", "left")
-    pos, neg = F.coalesce("pos", F.lit(0)), F.coalesce("neg", F.lit(0))
+    # at most 301 rows from here on
+    table = counts.agg(F.map_from_entries(F.collect_list(F.struct("reached", F.struct("pos", "neg")))).alias("at"))
+    ladder = table.select("at", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(CANDIDATES).cast("bigint"))).alias("reached"))
+    cell = F.try_element_at("at", F.col("reached"))
+    ladder = ladder.select("reached", *[F.coalesce(cell.getField(c), F.lit(0)).alias(c) for c in ("pos", "neg")])
     up = Window.orderBy(F.desc("reached")).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy()
     scored = ladder.select(
         (F.col("reached") - 1).alias("i"),
-        F.sum(pos).over(up).alias("tp"), F.sum(neg).over(up).alias("fp"),
-        F.sum(pos).over(whole).alias("p"), F.sum(neg).over(whole).alias("n"),
+        F.sum("pos").over(up).alias("tp"), F.sum("neg").over(up).alias("fp"),
+        F.sum("pos").over(whole).alias("p"), F.sum("neg").over(whole).alias("n"),
     ).where(F.col("i") >= 0)
     tp, fp, p, n = (F.col(c) for c in ("tp", "fp", "p", "n"))
     recall, specificity = tp / F.greatest(p, F.lit(1)), (n - fp) / F.greatest(n, F.lit(1))
     best = scored.withColumn("balanced_accuracy", (recall + specificity) / 2).agg(
         F.min(F.struct((-F.col("balanced_accuracy")).alias("s"), "i")).alias("b")
     )
-    return best.withColumn("_q", q).select(
-        candidate(F.col("b.i")).alias("threshold_f"), (-F.col("b.s")).alias("balanced_accuracy")
-    )
+    return best.select(candidate(F.col("b.i")).alias("threshold_f"), (-F.col("b.s")).alias("balanced_accuracy"))
 
 
 class ThermalStudy:
     """All report tables of one building over one raw frame.
 
-    Threshold, cut-off and step are one-row results; they enter the tables as
-    scalar subqueries, so a table is one plan and nothing runs while it is built.
+    Cut, threshold, step and the signal's extent are single values. Each is
+    found once per study, when a table first needs it, and enters the tables as
+    a literal, so a table reads the signal once. Tables that need such a value
+    read the signal as a written, typed table: its texts are parsed once.
     """
 
     def __init__(self, raw: DataFrame, settings: ThermalSettings = ThermalSettings(), tie_breaker: str | None = None):
         self.raw, self.settings, self.tie_breaker = raw, settings, tie_breaker
         self.signal = signal(raw, (tie_breaker,) if tie_breaker else ())
 
-    def written(self) -> ThermalStudy:
-        """The same study over its signal written as a typed table: worth it when several report tables are wanted."""
-        study = ThermalStudy(self.raw, self.settings, self.tie_breaker)
-        study.signal = durable(self.signal)
-        return study
+    @cached_property
+    def rows(self) -> DataFrame:
+        return durable(self.signal)
 
     @cached_property
     def split(self) -> DataFrame:
         return chronological_split(
-            self.signal, [], "timestamp", self.settings.train_ratio, self.tie_breaker, at_least=1
+            self.rows, [], "timestamp", self.settings.train_ratio, self.tie_breaker, at_least=1
         )
 
     @cached_property
@@ -154,20 +154,29 @@ class ThermalStudy:
         return select_threshold(self.split.where("is_train"))
 
     @cached_property
-    def step(self) -> DataFrame:
-        """One row: ``step_hours``."""
-        return step_hours(self.signal, "timestamp")
+    def limit(self) -> Column:
+        """The threshold as a literal."""
+        return F.lit(self.threshold.first()["threshold_f"]).cast("double")
+
+    @cached_property
+    def step(self) -> float:
+        """Sampling step in hours."""
+        return sampling_step(self.rows, "timestamp")
+
+    @cached_property
+    def extent(self) -> Row:
+        """Newest moment and spread of the temperature difference."""
+        spread = F.greatest(F.stddev_samp("cooling_delta_f") / 4.0, F.lit(MIN_SPREAD))
+        return self.rows.agg(F.max("timestamp").alias("last"), spread.alias("spread")).first()
 
     @cached_property
     def classified(self) -> DataFrame:
-        limit = self.threshold.select("threshold_f").scalar()
-        return self.split.withColumn("occupied_pred", F.col("cooling_delta_f") >= limit)
+        return self.split.withColumn("occupied_pred", F.col("cooling_delta_f") >= self.limit)
 
     def with_step(self, df: DataFrame) -> DataFrame:
         """Attach the sampling step: ``_step`` in hours and ``_step_us`` in whole microseconds."""
-        micros = F.rint(F.col("step_hours") * 3600.0 * 1e6).cast("bigint")
-        step = self.step.select(F.struct(F.col("step_hours").alias("_step"), micros.alias("_step_us"))).scalar()
-        return df.withColumn("_s", step).select("*", "_s.*").drop("_s")
+        micros = round(self.step * 3600.0 * 1e6)
+        return df.withColumns({"_step": F.lit(self.step), "_step_us": F.lit(micros).cast("bigint")})
 
     def with_opportunity(self) -> DataFrame:
         s = self.settings
@@ -208,7 +217,8 @@ class ThermalStudy:
 
     def weekly_profile(self) -> DataFrame:
         keys = [dow_mon0("timestamp").alias("day_of_week"), hour_of("timestamp").alias("hour")]
-        return self.signal.groupBy(*keys).agg(
+        source = self.rows if "rows" in vars(self) else self.signal
+        return source.groupBy(*keys).agg(
             F.avg("cooling_delta_f").alias("expected_cooling_delta_f"),
             F.avg("hvac_kw").alias("expected_hvac_kw"),
             share(F.col("occupied_actual")).alias("occupancy_rate_actual"),
@@ -225,18 +235,16 @@ class ThermalStudy:
         return self._forecast().drop("_step", "_step_us")
 
     def _forecast(self) -> DataFrame:
-        s = self.settings
-        newest = self.with_step(self.signal.agg(F.max("timestamp").alias("_last")).where(F.col("_last").isNotNull()))
-        steps = F.greatest(F.rint(F.lit(float(s.forecast_hours)) / F.col("_step")), F.lit(1.0)).cast("bigint")
-        span = newest.select(
-            after("_last", F.col("_step_us")).alias("_start"), steps.alias("_n"), "_step", "_step_us"
-        )
-        grid = expand_slots(span, "_start", "_n", F.col("_step_us")).drop("_start", "_n")
+        s, last = self.settings, self.extent["last"]
+        steps = max(round(float(s.forecast_hours) / self.step), 1) if last is not None else 0
+        spark = self.raw.sparkSession
+        start = F.lit(None if last is None else last.isoformat(sep=" ")).cast("timestamp_ntz")
+        grid = self.with_step(spark.range(steps).withColumnRenamed("id", "slot"))
+        grid = grid.withColumn("timestamp", after(start, (F.col("slot") + 1) * F.col("_step_us")))
         grid = grid.withColumns({"day_of_week": dow_mon0("timestamp"), "hour": hour_of("timestamp")})
         # the weekly profile has at most 168 rows
         rows = grid.join(F.broadcast(self.weekly_profile()), ["day_of_week", "hour"], "left")
-        spread = self.signal.agg(F.greatest(F.stddev_samp("cooling_delta_f") / 4.0, F.lit(MIN_SPREAD))).scalar()
-        limit = self.threshold.select("threshold_f").scalar()
+        spread, limit = F.lit(self.extent["spread"]).cast("double"), self.limit
         z = (F.col("expected_cooling_delta_f") - limit) / spread
         low, high = PROBABILITY_RANGE
         probability = F.when(
@@ -259,7 +267,7 @@ class ThermalStudy:
 
     def summary(self) -> DataFrame:
         delta, there = F.col("cooling_delta_f"), F.col("occupied_actual")
-        one = self.signal.agg(
+        one = self.rows.agg(
             F.count(F.lit(1)).cast("bigint").alias("rows"),
             F.min("timestamp").alias("start"), F.max("timestamp").alias("end"),
             F.avg(F.when(there, delta)).alias("occupied_delta_mean_f"),
@@ -278,10 +286,7 @@ class ThermalStudy:
         return one
 
     def report(self) -> dict[str, DataFrame]:
-        """Report sections by name, for ``sinks.write_sections``; the signal is written once for all of them."""
-        return self.written()._sections()
-
-    def _sections(self) -> dict[str, DataFrame]:
+        """Report sections by name, for ``sinks.write_sections``."""
         s = self.settings
         config = self.threshold.select(
             "threshold_f", *[F.lit(v).alias(k) for k, v in vars(s).items()]
@@ -311,20 +316,15 @@ def setback_windows(forecast: DataFrame, top: int = 10) -> DataFrame:
     """Runs of recommended setback, largest savings first.
 
     ``forecast`` is numbered without holes by ``slot`` and carries the step as
-    ``_step`` (hours) and ``_step_us`` (microseconds).
+    ``_step`` (hours) and ``_step_us`` (microseconds). A run starts at its first
+    slot's own moment.
     """
     sums = ["projected_savings_kwh", "expected_hvac_kw", "occ_prob_from_temp"]
-    found = runs(forecast, [], "slot", "setback_recommended", sums)
-    origin = forecast.agg(
-        F.min(F.struct("slot", "timestamp", "_step", "_step_us"))
-    ).scalar()
-    found = found.withColumn("_o", origin)
-    step, micros = F.col("_o._step"), F.col("_o._step_us")
-    offset = (F.col("first_slot") - F.col("_o.slot")) * micros
+    found = runs(forecast, [], "slot", "setback_recommended", sums, ["timestamp", "_step", "_step_us"])
     rows = found.select(
-        after("_o.timestamp", offset).alias("start"),
-        after("_o.timestamp", offset + F.col("length") * micros).alias("end"),
-        (F.col("length") * step).alias("duration_hours"),
+        F.col("timestamp").alias("start"),
+        after("timestamp", F.col("length") * F.col("_step_us")).alias("end"),
+        (F.col("length") * F.col("_step")).alias("duration_hours"),
         F.col("projected_savings_kwh_sum").alias("projected_savings_kwh"),
         F.try_divide("expected_hvac_kw_sum", "expected_hvac_kw_n").alias("mean_hvac_kw"),
         F.try_divide("occ_prob_from_temp_sum", "occ_prob_from_temp_n").alias("mean_occ_prob"),
