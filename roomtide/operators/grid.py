@@ -83,28 +83,45 @@ def dense_grid(
     )
 
 
+def weather_slots(weather: DataFrame, freq: str) -> tuple[DataFrame, tuple[int, int] | None]:
+    """Mean temperature per grid slot (``slot`` counts steps since 1970), and the first and last slot with a reading."""
+    step = seconds_of(freq)
+    series = align(normalize_weather(weather), [], "outside_temp", step)
+    series = series.select(F.floor(epoch_micros("timestamp") / F.lit(step * 1_000_000)).cast("bigint").alias("slot"), "outside_temp")
+    ends = series.agg(F.min("slot").alias("lo"), F.max("slot").alias("hi")).first()
+    return series, None if ends["lo"] is None else (ends["lo"], ends["hi"])
+
+
+def weather_lines(series: DataFrame, ends: tuple[int, int] | None, step: int) -> DataFrame:
+    """``slot, outside_temp`` for every slot between the ends.
+
+    Each known temperature meets the next one (30-day chunks; what crosses a
+    border comes from one row per chunk), and the slots between the two are
+    expanded from the pair, so no empty grid is built and joined.
+    """
+    first, last = (F.lit(end).cast("bigint") for end in ends or (None, None))
+    known = series.where(F.col("outside_temp").isNotNull())
+    around = neighbours(known, [], "slot", F.struct("slot", "outside_temp"), bucket_of_slots(step), inclusive=False)
+    later, here = F.col("_next").getField("slot"), F.col("slot")
+    begin = F.when(F.col("_prev").isNull(), first).otherwise(here)
+    spans = around.withColumn("_at", F.explode(F.sequence(begin, F.coalesce(later - 1, last))))
+    slope = F.try_divide(F.col("_at") - here, later - here)
+    rise = F.col("_next").getField("outside_temp") - F.col("outside_temp")
+    linear = F.when((F.col("_at") > here) & later.isNotNull(), F.col("outside_temp") + rise * slope)
+    return spans.select(F.col("_at").alias("slot"), F.coalesce(linear, "outside_temp").alias("outside_temp"))
+
+
 def weather_grid(weather: DataFrame, freq: str = "15min") -> DataFrame:
-    """Outside temperature on the grid: linear in time, flat beyond the ends.
+    """Outside temperature on the grid: linear in time, flat beyond the first and last known one.
 
-    The series has at most one row per grid point. It is cut into 30-day
-    chunks, and readings next to a chunk border are carried over.
+    The grid reaches from the first to the last reading, which are looked up
+    first. It is empty where no temperature is known.
     """
+    series, ends = weather_slots(weather, freq)
     step = seconds_of(freq)
-    series = align(normalize_weather(weather), [], "outside_temp", step)
-    micros = F.lit(step * 1_000_000)
-    span = series.agg(F.min("timestamp").alias("_start"), F.max("timestamp").alias("_end"))
-    span = span.withColumn(
-        "_slots", F.floor((epoch_micros("_end") - epoch_micros("_start")) / micros).cast("bigint") + 1
-    )
-    grid = expand_slots(span, "_start", "_slots", micros).select("timestamp", "slot")
-    grid = grid.join(series, "timestamp", "left")
-    reading = F.when(F.col("outside_temp").isNotNull(), F.struct("slot", "outside_temp"))
-    around = neighbours(grid, [], "slot", reading, bucket_of_slots(step))
-    prev_t, next_t = F.col("_prev").getField("outside_temp"), F.col("_next").getField("outside_temp")
-    prev_s, next_s = F.col("_prev").getField("slot"), F.col("_next").getField("slot")
-    linear = prev_t + (next_t - prev_t) * F.try_divide(F.col("slot") - prev_s, next_s - prev_s)
-    return around.select(
-        "timestamp", F.coalesce("outside_temp", linear, prev_t, next_t).alias("outside_temp")
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+    return weather_lines(series, ends, step).select(
+        after(epoch, F.col("slot") * F.lit(step * 1_000_000)).alias("timestamp"), "outside_temp"
     )
 
 
@@ -117,18 +134,18 @@ def bucket_of_slots(step: int, days: int = 30):
 def with_weather(df: DataFrame, weather: DataFrame | None, freq: str = "15min") -> DataFrame:
     """Attach interpolated temperature; moments outside the weather series get its nearest end.
 
-    Rows without a time are kept and have no temperature.
+    Rows without a time are kept and have no temperature. The ends of the
+    series are looked up first and limit the slots as literals.
     """
     if weather is None:
         return df.withColumn("outside_temp", F.lit(None).cast("double"))
     step = seconds_of(freq)
-    series = align(normalize_weather(weather), [], "outside_temp", step)
-    ends = series.agg(F.struct(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"))).scalar()
-    keyed = df.withColumn("_ends", ends).withColumn("_at", bucket("timestamp", step))
-    inside = F.least(F.greatest("_at", "_ends.lo"), F.col("_ends.hi"))
-    keyed = keyed.withColumn("_at", F.when(F.col("_at").isNotNull(), inside)).drop("_ends")
-    grid = weather_grid(weather, freq).withColumnRenamed("timestamp", "_at")
-    return keyed.join(grid, "_at", "left").drop("_at")
+    series, ends = weather_slots(weather, freq)
+    slot = F.floor(epoch_micros("timestamp") / F.lit(step * 1_000_000)).cast("bigint")
+    first, last = (F.lit(end).cast("bigint") for end in ends or (None, None))
+    keyed = df.withColumn("_at", F.when(slot.isNotNull(), F.least(F.greatest(slot, first), last)))
+    lines = weather_lines(series, ends, step).withColumnRenamed("slot", "_at")
+    return keyed.join(lines, "_at", "left").drop("_at")
 
 
 def impute_median(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:

@@ -83,9 +83,10 @@ def add_tariff(df: DataFrame, tariff: DataFrame, priority: str = "tou_id", zone:
     """Rate of the row's hour; hours without a tariff take the last known rate.
 
     A rate depends on the hour only, so rows look it up in the 24-hour table,
-    which is safe to broadcast, and are not shuffled. Only rows whose hour has
-    no rate are filled, in time order within each zone (over the whole frame
-    without one), from the distinct calendar hours of the zone. Rows without a
+    which is safe to broadcast, and are not shuffled; where all hours have a
+    rate, that is all. Otherwise rows without a rate are filled in time order
+    within each zone (over the whole frame without one): they meet one marker
+    per calendar hour in which the zone has rows with a rate. Rows without a
     time come last in that order; a null zone is a zone like others. Every row
     is kept.
     """
@@ -94,18 +95,28 @@ def add_tariff(df: DataFrame, tariff: DataFrame, priority: str = "tou_id", zone:
     keys = [zone] if zone and zone in df.columns else []
     rates = tariff_by_hour(tariff, priority)
     base = df.withColumn("timestamp", to_moment("timestamp")).withColumn("hour", hour_of("timestamp"))
-    base = base.withColumn("_at", bucket("timestamp", 3600))
     looked = base.join(F.broadcast(rates), "hour", "left").select(*base.columns, "tou_rate")
-    present = looked.select(*keys, "_at", "tou_rate").distinct()
+    covered = [row["hour"] for row in rates.where(F.col("tou_rate").isNotNull()).collect()]  # 24 at most
+    if not covered:
+        return looked
+    no_rate = F.col("hour").isNull() | ~F.col("hour").isin(covered)
+    # without a time a row stands after all others; hours of the calendar are the order
+    late = F.lit("9999-12-31").cast("timestamp_ntz")
+    payload = {f"_c{i}": F.when(no_rate, F.col(f"`{c}`")) for i, c in enumerate(base.columns)}
+    placed = looked.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+        F.coalesce(bucket("timestamp", 3600), late).alias("_at"), "tou_rate",
+        F.when(no_rate, F.monotonically_increasing_id()).alias("_row"), *[c.alias(name) for name, c in payload.items()],
+    )
+    # rows with a rate have no payload here and shrink to one marker per hour on the map side
+    zones = [f"_k{i}" for i, _ in enumerate(keys)]
+    few = placed.groupBy(*zones, "_at", "_row", *payload).agg(F.max("tou_rate").alias("tou_rate"))
     month = F.trunc(F.to_date("_at"), "month")
-    filled = neighbours(present.where(F.col("_at").isNotNull()), keys, "_at", F.col("tou_rate"), month)
-    filled = filled.select(*keys, "_at", F.coalesce("_prev", "_next").alias("_fill"))
-    no_time = F.lit(None).cast(dict(present.dtypes)["_at"])
-    latest = F.max_by("tou_rate", F.when(F.col("tou_rate").isNotNull(), F.col("_at")))
-    last = present.groupBy(*keys).agg(latest.alias("_fill")).select(*keys, no_time.alias("_at"), "_fill")
-    missing = match(looked.where(F.col("tou_rate").isNull()), filled.unionByName(last), [*keys, "_at"], "left")
-    missing = missing.withColumn("tou_rate", F.col("_fill")).drop("_fill")
-    return looked.where(F.col("tou_rate").isNotNull()).unionByName(missing).drop("_at")
+    filled = neighbours(few, zones, "_at", F.col("tou_rate"), month).where(F.col("_row").isNotNull())
+    filled = filled.select(
+        *[F.col(name).alias(c) for name, c in zip(payload, base.columns)], F.coalesce("_prev", "_next").alias("tou_rate")
+    )
+    return looked.where(~no_rate).unionByName(filled)
 
 
 def flag_opportunity(

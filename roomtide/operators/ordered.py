@@ -9,6 +9,7 @@ and carry what crosses a border through a summary with one row per piece.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
@@ -32,7 +33,9 @@ def match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "in
 
 # --- exact order statistics -------------------------------------------------
 
-def _pick(freq: DataFrame, keys: Sequence[str], ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+def _pick(
+    freq: DataFrame, keys: Sequence[str], ranks: dict[str, Callable[[Column], Column]], totals: Sequence[Total] = (),
+) -> DataFrame:
     """Values at given 0-based ranks, per key.
 
     ``freq`` holds one row per key and distinct value: ``_v``, its weight ``_w``
@@ -40,24 +43,32 @@ def _pick(freq: DataFrame, keys: Sequence[str], ranks: dict[str, Callable[[Colum
     bounded number) give the ranks at which each bin starts; only bins that
     hold a wanted rank are then sorted. Returns per key ``_total`` and, for each
     name, the value and ``<name>_below``, the weight of all smaller values.
+    ``totals`` are sums, minima or maxima of ``freq`` that are wanted besides;
+    they are taken per bin on the way and named by their alias. A row without
+    value (and without bin) counts in them only.
     """
     whole = Window.partitionBy(*keys)
     earlier = whole.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    weight = F.when(F.col("_bin").isNotNull(), F.col("_w")).otherwise(F.lit(0)) if totals else F.col("_w")
+    carried = [f"_t{i}" for i, _ in enumerate(totals)]
     bins = (
         freq.groupBy(*keys, "_bin")
-        .agg(F.sum("_w").alias("_bin_w"))
+        .agg(F.sum(weight).alias("_bin_w"), *[t.how(t.of).alias(name) for t, name in zip(totals, carried)])
         .withColumn("_total", F.sum("_bin_w").over(whole))
         .withColumn("_before", F.coalesce(F.sum("_bin_w").over(earlier), F.lit(0)))
+        .withColumns({name: t.how(name).over(whole) for t, name in zip(totals, carried)})
     )
     wanted = F.lit(False)
     for name, rank in ranks.items():
         bins = bins.withColumn(f"_r_{name}", rank(F.col("_total")))
         r = F.col(f"_r_{name}")
         wanted = wanted | ((r >= F.col("_before")) & (r < F.col("_before") + F.col("_bin_w")))
+    if totals:  # a key without any value still has its totals: its bin of rows without value stands in
+        wanted = wanted | ((F.col("_total") == 0) & F.col("_bin").isNull())
     rows = match(freq, bins.where(wanted), [*keys, "_bin"])
     running = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_upto", F.sum("_w").over(running) + F.col("_before"))
-    picked = [F.max("_total").alias("_total")]
+    picked = [F.max("_total").alias("_total"), *[F.max(name).alias(t.name) for t, name in zip(totals, carried)]]
     for name in ranks:
         here = F.col("_upto") > F.col(f"_r_{name}")
         picked.append(F.min(F.when(here, F.col("_v"))).alias(name))
@@ -65,6 +76,14 @@ def _pick(freq: DataFrame, keys: Sequence[str], ranks: dict[str, Callable[[Colum
     return rows.groupBy(*keys).agg(*picked)
 
 
+class Total(NamedTuple):
+    """A total that can be taken in steps: ``how`` is ``F.sum``, ``F.min`` or ``F.max``."""
+
+    name: str
+    how: Callable[..., Column]
+    of: Column
+
+
 def with_bins(freq: DataFrame) -> DataFrame:
     """Bin number of ``_v`` on a logarithmic scale, 4096 bins per doubling.
 
@@ -97,21 +116,52 @@ def percentiles(
     weight = F.lit(1) if weight is None else as_col(weight)
     rows = df.select(*keys, value.alias("_v"), weight.cast("bigint").alias("_w"))
     rows = rows.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    counted = rows.groupBy(*keys, "_v").agg(F.sum("_w").alias("_w"))
     if few_values:
-        counted = rows.groupBy(*keys, "_v").agg(F.sum("_w").alias("_w"))
         return counted.groupBy(*keys).agg(*[F.percentile("_v", p, F.col("_w")).alias(name) for name, p in probs.items()])
-    freq = with_bins(rows.groupBy(*keys, "_v").agg(F.sum("_w").alias("_w")))
+    return _interpolated(with_bins(counted), keys, probs)
+
+
+def summary(
+    df: DataFrame, keys: Sequence[str], value: str | Column, probs: dict[str, float], totals: Sequence[Total] = ()
+) -> DataFrame:
+    """``rows``, ``mean`` of the known values, ``totals`` and exact percentiles per key, from one counted table.
+
+    The table has a row per key and distinct value with its count. Rows without
+    a value (null or NaN) count in ``rows`` and in the totals only.
+    """
+    value = as_col(value).cast("double")
+    rows = df.withColumn("_v", F.when(~F.isnan(value), value))
+    own = [f"_o{i}" for i, _ in enumerate(totals)]
+    freq = with_bins(rows.groupBy(*keys, "_v").agg(
+        F.count(F.lit(1)).alias("_w"), *[t.how(t.of).alias(name) for t, name in zip(totals, own)]
+    ))
+    further = [
+        Total("rows", F.sum, F.col("_w")), Total("_sum", F.sum, F.col("_v") * F.col("_w")),
+        *[t._replace(of=F.col(name)) for t, name in zip(totals, own)],
+    ]
+    found = _interpolated(freq, keys, probs, further)
+    mean = F.try_divide("_sum", F.col("_total").cast("double"))
+    names = ["rows", *[t.name for t in totals], *probs]
+    return found.withColumn("rows", F.coalesce("rows", F.lit(0))).select(*keys, mean.alias("mean"), *names)
+
+
+def _interpolated(
+    freq: DataFrame, keys: Sequence[str], probs: dict[str, float], totals: Sequence[Total] = ()
+) -> DataFrame:
     ranks: dict[str, Callable[[Column], Column]] = {}
     for name, p in probs.items():
         ranks[f"{name}_lo"] = lambda n, p=p: F.floor((n - 1) * F.lit(p)).cast("bigint")
         ranks[f"{name}_hi"] = lambda n, p=p: F.ceil((n - 1) * F.lit(p)).cast("bigint")
-    found = _pick(freq, keys, ranks)
+    found = _pick(freq, keys, ranks, totals)
     out = []
     for name, p in probs.items():
         at = (F.col("_total") - 1) * F.lit(p)
         low, high = F.col(f"{name}_lo"), F.col(f"{name}_hi")
         out.append((low + (high - low) * (at - F.floor(at))).alias(name))
-    return found.select(*keys, *out)
+    if not totals:
+        return found.select(*keys, *out)
+    return found.select(*keys, "_total", *[t.name for t in totals], *out)
 
 
 def chronological_split(

@@ -14,7 +14,8 @@ from roomtide.functions.scalars import (
     WEEKDAY_LABELS, day_of, dow_sun0, hour_of, round_to, share, weekday_label,
 )
 from roomtide.operators.canonical import between
-from roomtide.operators.ordered import match, percentiles
+from roomtide.operators.ordered import percentiles, summary
+from roomtide.operators.selection import quantiles
 
 
 def _rows() -> Column:
@@ -118,26 +119,23 @@ def occupancy_timeline(occupancy: DataFrame, ts: str = "beginning", count: str =
 # --- temperature ------------------------------------------------------------
 
 def hvac_kpis(hvac: DataFrame, start=None, end=None) -> DataFrame:
+    """Counts, extent, mean, median and 95th percentile; the percentiles are found first, by narrowing."""
     rows = hvac.where(between("timestamp", start, end))
-    found = percentiles(rows, [], "zone_temp", {"m": 0.5, "p": 0.95}).select(F.struct("m", "p")).scalar()
-    return (
-        rows.agg(
-            _rows().alias("rows"),
-            F.count_distinct("space_id").cast("int").alias("zones"),
-            F.min("timestamp").alias("min_ts"),
-            F.max("timestamp").alias("max_ts"),
-            round_to(F.avg("zone_temp")).alias("avg_temp"),
-        )
-        .withColumn("median_temp", round_to(found.getField("m")))
-        .withColumn("p95_temp", round_to(found.getField("p")))
-    )
+    median, p95 = quantiles(rows, "zone_temp", [0.5, 0.95])
+    return rows.agg(
+        _rows().alias("rows"),
+        F.count_distinct("space_id").cast("int").alias("zones"),
+        F.min("timestamp").alias("min_ts"),
+        F.max("timestamp").alias("max_ts"),
+        round_to(F.avg("zone_temp")).alias("avg_temp"),
+    ).withColumns({
+        "median_temp": round_to(F.lit(median).cast("double")), "p95_temp": round_to(F.lit(p95).cast("double")),
+    })
 
 
 def _temp_by(rows: DataFrame, key: str, name: str, p: float) -> DataFrame:
-    means = rows.groupBy(key).agg(round_to(F.avg("zone_temp")).alias("avg_temp"), _rows().alias("samples"))
-    tails = percentiles(rows, [key], "zone_temp", {name: p})
-    joined = match(means, tails, [key], "left")
-    return joined.select(key, "avg_temp", round_to(name).alias(name), "samples").orderBy(key)
+    found = summary(rows, [key], "zone_temp", {name: p}).orderBy(key)
+    return found.select(key, round_to("mean").alias("avg_temp"), round_to(name).alias(name), F.col("rows").alias("samples"))
 
 
 def hvac_daily(hvac: DataFrame, start=None, end=None) -> DataFrame:

@@ -21,22 +21,24 @@ def savings_potential(
     price = F.col(rate) if rate else F.lit(None).cast("double")
     rows = flagged.select(
         hour_of("timestamp").alias("hour"), dow_mon0("timestamp").alias("day_of_week"),
-        "is_opportunity", F.col("potential_energy_savings").alias("e"),
+        "is_opportunity", F.col("potential_energy_savings").alias("e"), F.col(energy).try_cast("double").alias("used"),
         (F.col("potential_energy_savings") * price).alias("cost"),
     )
-    total = merged.agg(F.sum(F.col(energy).try_cast("double"))).scalar()
     hours = seconds_of(interval) / 3600.0
     grouped = rows.groupingSets([[], ["hour"], ["day_of_week"]], "hour", "day_of_week").agg(
         F.grouping_id().alias("g"),
         (F.count_if("is_opportunity") * F.lit(hours)).alias("opportunity_hours"),
         F.sum("e").alias("opportunity_energy_kwh"),
         F.sum("cost").alias("opportunity_cost"),
+        F.sum("used").alias("used"),
     )
+    # 32 rows at most; the one of the empty grouping set has the energy of all rows
+    total = F.max(F.when(F.col("g") == 3, F.col("used"))).over(Window.partitionBy())
     breakdown = F.when(F.col("g") == 3, "total").when(F.col("g") == 1, "hour").otherwise("weekday")
-    return grouped.select(
+    return grouped.withColumn("_total", total).select(
         breakdown.alias("breakdown"), "hour", "day_of_week", "opportunity_hours", "opportunity_energy_kwh",
         "opportunity_cost",
-        F.coalesce(F.lit(100.0) * F.try_divide("opportunity_energy_kwh", total), F.lit(0.0)).alias("percent_of_total"),
+        F.coalesce(F.lit(100.0) * F.try_divide("opportunity_energy_kwh", "_total"), F.lit(0.0)).alias("percent_of_total"),
     )
 
 

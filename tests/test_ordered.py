@@ -125,3 +125,17 @@ def test_runs_across_blocks(spark):
             start = None
     assert got == expected
     assert sum(r[2] for r in got) == int(flags.sum())
+
+
+def test_summary_equals_pandas(spark, skewed):
+    totals = [ordered.Total("first_t", F.min, F.col("t")), ordered.Total("ids", F.sum, F.col("id"))]
+    got = {r.k: r for r in ordered.summary(frame(spark, skewed), ["k"], "v", {"p50": 0.5, "p9": 0.9}, totals).collect()}
+    for key in ("hot", "a", "b", None):
+        own = skewed[skewed.k.isna() if key is None else skewed.k == key]
+        r = got[key]
+        assert (r.rows, r.first_t, r.ids) == (len(own), own.t.min(), own.id.sum())
+        assert (r.mean, r.p50, r.p9) == pytest.approx((own.v.mean(), own.v.quantile(0.5), own.v.quantile(0.9)))
+    nothing = spark.createDataFrame([("x", None), ("x", float("nan"))], "k string, v double")
+    r = ordered.summary(nothing, ["k"], "v", {"m": 0.5}).first()
+    assert (r.k, r.rows, r["mean"], r.m) == ("x", 2, None, None)
+    assert ordered.summary(nothing.limit(0), ["k"], "v", {"m": 0.5}).count() == 0
