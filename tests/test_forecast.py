@@ -2,6 +2,7 @@ from datetime import datetime
 
 import numpy as np
 import pytest
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from roomtide.operators import grid, series
@@ -164,3 +165,25 @@ def test_trees_beat_the_mean(spark, at):
     assert longer.mean_absolute_error() < 0.5 and longer.model.stages[-1].getNumTrees <= 200
     parts = {r.part: r["count"] for r in boosted.split_hourly(features, 0.8, 0.1).groupBy("part").count().collect()}
     assert sum(parts.values()) == n and parts["validate"] > 0
+
+
+def test_continued_boosting_equals_one_run(spark, at):
+    rng = np.random.default_rng(2)
+    rows = [(at(60 * h), float(8 + 6 * np.sin(h * np.pi / 12) + rng.normal())) for h in range(24 * 14)]
+    df = spark.createDataFrame(rows, "interval_begin timestamp_ntz, count double")
+    features = series.hourly_features(series.hourly_series(df, "interval_begin", "count"))
+    result = boosted.train_trees(features, rounds=24, depth=3, patience=3, learning_rate=0.2)
+    grown = result.model.stages[-1]
+    assert 4 < grown.getNumTrees <= 24  # continued beyond the first run
+    labelled = boosted.split_hourly(features, 0.8, 0.1)
+    known = result.model.stages[0].transform(labelled.where("part != 'test'"))
+    whole = GBTRegressor(labelCol="occupancy", featuresCol="inputs", stepSize=0.2, maxDepth=3, seed=7, maxIter=24)
+    whole = whole.fit(known.where("part = 'train'"))
+    errors = whole.evaluateEachIteration(known.where("part = 'validate'"), "squared")
+    stop = next((i for i in range(24) if i - int(np.argmin(errors[:i + 1])) >= 3), 23)
+    assert grown.getNumTrees == int(np.argmin(errors[:stop + 1])) + 1
+    one_run = boosted.assembled(whole, whole.trees[:grown.getNumTrees], 0.2)
+    test = result.model.stages[0].transform(labelled.where("part = 'test'"))
+    ours = [r.prediction for r in result.predictions.orderBy("timestamp").collect()]
+    theirs = [r.prediction for r in one_run.transform(test).orderBy("timestamp").collect()]
+    np.testing.assert_allclose(ours, theirs, rtol=1e-9)
