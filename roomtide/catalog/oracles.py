@@ -250,8 +250,18 @@ ORACLES: dict[str, str] = {
         from (select distinct table_name, column_name, ordinal_position, data_type from information_schema.columns) c
         join ({" union all ".join(f"select '{t}' as t, count(*) as n from {t}" for t in TABLES)}) n on n.t = c.table_name""",
     "column_profile": " union all ".join(
-        f"select '{c}' as column_name, count(*) as rows, count(*) - count({c}) as nulls, {r(f'100.0::double * (count(*) - count({c})) / count(*)')} as null_pct, count(distinct {c}) as distinct_values from events"
+        f"""select '{c}' as column_name, count(*) as rows, count(*) - count({c}) as nulls,
+        {r(f'100.0::double * (count(*) - count({c})) / count(*)')} as null_pct, count(distinct {c}) as distinct_values,
+        min(cast({c} as varchar)) as min_text, max(cast({c} as varchar)) as max_text,
+        coalesce((select string_agg(v, '|' order by v) from (select distinct cast({c} as varchar) as v from events where {c} is not null order by v limit 3)), '') as examples
+        from events"""
         for c in ("event_id", "ts", "user_id", "event_type", "value", "props")),
+    "time_range": "select count(*) as rows, min(ts) as first_ts, max(ts) as last_ts from events",
+    "hvac_source": sql(f"select timestamp, space_id, {r('zone_temp')} as zone_temp from v_hvac", "v_hvac"),
+    "tariff_source": f"""select cast(p_partkey as int) as tou_id, cast(p_size % 24 as int) as start_hour,
+        cast(case when p_size > 24 then p_size % 7 end as int) as end_hour,
+        {r('case when p_size % 5 <> 0 then p_retailprice end')} as rate_kwh from part""",
+    "space_source": sql("select * from v_space", "v_space"),
     "normalize_occupancy": sql(f"select timestamp, zone_id, {r('occupancy_count')} as occupancy_count from norm", "norm"),
     "duplicate_count": sql("""select cast(sum(n) as bigint) as usable_rows, count(*) as distinct_keys, cast(sum(n - 1) as bigint) as duplicate_rows
         from (select count(*) as n from v_occ group by date_trunc('hour', timestamp), zone_id)""", "v_occ"),
@@ -375,6 +385,17 @@ ORACLES: dict[str, str] = {
     "seasonal_naive_forecast": sql(_forecast_body(_future_rows(672)), "profile", "level", "horizon"),
     "forecast_with_history": sql(_forecast_body(f"select zone_id, ds from train union all {_future_rows(96)}"), "train", "profile", "level", "horizon"),
     "predict_occupancy": sql(f"select ds as timestamp, zone_id, pred_occupancy_count, pred_is_occupied from ({_forecast_body(_range_rows(RANGE))})", "profile", "level"),
+    "predict_occupancy_weather": sql(f"select ds as timestamp, zone_id, pred_occupancy_count, pred_is_occupied from ({_forecast_body(_range_rows(RANGE))})", "profile", "level"),
+    "regression_median_fill": sql(f"""select zone_id, ds, {r('y')} as y, {r('coalesce(outside_temp, mid)')} as outside_temp, {r('mid')} as temp_mid
+        from (select t.zone_id, ds, y, outside_temp, quantile_cont(outside_temp, 0.5) over (partition by t.zone_id) as mid
+          from train t left join v_weather on v_weather.timestamp = t.ds)""", "train", "v_weather"),
+    "regression_residual_products": sql("""select zone_id, cast(term as int) as term, rows, 0.0::double as residual_share
+        from (select zone_id, count(*) as rows, unnest(range(17)) as term from train group by 1)""", "train"),
+    "regression_backtest": sql("select zone_id, status, n_eval as n_eval_rows from backtest", "backtest"),
+    "hourly_forecast_error": sql(f"""select count(*) as rows, {r('avg(abs(occupancy - lagged))')} as mae, {r('sqrt(avg((occupancy - lagged) * (occupancy - lagged)))')} as rmse
+        from (select timestamp, occupancy, lag(occupancy, 24) over (order by timestamp) as lagged, last_value(outside_temp ignore nulls) over (order by timestamp {ROWS_BACK}) as temp,
+          row_number() over (order by timestamp) - 25 as pos, count(*) over () - 24 as n from hours left join v_weather using (timestamp))
+        where pos >= floor(n * 0.8::double) and temp is not null and lagged is not null""", "hours", "v_weather"),
     "backtest_metrics": sql(f"""select zone_id, {r('acc')} as binary_accuracy, {r('pr')} as precision, {r('re')} as recall,
         {r('case when pr + re > 0 then 2 * pr * re / (pr + re) else 0 end')} as f1, {r('mae')} as mae, n as n_eval_rows from scored""", "scored"),
     "error_metrics": sql(f"""select zone_id, {r('avg(abs(y - yhat))')} as mae, {r('sqrt(avg((y - yhat) * (y - yhat)))')} as rmse,

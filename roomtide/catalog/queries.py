@@ -14,7 +14,9 @@ from roomtide.plans import boosted, dashboard, describe, forecast, insights, reg
 from roomtide.plans.thermal import ThermalSettings, ThermalStudy
 from roomtide.session import durable, tune
 from roomtide.sources.demo import Demo
-from roomtide.sources.tables import occupancy_source, scan, weather_source
+from roomtide.sources.tables import (
+    hvac_source, occupancy_source, scan, space_source, tariff_source, weather_source,
+)
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -79,9 +81,32 @@ def schema_dictionary(d: Demo) -> DataFrame:
 
 @query
 def column_profile(d: Demo) -> DataFrame:
-    return describe.column_profile(d.events).select(
-        "column_name", "rows", "nulls", "null_pct", "distinct_values"
-    )
+    return describe.column_profile(d.events).withColumn("examples", F.array_join("examples", "|"))
+
+
+@query
+def time_range(d: Demo) -> DataFrame:
+    return describe.time_range(d.events, "ts")
+
+
+@query("hvac_source")
+def hvac_source_rows(d: Demo) -> DataFrame:
+    return hvac_source(d.hvac.withColumn("timestamp", F.col("timestamp").cast("string")))
+
+
+@query("tariff_source")
+def tariff_source_rows(d: Demo) -> DataFrame:
+    size = F.col("p_size")
+    return tariff_source(d.table("part").select(
+        F.col("p_partkey").cast("string").alias("tou_id"), (size % 24).cast("string").alias("start_hour"),
+        F.when(size > 24, size % 7).cast("string").alias("end_hour"),
+        F.concat(F.when(size % 5 == 0, "?").otherwise(""), F.col("p_retailprice").cast("string")).alias("rate_kwh"),
+    ))
+
+
+@query("space_source")
+def space_source_rows(d: Demo) -> DataFrame:
+    return space_source(d.space)
 
 
 # --- coercion and predicates ------------------------------------------------
@@ -381,6 +406,11 @@ def predict_occupancy(d: Demo) -> DataFrame:
     return forecast.predict_occupancy(d.occ, *RANGE)
 
 
+@query
+def predict_occupancy_weather(d: Demo) -> DataFrame:
+    return forecast.predict_occupancy(d.occ, *RANGE, weather_history=d.weather, weather_future=d.weather)
+
+
 @query
 def backtest_metrics(d: Demo) -> DataFrame:
     return forecast.score(test_pairs(d), ["zone_id"])
@@ -416,6 +446,24 @@ def seasonal_regression_forecast(d: Demo) -> DataFrame:
     return regression.predict_regression(model, future)
 
 
+@query
+def regression_median_fill(d: Demo) -> DataFrame:
+    hourly = merge.add_weather(train_frame(d).withColumnRenamed("ds", "timestamp"), d.weather)
+    return regression.fill_temperatures(forecast.model_rows(hourly.withColumnRenamed("timestamp", "ds")))
+
+
+@query
+def regression_residual_products(d: Demo) -> DataFrame:
+    train = durable(forecast.temperatures(train_frame(d), d.weather, "15min"))
+    return regression.residual_products(regression.fit_regression(train), train)
+
+
+@query
+def regression_backtest(d: Demo) -> DataFrame:
+    found = forecast.backtest_zones(d.occ, weather=d.weather, backend=regression.REGRESSION).metrics
+    return found.select("zone_id", "status", "n_eval_rows")
+
+
 @query
 def regression_slot_sums(d: Demo) -> DataFrame:
     rows = forecast.temperatures(train_frame(d), d.weather, "15min")
@@ -428,6 +476,14 @@ def gbt_hourly_frame(d: Demo) -> DataFrame:
     return boosted.split_hourly(series.hourly_features(hourly, d.weather), 0.8, 0.1).drop("slot", "slots")
 
 
+@query
+def hourly_forecast_error(d: Demo) -> DataFrame:
+    """The value of a day before as forecast of the test rows: what a fitted model has to beat."""
+    hourly = series.hourly_series(d.occ, "timestamp", "occupancy_count")
+    rows = boosted.split_hourly(series.hourly_features(hourly, d.weather), 0.8, 0.1).where("part = 'test'")
+    return boosted.forecast_error(rows, rows.select("timestamp", F.col("occ_lag_24h").alias("prediction")))
+
+
 @query
 def gbt_hourly_forecast(d: Demo) -> DataFrame:
     hourly = series.hourly_series(d.occ, "timestamp", "occupancy_count")

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from roomtide.functions.scalars import after, as_col, bucket, epoch_micros
@@ -243,20 +244,56 @@ def _pick_ranked(tied: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 # --- row numbers ------------------------------------------------------------
 
+SLICES_PER_TASK = 4
+
+
+def _on_a_line(df: DataFrame, name: str) -> Column | None:
+    """The column as a double that never decreases with it, nulls first; None for types that have no such double."""
+    kind = dict(df.dtypes)[name]
+    if kind in ("timestamp", "timestamp_ntz", "date"):
+        value = epoch_micros(F.col(name).cast("timestamp_ntz")).cast("double")
+    elif kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
+        value = F.col(name).cast("double")
+    else:
+        return None
+    return F.when(F.isnan(value), F.lit(float("inf"))).otherwise(F.coalesce(value, F.lit(float("-inf"))))
+
+
+def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "_slice") -> DataFrame:
+    """Cut rows into slices that grow with ``order``, of about equal size.
+
+    Where the first column of ``order`` is a number or a moment, one pass finds
+    its quantiles; as literal borders they cut every later pass alike, and
+    nothing is written. Rows of one value of that column share a slice. Other
+    types go through a range partitioning, which is written, because its borders
+    come from a sample.
+    """
+    line = _on_a_line(df, order[0])
+    if line is None:
+        dealt = df.repartitionByRange(*[F.col(c) for c in [*keys, *order]])
+        return durable(dealt.withColumn(name, F.spark_partition_id()))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * SLICES_PER_TASK
+    probs = [i / n for i in range(1, n)]
+    found = df.agg(F.percentile_approx(line, probs, max(10 * n, 10_000)).alias("q")).first()["q"] or []
+    borders = sorted({b for b in found if abs(b) != float("inf")})
+    cut = Bucketizer(splits=[float("-inf"), *borders, float("inf")], inputCol="_line", outputCol=name)
+    if not borders:
+        return df.withColumn(name, F.lit(0))
+    return cut.transform(df.withColumn("_line", line)).withColumn(name, F.col(name).cast("int")).drop("_line")
+
+
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "row_no") -> DataFrame:
     """Exact 1-based row number within each key, in ``order``; also ``<name>_total``.
 
-    Rows are cut into range slices of about equal size, so one hot key fills
-    many slices. The slices are written out first: their borders come from a
-    sample, and the counting pass and the numbering pass must see the same ones.
-    ``order`` should identify a row within its key.
+    Rows are cut into slices, so one hot key fills many of them. A count per
+    slice gives the number at which it starts; inside a slice rows are numbered
+    by a window. ``order`` should identify a row within its key.
     """
-    sliced = df.repartitionByRange(*[F.col(c) for c in [*keys, *order]])
-    sliced = durable(sliced.withColumn("_slice", F.spark_partition_id()))
+    cut = sliced(df, keys, order)
     whole = Window.partitionBy(*keys)
     earlier = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     sizes = (
-        sliced.groupBy(*keys, "_slice")
+        cut.groupBy(*keys, "_slice")
         .agg(F.count(F.lit(1)).alias("_size"))
         .withColumn("_before", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
         .withColumn(f"{name}_total", F.sum("_size").over(whole))
@@ -264,7 +301,7 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], name:
     )
     within = Window.partitionBy(*keys, "_slice").orderBy(*order)
     return (
-        match(sliced, sizes, [*keys, "_slice"])
+        match(cut, sizes, [*keys, "_slice"])
         .withColumn(name, F.row_number().over(within) + F.col("_before"))
         .drop("_slice", "_before")
     )

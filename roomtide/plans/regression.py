@@ -87,14 +87,18 @@ def fit_regression(train: DataFrame) -> DataFrame:
     return durable(slot_sums(rows).groupBy("zone_id").applyInPandas(zone_solver(), COEFFICIENTS))
 
 
+def fill_temperatures(rows: DataFrame) -> DataFrame:
+    """Model rows with ``temp_mid``, the zone's median temperature (0 if none is known), in place of missing ones."""
+    middle = percentiles(rows, ["zone_id"], "outside_temp", {"temp_mid": 0.5})
+    rows = rows.join(middle, "zone_id", "left").withColumn("temp_mid", F.coalesce("temp_mid", F.lit(0.0)))
+    return rows.withColumn("outside_temp", F.coalesce("outside_temp", "temp_mid"))
+
+
 def slot_sums(rows: DataFrame) -> DataFrame:
     """Ten sums per zone and weekly slot; all that the normal equations need of ``zone_id, ds, y, outside_temp``."""
-    middle = durable(percentiles(rows, ["zone_id"], "outside_temp", {"temp_mid": 0.5}))
-    rows = rows.join(middle, "zone_id", "left").withColumn("temp_mid", F.coalesce("temp_mid", F.lit(0.0)))
-    rows = rows.select(
+    rows = fill_temperatures(rows).select(
         "zone_id", "temp_mid", dow_mon0("ds").alias("dow"), minute_of_day("ds").alias("minute"),
-        _years("ds").alias("_t"), (F.coalesce("outside_temp", "temp_mid") - F.col("temp_mid")).alias("_x"),
-        F.col("y").alias("_y"),
+        _years("ds").alias("_t"), (F.col("outside_temp") - F.col("temp_mid")).alias("_x"), F.col("y").alias("_y"),
     )
     t, x, y = F.col("_t"), F.col("_x"), F.col("_y")
     products = {"t": t, "x": x, "tt": t * t, "xx": x * x, "tx": t * x, "y": y, "ty": t * y, "xy": x * y, "yy": y * y}
@@ -103,23 +107,52 @@ def slot_sums(rows: DataFrame) -> DataFrame:
     )
 
 
-def predict_regression(model: DataFrame, future: DataFrame) -> DataFrame:
-    """Forecast with an 80 % band for ``zone_id, ds[, outside_temp]`` rows."""
-    rows = future if "outside_temp" in future.columns else future.withColumn("outside_temp", F.lit(None).cast("double"))
-    rows = rows.join(model, "zone_id", "left")
+def _terms() -> list[Column]:
+    """The terms of a row with ``ds, outside_temp, temp_mid``, in the order of the coefficients."""
     minute = (dow_mon0("ds") * DAY + minute_of_day("ds")).cast("double")
     terms: list[Column] = [F.lit(1.0)]
     for period, k in _angles():
         angle = minute * F.lit(2 * np.pi * k / period)
         terms += [F.sin(angle), F.cos(angle)]
-    terms += [_years("ds"), F.coalesce("outside_temp", "temp_mid") - F.col("temp_mid")]
+    return terms + [_years("ds"), F.coalesce("outside_temp", "temp_mid") - F.col("temp_mid")]
+
+
+def _fitted(model: DataFrame, rows: DataFrame) -> DataFrame:
+    rows = rows if "outside_temp" in rows.columns else rows.withColumn("outside_temp", F.lit(None).cast("double"))
     yhat = F.lit(0.0)
-    for i, term in enumerate(terms):
+    for i, term in enumerate(_terms()):
         yhat = yhat + F.get("coef", F.lit(i)) * term
-    rows = rows.withColumn("yhat", yhat)
+    return rows.join(model, "zone_id", "left").withColumn("yhat", yhat)
+
+
+def predict_regression(model: DataFrame, future: DataFrame) -> DataFrame:
+    """Forecast with an 80 % band for ``zone_id, ds[, outside_temp]`` rows."""
+    rows = _fitted(model, future)
     band = F.col("sigma") * BAND
     rows = rows.withColumns({"yhat_lower": F.col("yhat") - band, "yhat_upper": F.col("yhat") + band})
     return finish_forecast(rows.drop("coef", "sigma", "temp_mid", "n"))
 
 
+def residual_products(model: DataFrame, train: DataFrame) -> DataFrame:
+    """How far a fit is from least squares: ``zone_id, term, rows, residual_share``.
+
+    At the minimum the residuals are orthogonal to every term, so the sum of
+    residual times term is 0 per zone and term, whatever method found the
+    coefficients. ``residual_share`` is that sum, without sign, in proportion
+    to the sum of the sizes of its products with the values.
+    """
+    rows = _fitted(model, model_rows(train))
+    miss, terms = F.col("y") - F.col("yhat"), _terms()
+    sums = rows.groupBy("zone_id").agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.abs(F.sum(miss * term)).alias(f"_m{i}") for i, term in enumerate(terms)],
+        *[F.sum(F.abs(F.col("y") * term)).alias(f"_s{i}") for i, term in enumerate(terms)],
+    )
+    shares = [
+        F.struct(F.lit(i).alias("term"), F.coalesce(F.try_divide(f"_m{i}", f"_s{i}"), F.lit(0.0)).alias("residual_share"))
+        for i, _ in enumerate(terms)
+    ]
+    return sums.select("zone_id", "rows", F.inline(F.array(*shares))).select("zone_id", "term", "rows", "residual_share")
+
+
 REGRESSION = Backend(fit_regression, predict_regression, lambda model: model.select("zone_id"))

@@ -91,24 +91,46 @@ def _layouts(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]
     first = lines.where(F.col("start") == 0).groupBy("file").agg(F.min_by("value", "at").alias("header"))
     groups: dict[tuple[str, ...], list[str]] = {}
     for row in sorted(first.collect(), key=lambda r: r["file"]):
-        groups.setdefault(tuple(next(csv.reader([row["header"]]))), []).append(unquote(row["file"]))
+        groups.setdefault(tuple(next(csv.reader([row["header"]]))), []).append(row["file"])
     return groups
 
 
 def read_exports(spark: SparkSession, path: str) -> DataFrame:
-    """Role columns of all files as text, parsed timestamps, plus the file's week order."""
-    out = None
-    for header, files in _layouts(spark, path).items():
+    """Role columns of all files as text, parsed timestamps, plus the file's week order.
+
+    Files of all layouts are read in one scan. Its columns are named by
+    position, and only the positions that play a role in some layout are parsed.
+    The catalogue, one row per file, says which of them is which in a file.
+    """
+    layouts = _layouts(spark, path)
+    if not layouts:
+        raise ValueError(f"no files at {path}")
+    places = []  # position of each role, per layout
+    for header in layouts:
         names = unique_headers(header)
         roles = find_roles(names)
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        wide = spark.read.option("header", True).option("enforceSchema", True).schema(schema).csv(files)
-        rows = wide.select(
-            *[F.col(f"`{header_name}`").alias(role) for role, header_name in roles.items()],
-            F.col("_metadata.file_name").alias("file_name"),
-        )
-        rows = with_week_order(rows.withColumn("timestamp", local_moment("timestamp"))).drop("file_name")
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
-        raise ValueError(f"no files at {path}")
-    return out
+        places.append({role: names.index(column) for role, column in roles.items()})
+    choices = {role: sorted({at[role] for at in places}) for role in ROLES}
+    catalogue = spark.createDataFrame(
+        [
+            (file, *[choices[role].index(at[role]) for role in ROLES])
+            for at, files in zip(places, layouts.values()) for file in files
+        ],
+        "file_path string, " + ", ".join(f"_at_{role} int" for role in ROLES),
+    )
+    width = max(map(len, layouts))
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
+    files = [unquote(file) for files in layouts.values() for file in files]
+    wide = spark.read.option("header", True).option("enforceSchema", True).schema(schema).csv(files)
+    used = sorted({i for positions in choices.values() for i in positions})
+    rows = wide.select(
+        *[f"c{i}" for i in used], F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name")
+    )
+    # the file list is known to the driver, so its catalogue may be sent to all tasks
+    rows = rows.join(F.broadcast(catalogue), "file_path").select(
+        *[
+            F.get(F.array(*[f"c{i}" for i in choices[role]]), F.col(f"_at_{role}")).alias(role) for role in ROLES
+        ],
+        "file_name",
+    )
+    return with_week_order(rows.withColumn("timestamp", local_moment("timestamp")), "file_name").drop("file_name")

@@ -28,7 +28,7 @@ def open_jdbc(spark: SparkSession, url: str, table: str, **options: str) -> Data
 
 def scan(
     table: DataFrame,
-    columns: Sequence[str] | None = None,
+    columns: Sequence[str | Column] | None = None,
     where: Column | str | None = None,
     limit: int | None = None,
     parse_dates: Sequence[str] = (),
@@ -76,3 +76,14 @@ def weather_source(table: DataFrame, ts: str = "timestamp", temp: str = "outside
 
 def hvac_source(table: DataFrame) -> DataFrame:
     return scan(table, parse_dates=["timestamp"])
+
+
+def tariff_source(table: DataFrame) -> DataFrame:
+    """``tou_id, start_hour, end_hour, rate_kwh`` with the types that ``add_tariff`` expects."""
+    kinds = {"tou_id": "int", "start_hour": "int", "end_hour": "int", "rate_kwh": "double"}
+    return scan(table, [F.col(c).try_cast(t).alias(c) for c, t in kinds.items()])
+
+
+def space_source(table: DataFrame) -> DataFrame:
+    """Space metadata: id, name, parent and room label, as the dashboard joins them."""
+    return scan(table, ["space_id", "space_name", "parent_space_id", "building_room"])

@@ -324,3 +324,50 @@ def test_typed_csv(spark, tmp_path):
 def test_hvac_source_takes_the_named_columns(spark, at):
     rows = spark.createDataFrame([(at(0), "7", 70.5, "x"), (at(15), "8", 71.0, "y")], "timestamp timestamp_ntz, space_id string, zone_temp double, more string")
     assert tables.hvac_source(rows).count() == 2
+
+
+def test_wide_exports_of_many_layouts_are_one_scan(spark, tmp_path):
+    """14 layouts of 5,956 columns each, the roles at different places, quoted commas among them."""
+    roles = ["Timestamp", "AH-01 Occ Eff Status", "AH-02 Occ Eff Status", "AH-01 Return Air Temp", "AH-01 Supply Air Temp",
+             "AH-02 Return Air Temp", "AH-02 Supply Air Temp", "HVAC Meter HVAC Elec Power"]
+    for i in range(14):
+        spare = 5956 - len(roles)
+        at = [(i * 397 + j * 701) % spare for j in range(len(roles))]
+        header, cells = [f'"Spare, {k}"' for k in range(spare)], [str(k) for k in range(spare)]
+        for place, role, value in sorted(zip(at, roles, [f"2025-01-01 00:{i:02d}:00", "AAAB", "AAAA", "70", "60", "71", "61", str(i)]), reverse=True):
+            header.insert(place, role)
+            cells.insert(place, f'"{value}"')
+        (tmp_path / f"B_Week_Feb{i + 1:02d}.csv").write_text(",".join(header) + "\n" + ",".join(cells) + "\n" + ",".join(cells) + "\n")
+    rows = exports.read_exports(spark, str(tmp_path))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan csv") == 1 and plan.count("Union") == 0
+    got = rows.orderBy("timestamp").collect()
+    assert len(got) == 28 and [(int(r.hvac_power_kw), r.return_temp_ahu2, r.week_day, r.timestamp.minute) for r in got[::2]] == [(i, "71", i + 1, i) for i in range(14)]
+    with pytest.raises(Exception):
+        exports.read_exports(spark, str(tmp_path / "nothing"))
+
+
+def test_sketched_profile_has_the_exact_one_s_columns_and_merges(spark):
+    rows = [(i, f"v{i % 7}" if i % 5 else None, None, 2.5) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, `meta.name` string, nothing string, same double")
+    exact, approx = describe.column_profile(df), describe.column_profile(df, approx=True)
+    assert exact.columns == approx.columns == describe.PROFILE
+    def facts(profile):
+        rows = profile.withColumn("distinct_values", F.round(F.col("distinct_values") / 20)).collect()  # 5 % of the largest
+        return {r.column_name: r for r in rows}
+
+    assert facts(exact) == facts(approx)
+    parts = describe.profile_sketches(df.where("id < 100")).unionByName(describe.profile_sketches(df.where("id >= 100")))
+    merged = describe.sketched_profile(describe.merge_profiles(parts))
+    assert facts(merged) == facts(exact)
+    got = {r.column_name: r for r in exact.collect()}
+    assert got["meta.name"].examples == ["v0", "v1", "v2"] and got["meta.name"].distinct_values == 7 and got["meta.name"].nulls == 80
+    assert got["nothing"].examples == [] and got["same"].examples == ["2.5"]
+    assert describe.column_profile(df.limit(0)).count() == 0
+
+
+def test_presets_of_sources(spark):
+    raw = spark.createDataFrame([("1", "2", None, "x", 0), ("2", "22", "6", "0.5", 0)], "tou_id string, start_hour string, end_hour string, rate_kwh string, more int")
+    assert [tuple(r) for r in tables.tariff_source(raw).orderBy("tou_id").collect()] == [(1, 2, None, None), (2, 22, 6, 0.5)]
+    space = spark.createDataFrame([(1, "n", 0, None, "x")], "space_id int, space_name string, parent_space_id int, building_room string, more string")
+    assert tables.space_source(space).columns == ["space_id", "space_name", "parent_space_id", "building_room"]

@@ -18,3 +18,20 @@ def test_stream_equals_batch(spark, tmp_path, at):
         for r in dashboard.hvac_zone_stats(batch, start=moment, end=moment.replace(second=59, minute=moment.minute + 14)).collect():
             expected[(moment, r.space_id)] = (r.avg_temp, r.comfort_exceedance_pct, r.samples)
     assert got == expected
+
+
+def test_live_occupancy_equals_batch(spark, tmp_path, at):
+    rows = [(at(i), "z" if i % 4 else "y", float(i % 9) if i % 11 else None) for i in range(180)]
+    batch = spark.createDataFrame(rows, "timestamp timestamp_ntz, zone_id string, occupancy_count double")
+    batch.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(batch.schema).parquet(f"{tmp_path}/in")
+    writer = live.live_occupancy(stream).writeStream.outputMode("complete").format("memory").queryName("live_occupancy")
+    run = writer.option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    got = {(r.timestamp, r.zone_id): (r.avg_occ, r.peak_occ, r.samples) for r in spark.table("live_occupancy").collect()}
+    expected = {}
+    for moment, zone in {(at(i // 15 * 15), "z" if i % 4 else "y") for i in range(180)}:
+        own = [v for t, z, v in rows if z == zone and 0 <= (t - moment).total_seconds() < 900]
+        known = [v for v in own if v is not None]
+        expected[moment, zone] = (sum(known) / len(known), max(known), len(own))
+    assert got == expected
