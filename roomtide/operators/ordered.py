@@ -274,7 +274,7 @@ def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str =
         return durable(dealt.withColumn(name, F.spark_partition_id()))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * SLICES_PER_TASK
     probs = [i / n for i in range(1, n)]
-    found = df.agg(F.percentile_approx(line, probs, max(10 * n, 10_000)).alias("q")).first()["q"] or []
+    found = df.agg(F.percentile_approx(line, probs, max(8 * n, 1000)).alias("q")).first()["q"] or []
     borders = sorted({b for b in found if abs(b) != float("inf")})
     cut = Bucketizer(splits=[float("-inf"), *borders, float("inf")], inputCol="_line", outputCol=name)
     if not borders:
