@@ -50,6 +50,11 @@ def named(name: str) -> Column:
     return F.col(f"`{name.replace('`', '``')}`")
 
 
+def plainly_named(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named by position: what runs over whole rows must not mind dots in their names."""
+    return df.toDF(*[f"c{i}" for i, _ in enumerate(df.columns)])
+
+
 def n_space_words(text: Column) -> Column:
     """Number of white-space separated words; null counts as none."""
     parts = F.split(F.coalesce(text, F.lit("")), SPACE_GAP)

@@ -2,8 +2,9 @@
 
 The windows of the benchmark are a small table. It is cut into parts of at most
 ``part_rows`` (window, item) rows; each part is broadcast as a hash index and
-scanned against all documents, and the scans of the parts are chained in one
-pass. So a broadcast never exceeds its bound, however large the benchmark is.
+scanned against all documents. Between two parts the documents and their hits so
+far are written, so neither the driver nor a task holds more than one part,
+however large the benchmark is.
 A document window whose hash is in the index is a hit only if its words are
 equal to the benchmark's words.
 
@@ -23,7 +24,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from roomtide.llm.common import ALNUM_GAPS, LOWER, Hasher, Words, blocks, fresh, portable, text_bytes
+from roomtide.llm.common import ALNUM_GAPS, LOWER, Hasher, Words, blocks, fresh, named, plainly_named, portable, text_bytes
+from roomtide.session import durable
 
 portable(__name__)
 
@@ -172,24 +174,26 @@ def scan_documents(
     spark = docs.sparkSession
     grams = benchmark_windows(benchmark, item_id, item_text, window)
     parts = max(-(-grams.count() // part_rows), 1)
+    if parts > 1:
+        grams = durable(grams)
     part = F.pmod(F.xxhash64("item", "gram"), F.lit(parts))
-    added = {name: fresh(docs, name) for name in ("n_words", "spans", "items", "clean_text")}
-    if not cleaned:
-        added["clean_text"] = ""
-    df = docs.select(
-        "*", F.lit(0).cast("bigint").alias(added["n_words"]), F.array().cast("array<bigint>").alias(added["spans"]),
-        F.array().cast("array<string>").alias(added["items"]), *([F.lit("").alias(added["clean_text"])] if cleaned else []),
-    )
-    kinds = {
-        added["n_words"]: LongType(), added["spans"]: ArrayType(LongType()), added["items"]: ArrayType(StringType()),
-        **({added["clean_text"]: StringType()} if cleaned else {}),
-    }
+    found = ["n_words", "spans", "items", *(["clean_text"] if cleaned else [])]
+    added = {name: fresh(docs, name) for name in found}
+    empty = {"n_words": F.lit(0).cast("bigint"), "clean_text": F.lit("")}
+    empty |= {"spans": F.array().cast("array<bigint>"), "items": F.array().cast("array<string>")}
+    df = plainly_named(docs).select("*", *[empty[name].alias(name) for name in found])
+    text_at = f"c{docs.columns.index(text_col)}"
+    kinds = {"n_words": LongType(), "spans": ArrayType(LongType()), "items": ArrayType(StringType()), "clean_text": StringType()}
     schema = StructType([StructField(f.name, kinds.get(f.name, f.dataType), True) for f in df.schema.fields])
     for k in range(parts):
         rows = [(r.item, r.length, bytes(r.gram)) for r in grams.where(part == k).collect()]
         index = spark.sparkContext.broadcast(gram_index(rows))
-        df = df.mapInArrow(scan_part(index, text_col, tuple(added.values()), k == parts - 1), schema)
-    return df, added
+        names = ("n_words", "spans", "items", "clean_text" if cleaned else "")
+        df = df.mapInArrow(scan_part(index, text_at, names, k == parts - 1), schema)
+        if k < parts - 1:  # what was found is written, so that no two parts are held at once
+            df = durable(df)
+            index.destroy()
+    return df.toDF(*docs.columns, *added.values()), added
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "drop", **options) -> DataFrame:
@@ -203,8 +207,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "drop", *
     text_col = options.get("text_col", "text")
     df, added = scan_documents(docs, benchmark, cleaned=action == "remove", **options)
     if action == "drop":
-        return df.where(F.size(added["spans"]) == 0).select(docs.columns)
-    return df.select(*[F.col(added["clean_text"]).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+        return df.where(F.size(added["spans"]) == 0).select(*[named(c) for c in docs.columns])
+    return df.select(*[F.col(added["clean_text"]).alias(c) if c == text_col else named(c) for c in docs.columns])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -48,7 +48,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from roomtide.llm.common import LOWER, SPACE_GAPS, Hasher, Words, blocks, fresh, mixed, portable, text_bytes
+from roomtide.llm.common import LOWER, SPACE_GAPS, Hasher, Words, blocks, fresh, mixed, named, plainly_named, portable, text_bytes
 from roomtide.session import durable
 
 portable(__name__)
@@ -479,18 +479,19 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         F.first("id").alias("_kept_id"), F.count(F.lit(1)).alias("_times")
     ))
     repeated = not chosen.where("_times > 1").isEmpty()
-    node, columns, schema = fresh(docs, "node"), docs.columns, docs.withColumn(fresh(docs, "node"), F.lit(0).cast("bigint")).schema
-    schema[node].nullable = True
+    node, columns = fresh(docs, "node"), docs.columns
+    plain, text_at = plainly_named(docs), f"c{columns.index(text_col)}"
+    schema = plain.select("*", F.lit(None).cast("bigint").alias("node")).schema
 
     def mark(batches):
         hasher = Hasher()
-        for batch in blocks(batches, text_col):
-            grams, bounds = shingle_sets(batch.column(batch.schema.get_field_index(text_col)), hasher, shingle)
+        for batch in blocks(batches, text_at):
+            grams, bounds = shingle_sets(batch.column(batch.schema.get_field_index(text_at)), hasher, shingle)
             f = NodeFacts(grams, bounds, threshold)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(f.node, mask=f.n == 0)], names=[*batch.schema.names, node])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(f.node, mask=f.n == 0)], names=[*batch.schema.names, "node"])
 
-    marked = docs.mapInArrow(mark, schema)
-    rows = marked.select(F.struct(*columns).alias("_doc"), F.col(node).alias("node"), F.col(id_col).alias("_id"))
+    marked = plain.mapInArrow(mark, schema).toDF(*columns, node)
+    rows = marked.select(F.struct(*[named(c) for c in columns]).alias("_doc"), F.col(node).alias("node"), named(id_col).alias("_id"))
     staying = rows.join(chosen, "node").where(F.col("_id").eqNullSafe(F.col("_kept_id")))
     if repeated:
         staying = staying.dropDuplicates(["node"])

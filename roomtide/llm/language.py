@@ -4,8 +4,8 @@ A text is the bag of its byte n-grams (one to four bytes, letters only, with
 word borders), each hashed to a row of an embedding table. The mean of the rows
 goes through a linear softmax. Table and softmax are learned by stochastic
 gradient descent in numpy on at most ``per_language`` different labelled texts of
-each of at most ``max_languages`` languages, taken by the hash of the text;
-that bound is the only sampling here. A tenth of them is held back to fit the
+each language and at most ``sample_bytes`` in all, taken by the hash of the text;
+that bound is the only sampling here, and no language is left out. A tenth of them is held back to fit the
 softmax temperature and the confidence below which a text is rejected.
 
 Because mean and softmax input are linear, prediction needs only the product of
@@ -24,12 +24,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from roomtide.llm.common import LOWER, blocks, byte_set, fresh, portable, text_bytes
+from roomtide.llm.common import LOWER, blocks, byte_set, fresh, named, plainly_named, portable, text_bytes
+from roomtide.session import durable
 
 portable(__name__)
 
 UNKNOWN = "und"
-PER_LANGUAGE, MAX_LANGUAGES = 400, 200
+PER_LANGUAGE, SAMPLE_BYTES = 400, 256 << 20
 BUCKETS, DIMENSION, EPOCHS, RATE = 1 << 15, 16, 6, 0.5
 LENGTHS = (1, 2, 3, 4)
 ASCII_LETTER = byte_set((0x61, 0x7A))
@@ -135,8 +136,12 @@ class LanguageModel:
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", *, per_language: int = PER_LANGUAGE,
-        max_languages: int = MAX_LANGUAGES, keep: float = 0.999) -> LanguageModel:
-    """Learn from a bounded sample of the rows that have a text and a language."""
+        sample_bytes: int = SAMPLE_BYTES, keep: float = 0.999) -> LanguageModel:
+    """Learn every language from a bounded sample of the rows that have a text and a language.
+
+    A language gives at most ``per_language`` different texts, and no more than
+    its share of ``sample_bytes``, but one text at least.
+    """
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     marked = rows.select(
         F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text")
@@ -146,18 +151,20 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", *,
     ).where(F.col("_n") <= per_language)
     # copies have one mark, and the bound counts different texts; the first of each of 64 parts of a language,
     # then of the language: a hot language is no single large task
-    texts = marked.select("lang", "mark").distinct()
-    parted = first(texts.withColumn("_part", F.pmod("mark", F.lit(64))), ["lang", "_part"])
-    marks = first(parted, ["lang"]).groupBy("lang").agg(F.max("mark").alias("last"))
-    limits = marks.orderBy("lang").limit(max_languages).collect()
-    if not limits:
+    texts = marked.select("lang", "mark", F.octet_length("text").cast("bigint").alias("_size")).distinct()
+    parted = durable(first(texts.withColumn("_part", F.pmod("mark", F.lit(64))), ["lang", "_part"]))
+    share = sample_bytes // max(parted.select("lang").distinct().count(), 1)
+    so_far = Window.partitionBy("lang").orderBy("mark").rowsBetween(Window.unboundedPreceding, 0)
+    within = first(parted, ["lang"]).withColumn("_bytes", F.sum("_size").over(so_far))
+    marks = within.where((F.col("_bytes") <= share) | (F.col("_n") == 1)).groupBy("lang").agg(F.max("mark").alias("last"))
+    # one row per language, as many as the model has classes
+    chosen = marked.join(F.broadcast(marks), "lang").where(F.col("mark") <= F.col("last")).drop("last")
+    sample = chosen.dropDuplicates(["lang", "mark"]).orderBy("mark", "lang").toArrow()
+    languages = sorted(set(sample.column("lang").to_pylist()))
+    if not languages:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0)
-    chosen = F.lit(False)
-    for row in limits:
-        chosen = chosen | ((F.col("lang") == row["lang"]) & (F.col("mark") <= row["last"]))
-    sample = marked.where(chosen).dropDuplicates(["lang", "mark"]).orderBy("mark", "lang").toArrow()
-    languages = sorted(r["lang"] for r in limits)
-    labels = np.array([languages.index(x) for x in sample.column("lang").to_pylist()])
+    number = {lang: i for i, lang in enumerate(languages)}
+    labels = np.array([number[x] for x in sample.column("lang").to_pylist()])
     data = bags(sample.column("text").combine_chunks(), BUCKETS)
     held = np.arange(len(data)) % 10 == 9
     scores, bias = train([data[i] for i in np.flatnonzero(~held)], labels[~held], len(languages))
@@ -197,10 +204,12 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str, names: tuple[s
         np.vstack([model.scores, np.zeros((1, len(languages)))]).astype(np.float32)
     )
 
+    plain, text_at = plainly_named(docs), f"c{docs.columns.index(text_col)}"
+
     def guess(batches):
         scores = shared.value
-        for batch in blocks(batches, text_col):
-            buf, offsets = text_bytes(batch.column(batch.schema.get_field_index(text_col)))
+        for batch in blocks(batches, text_at):
+            buf, offsets = text_bytes(batch.column(batch.schema.get_field_index(text_at)))
             known = has_letter(buf, offsets) if len(languages) else np.zeros(batch.num_rows, dtype=bool)
             best, score = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows)
             if known.any():
@@ -210,13 +219,13 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str, names: tuple[s
             lang = [languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist())]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(known & (score >= bound))],
-                names=[*batch.schema.names, *names],
+                names=[*batch.schema.names, "lang", "score", "accepted"],
             )
 
-    schema = docs.withColumns({names[0]: F.lit("x"), names[1]: F.lit(0.0), names[2]: F.lit(True)}).schema
+    schema = plain.select("*", F.lit("x").alias("lang"), F.lit(0.0).alias("score"), F.lit(True).alias("accepted")).schema
     for field in schema.fields:
         field.nullable = True
-    return docs.mapInArrow(guess, schema)
+    return plain.mapInArrow(guess, schema).toDF(*docs.columns, *names)
 
 
 def held_out(doc_id: str) -> Column:
@@ -236,4 +245,4 @@ def keep_recognised(docs: DataFrame, text_col: str = "text", lang_col: str = "la
     """The documents whose predicted language is accepted, with their columns."""
     model = fit(docs.where(~held_out(id_col)), text_col, lang_col)
     names = tuple(fresh(docs, name) for name in ("lang_pred", "score", "accepted"))
-    return predict(docs, model, text_col, names).where(F.col(names[2])).select(docs.columns)
+    return predict(docs, model, text_col, names).where(F.col(names[2])).select(*[named(c) for c in docs.columns])

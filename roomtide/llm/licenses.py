@@ -86,23 +86,40 @@ def template_runs(spark: SparkSession) -> DataFrame:
     return runs.unionByName(marker)
 
 
+def first_hashes(spark: SparkSession) -> list[int]:
+    """Hashes of the first two words of all template runs; as many as the templates have words."""
+    return sorted({row["h2"] for row in template_runs(spark).where("k > 0").select("h2").distinct().collect()})
+
+
 def votes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Votes by document row, template and diagonal; template -1 is the row's marker."""
+    """Votes by document row, template and diagonal; template -1 is the row's marker.
+
+    Places whose first two words begin no template run are left out before a
+    row is made of them, and a row carries the words of its own run only, so
+    work and memory grow in proportion to the text.
+    """
+    spark = docs.sparkSession
     words = docs.select(
         F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), word_list(F.col(text_col)).alias("_w")
     )
-    at = lambda i: F.struct(
-        i.alias("at"), run_hash(F.col("_w"), i, PHRASE_GRAM).alias("h2"), run_hash(F.col("_w"), i, GRAM).alias("h5")
+    places = F.transform("_w", lambda _, i: F.struct(i.alias("at"), run_hash(F.col("_w"), i, PHRASE_GRAM).alias("h2")))
+    places = F.filter(places, lambda p: p.getField("h2").isin(first_hashes(spark)))
+    run = lambda p: F.struct(
+        p.getField("at").alias("at"), p.getField("h2").alias("h2"), run_hash(F.col("_w"), p.getField("at"), GRAM).alias("h5"),
+        F.slice("_w", p.getField("at") + 1, GRAM).alias("run"),
+    )
+    marker = F.struct(
+        F.lit(-1).alias("at"), F.lit(-1).cast("bigint").alias("h2"), F.lit(-1).cast("bigint").alias("h5"),
+        F.array().cast("array<string>").alias("run"),
     )
-    marker = F.struct(F.lit(-1).alias("at"), F.lit(-1).cast("bigint").alias("h2"), F.lit(-1).cast("bigint").alias("h5"))
-    runs = F.concat(F.array(marker), F.transform("_w", lambda _, i: at(i)))
-    exploded = words.select("_row", "_id", "_w", F.explode(runs).alias("_r")).select(
-        "_row", "_id", F.size("_w").cast("bigint").alias("_n"), "_w", "_r.at", F.col("_r.h2").alias("_h2"), F.col("_r.h5").alias("_h5")
+    runs = F.concat(F.array(marker), F.transform(places, run))
+    exploded = words.select("_row", "_id", F.size("_w").cast("bigint").alias("_n"), F.explode(runs).alias("_r")).select(
+        "_row", "_id", "_n", "_r.at", F.col("_r.h2").alias("_h2"), F.col("_r.h5").alias("_h5"), F.col("_r.run").alias("_run")
     )
-    table = F.broadcast(template_runs(docs.sparkSession))
+    table = F.broadcast(template_runs(spark))
     same = (F.col("_h2") == F.col("h2")) & ((F.col("k") != GRAM) | (F.col("_h5") == F.col("h5")))
     equal = (F.col("at") < 0) == (F.col("k") == 0)
-    checked = F.when(F.col("k") == 0, F.lit(True)).otherwise(F.slice("_w", F.greatest(F.col("at"), F.lit(0)) + 1, F.col("k")) == F.col("run"))
+    checked = (F.col("k") == 0) | (F.slice("_run", 1, F.greatest("k", F.lit(1))) == F.col("run"))
     hits = exploded.join(table, same).where(equal & checked)
     return hits.groupBy("_row", "_id", "_n", "template", "label", "k", "runs", (F.col("at") - F.col("offset")).alias("diagonal")).agg(
         F.count(F.lit(1)).alias("votes"), F.min("at").alias("first"), F.max("at").alias("last")

@@ -25,7 +25,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from roomtide.llm.common import fresh, n_space_words, prefix_sums
+from roomtide.llm.common import fresh, n_space_words, named, prefix_sums
 from roomtide.operators.ordered import match, number_rows
 from roomtide.session import durable
 
@@ -70,7 +70,7 @@ def mix(
     """
     kept = list(docs.columns if keep is None else keep)
     sized = docs.select(
-        F.struct(*kept).alias("_doc"), F.col(source_col).cast("string").alias("_source"), n_space_words(F.col(text_col)).alias("_size"),
+        F.struct(*[named(c) for c in kept]).alias("_doc"), F.col(source_col).cast("string").alias("_source"), n_space_words(F.col(text_col)).alias("_size"),
         F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("_mark"),
     )
     narrow = text_col not in kept
@@ -106,7 +106,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document repeated as often as it is drawn, with the columns of ``docs``."""
     df, names = mix(docs, **options)
     copies = F.col(names["copies"]).cast("int")
-    return df.where(copies > 0).withColumn(names["size"], F.explode(F.array_repeat(F.lit(1), copies))).select(docs.columns)
+    return df.where(copies > 0).withColumn(names["size"], F.explode(F.array_repeat(F.lit(1), copies))).select(*[named(c) for c in docs.columns])
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
