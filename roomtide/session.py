@@ -56,7 +56,17 @@ def durable(df: DataFrame) -> DataFrame:
     """
     path = fresh_path(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_at = path
+    return table
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Remove tables that ``durable`` wrote, once their successors are written; anything else is left alone."""
+    for table in tables:
+        path = getattr(table, "written_at", None)
+        if path is not None:
+            remove(table.sparkSession, path)
 
 
 def fresh_path(spark: SparkSession) -> str:
