@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from roomtide.llm import decontaminate, jaccard, language, mixing, sharding
-from roomtide.session import shared_folder, tune
+from roomtide.session import fresh_path, remove, scratch, tune
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +50,19 @@ ORACLE_SQL = None  # a trained classifier comes first, which SQL cannot express;
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is a table in the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages over ``documents``; each result is a table in the shared folder.
+
+    What a stage writes on its way is removed when its result is written, and a
+    result when its successor is. The last table stays, or goes with the
+    caller's ``scratch`` block.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        folder = fresh_path(spark)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before is not None:
+            remove(spark, before)
+        before = folder
     return docs
