@@ -19,14 +19,15 @@ Documents with the same shingle set are one node; nodes x and y link when
    thousands of near copies shrink to a few components without comparing all
    pairs. Nothing is dropped here.
 3. T-occurrence search for what the bands left: only lists that still touch two
-   components count. A node is the query for larger nodes (ties by node). Of its
-   lists the longest, at most T - 1, are set aside (DivideSkip); the others are
-   merged with a heap, and a node found often enough is a candidate. In a list
-   that is mostly one component, members of that component see only the rest of
-   the list. Lists are cut into pieces by the hash of the node, so a query never
-   holds an unbounded list.
-4. Candidates, each node's best first, are verified on the whole sets: every shingle list not merged is
-   probed by binary search in the other node's sorted shingles.
+   components count. Nodes meet at the first shingle, in an order of the lists
+   by length, that they can share if they link; the nodes that meet there bring
+   all their shingles, so the search of a bundle has exact lists at hand. A node is the
+   query for larger nodes. Of its lists the longest, at most T - 1, are set
+   aside (DivideSkip); the short ones are merged with a heap, nodes found often enough
+   are looked up in the long ones by binary search, and then the overlap is exact.
+   Where many entries or nodes are left, the lists are counted by place
+   instead, which gives the same numbers. Bundles put out links, one per node
+   and component, and no candidates. Large bundles are cut into pieces.
 
 Components come from label propagation with pointer jumping over the verified
 links. No links, components or fingerprints reach the driver, only counts.
@@ -42,14 +43,15 @@ from __future__ import annotations
 
 import heapq
 from collections import OrderedDict
-from itertools import groupby
+from collections.abc import Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from roomtide.llm.common import LOWER, SPACE_GAPS, Hasher, Words, blocks, fresh, mixed, named, plainly_named, portable, text_bytes
-from roomtide.session import durable
+from roomtide.session import durable, forget
 
 portable(__name__)
 
@@ -57,10 +59,11 @@ SHINGLE, THRESHOLD = 4, 85
 LEVELS = (0.2, 0.3, 0.5, 1.0)  # first lists, of all nodes
 DENSER = ((0.5, 1.0), (1.0,))  # second and third lists, of the nodes that stay
 ROUNDS = ((2, 2, 1, 1), (1, 1, 1, 1))  # shingles in the keys of each round's bands
-BEST_FIRST = (4, 16)  # candidates of each node that are verified before the rest of them
 SLICE = 256  # nodes of a band that are sorted together
 KNOWN_BYTES = 64 << 20  # shingle sets that a verifying task keeps
-LONG_LIST, PIECE = 32, 1024
+BUNDLE = 256  # nodes of a bundle that make a piece
+LONG_LIST, PROBED = 32, 8  # lists above are set aside; so many nodes are looked up in them one by one
+HEAP_ENTRIES = 256  # entries that a heap merges
 
 
 # --- shingle sets -----------------------------------------------------------
@@ -155,7 +158,8 @@ def pruned(rows: DataFrame, nodes: DataFrame) -> DataFrame:
             .where(F.col("_shared") >= F.col("to_stay")).select("node")
         )
         kept = rows.join(stay, "node")
-        rows = durable(kept.join(shared_shingles(kept), "shingle"))
+        before, rows = rows, durable(kept.join(shared_shingles(kept), "shingle"))
+        forget(before)
     return rows
 
 
@@ -276,6 +280,7 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of a link: its smallest reachable node."""
     edges = durable(links.select("x", "y").union(links.select(F.col("y"), F.col("x"))).distinct())
     labels = durable(edges.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("_y")).select("node", F.least("node", "_y").alias("component")))
+    written = labels
     while True:
         offered = (
             edges.join(labels.select(F.col("node").alias("x"), "component"), "x")
@@ -287,8 +292,10 @@ def components(links: DataFrame) -> DataFrame:
             "node", F.least("_new", "_next").alias("component"), F.col("component").alias("_old")
         )
         jumped = durable(jumped)
-        labels = jumped.select("node", "component")
+        forget(written, lower)
+        written, labels = jumped, jumped.select("node", "component")
         if jumped.where("component <> _old").isEmpty():
+            forget(edges)
             return labels
 
 
@@ -352,59 +359,173 @@ def band_pairs(bands: DataFrame, nodes: DataFrame, labels: DataFrame | None, num
     return pairs.where(feasible(threshold)).select("x", "y").distinct()
 
 
+# --- the search -------------------------------------------------------------
+
+class Bundle:
+    """The nodes that met at one shingle, smallest first, with their lists, in one task.
+
+    ``own`` holds the shingles of all nodes, each node's in the common order
+    (short lists first). ``after`` gives for a posting the rest of its list:
+    the larger nodes.
+    """
+
+    def __init__(self, at: int, nodes, components, n, piece, sets: list[np.ndarray], threshold: int):
+        order = np.lexsort((nodes, n))
+        self.nodes, self.n, self.piece, self.threshold = nodes[order], n[order], piece[order], threshold
+        self.root = np.unique(components[order], return_inverse=True)[1]
+        sets = [sets[i] for i in order]
+        lengths = np.array([len(x) for x in sets])
+        flat, self.bounds = np.concatenate(sets), np.concatenate([[0], np.cumsum(lengths)])
+        who = np.repeat(np.arange(len(sets)), lengths)
+        self.own = np.unique(flat, return_inverse=True)[1]
+        by_list = np.argsort(self.own, kind="stable")
+        self.entries = who[by_list]
+        self.begin = np.empty(len(flat), dtype=np.int64)
+        self.begin[by_list] = np.arange(len(flat)) + 1
+        self.end = np.cumsum(np.bincount(self.own))[self.own]
+        # what a node has before the shingle of the bundle: who shares one of these has met it before
+        met = np.flatnonzero(flat == at)
+        early = np.arange(len(flat)) < met[who]
+        self.early = early
+        kept = by_list[early[by_list]]
+        self.early_entries = who[kept]
+        self.early_end = np.cumsum(np.bincount(self.own[kept], minlength=self.own.max() + 1))[self.own]
+        self.early_begin = np.zeros(len(flat), dtype=np.int64)
+        self.early_begin[kept] = np.arange(len(kept)) + 1
+
+    @staticmethod
+    def joined(entries: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The given parts of ``entries``, one after the other."""
+        lengths = end - begin
+        total = int(lengths.sum())
+        return entries[np.repeat(begin - np.cumsum(lengths) + lengths, lengths) + np.arange(total)]
+
+    def times(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """How many of the lists hold each node: a heap merges few entries, many are counted by place."""
+        if (end - begin).sum() > HEAP_ENTRIES:
+            return np.bincount(self.joined(self.entries, begin, end), minlength=len(self.nodes))
+        found = np.zeros(len(self.nodes), dtype=np.int64)
+        for node, run in groupby(heapq.merge(*(self.entries[a:b].tolist() for a, b in zip(begin, end)))):
+            found[node] = sum(1 for _ in run)
+        return found
+
+    def probe(self, found: np.ndarray, wanted: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        """Add the long lists: each is probed for the nodes that are left, or counted where these are many."""
+        if len(wanted) > PROBED:
+            found += np.bincount(self.joined(self.entries, begin, end), minlength=len(self.nodes))
+            return
+        for a, b in zip(begin, end):
+            at = np.searchsorted(self.entries[a:b], wanted)
+            here = at < b - a
+            found[wanted[here]] += self.entries[a:b][at[here]] == wanted[here]
+
+    def links(self, crossing: bool) -> Iterator[tuple[int, int]]:
+        """One link per node and component of larger nodes; with ``crossing`` only between the two pieces."""
+        n, t = self.n, self.threshold
+        for x in range(len(self.nodes) - 1):
+            open_ = np.zeros(len(self.nodes), dtype=bool)
+            open_[x + 1:np.searchsorted(n, 100 * n[x] // t, side="right")] = True
+            open_ &= self.root != self.root[x]
+            if crossing:
+                open_ &= self.piece != self.piece[x]
+            need = -(-2 * t * int(n[x]) // (100 + t))
+            own = slice(self.bounds[x], self.bounds[x + 1])
+            begin, end = self.begin[own], self.end[own]
+            lists = np.flatnonzero(end > begin)
+            if len(lists) < need or not open_.any():
+                continue
+            before = self.early[own]
+            open_[self.joined(self.early_entries, self.early_begin[own][before], self.early_end[own][before])] = False
+            if not open_.any():
+                continue
+            lists = lists[np.argsort(end[lists] - begin[lists], kind="stable")]
+            long = min(need - 1, int((end[lists] - begin[lists] > LONG_LIST).sum()))
+            short, long = lists[:len(lists) - long], lists[len(lists) - long:]
+            found = self.times(begin[short], end[short])
+            wanted = np.flatnonzero(open_ & (found >= need - len(long)))
+            if not len(wanted):
+                continue
+            self.probe(found, wanted, begin[long], end[long])
+            wanted = wanted[100 * found[wanted] >= t * (n[x] + n[wanted] - found[wanted])]
+            for y in wanted.tolist():
+                if self.root[y] != self.root[x]:
+                    self.root[self.root == self.root[y]] = self.root[x]
+                    yield int(self.nodes[x]), int(self.nodes[y])
+
+
 def divide_skip(rows: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
-    """(x, y, times): candidates of the T-occurrence search, and how often the merged lists hold y; x is the smaller node."""
-    by_component = rows.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("_k"))
-    lists = by_component.groupBy("shingle").agg(
-        F.max_by("component", F.struct("_k", "component")).alias("_major"), F.sum("_k").alias("_all"), F.max("_k").alias("_most")
-    )
-    facts = nodes.select("node", "n", "posted", "at_least", "most")
-    seen = F.when(F.col("component") == F.col("_major"), F.col("_all") - F.col("_most")).otherwise(F.col("_all"))
-    placed = durable(rows.join(lists, "shingle").select(
-        "shingle", "node", "component", (F.col("component") == F.col("_major")).alias("_in_major"), seen.alias("_length")
-    ))
-    longest = Window.partitionBy("node").orderBy(F.col("_length").desc(), "shingle")
-    # a query asks for larger nodes, so it must share T with others at all
-    asking = placed.join(facts.where(F.col("most") - F.col("n") + F.col("posted") >= F.col("at_least")), "node")
-    divided = asking.withColumn("_rank", F.row_number().over(longest)).withColumn(
-        "_skip", (F.col("_length") > LONG_LIST) & (F.col("_rank") < F.col("at_least"))
-    )
-    divided = divided.withColumn("_need", F.col("at_least") - F.sum(F.col("_skip").cast("bigint")).over(Window.partitionBy("node")))
-    asked = durable(divided.where(~F.col("_skip")).select("shingle", F.col("node").alias("x"), "_in_major", "_need", "_length"))
-    most = asked.agg(F.max("_length")).first()[0]
-    pieces = -(-most // PIECE) if most else 1
-    piece = F.pmod(F.xxhash64("node"), F.lit(pieces)).alias("_piece")
-    wanted = asked.groupBy("shingle").agg(F.max(~F.col("_in_major")).alias("_whole"))
-    entries = placed.join(wanted, "shingle").where(F.col("_whole") | ~F.col("_in_major"))
-    minor = F.when(~F.col("_in_major"), F.col("node"))
-    arrays = entries.groupBy("shingle", piece).agg(
-        F.sort_array(F.collect_list(minor)).alias("_minor"), F.sort_array(F.collect_list("node")).alias("_list")
+    """(x, y): links between components, at least one for each two that a link joins directly. Written out.
+
+    Two nodes of ``n`` and ``m`` shingles that link share ``threshold / 100`` of
+    the larger one's. In an order of all shingles, short lists first, the first
+    shingle that they share thus stands among the first ``s - need + 1`` of the
+    ``s`` shared ones of each. All nodes that have it there meet in one bundle,
+    which brings their shingles once, and the T-occurrence search runs inside.
+    A pair that meets in several bundles is looked at in the first. Bundles of
+    one component are dropped, and so are later ones of the same members; a
+    large one is cut into pieces, and each two of them meet. What is put out are
+    links, never candidates. ``rows`` is used up.
+    """
+    need = F.ceil(F.col("n") * threshold / 100).cast("int")
+    for _ in range(2):  # a node that goes shortens the lists, and so others go
+        shared = rows.groupBy("node").agg(F.count(F.lit(1)).alias("_shared")).join(nodes.select("node", "n"), "node")
+        staying = rows.join(shared.where(F.col("_shared") >= need).select("node"), "node")
+        before, rows = rows, durable(open_lists(staying.select("shingle", "node", "component")))
+        forget(before)
+    lists = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("_length"))
+    sets = rows.join(lists, "shingle").groupBy("node", "component").agg(
+        F.array_sort(F.collect_list(F.struct("_length", "shingle"))).alias("_own")
+    ).join(nodes.select("node", "n"), "node").where(F.size("_own") >= need)
+    sets = durable(sets.select("node", "component", "n", F.transform("_own", lambda x: x.getField("shingle")).alias("own")))
+    # the smaller of two nodes shares a larger part of its shingles, so it must have met the other earlier in its order
+    of_smaller = F.size("own") - F.ceil(F.col("n") * (2 * threshold) / (100 + threshold)) + 1
+    places = sets.select(
+        "node", "component", of_smaller.alias("_smaller"), F.posexplode(F.slice("own", F.lit(1), F.size("own") - need + 1)).alias("_at", "shingle")
     )
-    queries = asked.join(arrays, "shingle").select(
-        "x", "_piece", "_need", F.when(F.col("_in_major"), F.col("_minor")).otherwise(F.col("_list")).alias("_list")
-    ).where(F.size("_list") > 0)
-    grouped = queries.groupBy("x", "_piece", "_need").agg(F.collect_list("_list").alias("_lists"))
-
-    def merge(batches):
-        for batch in batches:
-            x, y, times = [], [], []
-            for query, need, sorted_lists in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
-                for node, run in groupby(heapq.merge(*sorted_lists)):
-                    count = sum(1 for _ in run)
-                    if node != query and count >= need:
-                        x.append(query)
-                        y.append(node)
-                        times.append(count)
-            yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in (("x", x), ("y", y), ("times", times))})
-
-    found = grouped.mapInArrow(merge, "x bigint, y bigint, times bigint")
-    of = rows.select("node", "component").distinct().join(facts, "node")
-    side = lambda s: of.select(
-        F.col("node").alias(s), F.col("component").alias(f"_c{s}"), F.col("n").alias(f"_n{s}"), F.col("most").alias(f"_m{s}")
+    # bundles of the same members hold the same pairs, which are looked at in the first of them
+    bundles = places.groupBy("shingle").agg(
+        F.count(F.lit(1)).alias("_rows"), F.min("component").alias("_a"), F.max("component").alias("_b"),
+        F.max(F.col("_at") < F.col("_smaller")).alias("_asked"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("_members"),
+    ).where("_a <> _b AND _asked").join(lists, "shingle")
+    bundles = bundles.groupBy("_members", "_rows").agg(F.min(F.struct("_length", "shingle")).alias("_first")).select(
+        "_first.shingle", F.ceil(F.col("_rows") / BUNDLE).cast("int").alias("_pieces")
     )
-    sized = found.join(side("x"), "x").join(side("y"), "y")
-    larger = (F.col("_ny") > F.col("_nx")) | ((F.col("_ny") == F.col("_nx")) & (F.col("y") > F.col("x")))
-    return sized.where((F.col("_cx") != F.col("_cy")) & larger & feasible(threshold)).select("x", "y", "times")
+    met = places.select("shingle", "node").join(bundles, "shingle").withColumn("piece", F.pmod(F.xxhash64("node"), F.col("_pieces")).cast("int"))
+    met = met.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1)))
+    met = met.select("node", "shingle", F.least("piece", "_other").alias("i"), F.greatest("piece", "_other").alias("j"), "piece")
+    work = met.join(sets.select("node", "component", "n", "own"), "node").select("shingle", "i", "j", "node", "component", "n", "piece", "own")
+
+    def search(batches):
+        def of(parts):
+            table = pa.Table.from_batches(parts)
+            at, i, j = (table.column(c)[0].as_py() for c in range(3))
+            nodes, components, n, piece = (table.column(c).to_numpy() for c in range(3, 7))
+            sets = [x.values.to_numpy(zero_copy_only=False) for x in table.column(7)]
+            yield from Bundle(at, nodes, components, n, piece, sets, threshold).links(i != j)
+
+        held, key = [], None
+        for batch in chain(batches, [None]):
+            found = []
+            if batch is None:
+                if held:
+                    found = list(of(held))
+            elif batch.num_rows:
+                keys = np.stack([batch.column(c).to_numpy() for c in range(3)])
+                starts = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
+                for a, b in zip(starts, np.append(starts[1:], batch.num_rows)):
+                    own = tuple(keys[:, a].tolist())
+                    if held and own != key:
+                        found += of(held)
+                        held = []
+                    held.append(batch.slice(a, b - a))
+                    key = own
+            x, y = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["x", "y"])
+
+    dealt = work.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
+    found = durable(dealt.mapInArrow(search, "x bigint, y bigint").distinct())
+    forget(sets, rows)
+    return found
 
 
 # --- the join ---------------------------------------------------------------
@@ -417,7 +538,9 @@ def node_components(docs: DataFrame, nodes: DataFrame, text_col: str, k: int, th
         return None
     texts = node_texts(docs, rows, text_col, k, threshold)
     for levels in DENSER:
+        before = rows, distinct
         rows, distinct = dense_postings(texts.join(rows.select("node").distinct(), "node"), k, threshold, levels)
+        forget(*before)
     if rows.isEmpty():
         return None
     shared = rows.groupBy("node").agg(F.count(F.lit(1)).alias("_shared"))
@@ -434,16 +557,12 @@ def node_components(docs: DataFrame, nodes: DataFrame, text_col: str, k: int, th
     bands = band_keys(rows) if ROUNDS else None
     for number in range(len(ROUNDS)):
         add(band_pairs(bands, distinct, labels, number, threshold))
-    left = durable(divide_skip(durable(open_lists(labelled(rows, labels))), distinct, threshold))
-    for first in (*BEST_FIRST, None):  # a node that has found its group needs no further candidates in it
-        for side in ("x", "y"):
-            left = labelled(left.withColumnRenamed(side, "node"), labels).withColumnsRenamed({"node": side, "component": f"_c{side}"})
-        left = left.where("_cx <> _cy").drop("_cx", "_cy")
-        best = Window.partitionBy("x").orderBy(F.col("times").desc(), "y")
-        ranked = durable(left.withColumn("_rank", F.row_number().over(best)))
-        taken = ranked if first is None else ranked.where(F.col("_rank") <= first)
-        add(taken)
-        left = ranked.where(F.col("_rank") > (first or 0)).drop("_rank")
+    forget(bands, texts)
+    remaining = durable(open_lists(labelled(rows, labels)))
+    forget(rows)
+    found = divide_skip(remaining, distinct, threshold)
+    if not found.isEmpty():
+        labels = components(found if links is None else links.union(found))
     return labels
 
 
