@@ -113,7 +113,7 @@ def test_jaccard_search_without_bands(spark, monkeypatch):
     """Chains and rings of near copies that only the T-occurrence search can link, with long and cut lists."""
     monkeypatch.setattr(jaccard, "ROUNDS", ())
     monkeypatch.setattr(jaccard, "LONG_LIST", 2)
-    monkeypatch.setattr(jaccard, "PIECE", 2)
+    monkeypatch.setattr(jaccard, "BUNDLE", 2)
     rows = []
     for g in range(4):
         words = sentence(20 + g, 150).split()
