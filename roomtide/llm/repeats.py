@@ -22,7 +22,9 @@ to groups in which all their matches must lie:
    separate suffixes that agree in ``length`` bytes or more, a match.
 4. An anchor with more than ``HOT`` kinds of segments (a very common line in ever
    different surroundings) is not collected: the hashes of its windows are
-   counted with ordinary aggregation instead, by window, and joined back.
+   counted with ordinary aggregation instead. Only windows counted once are told
+   to their segments, whose other windows are matches; so a window that stands in
+   thousands of segments is one row after the partial sums, and none comes back.
 5. The matches of each text are merged into removed runs.
 
 Equal texts have one key (64 bits) and are cut alike. Anchors, segments and hot
@@ -40,7 +42,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from roomtide.llm.common import Hasher, blocks, mixed, portable, text_bytes
+from roomtide.llm.common import BLOCK_BYTES, Hasher, blocks, mixed, portable, text_bytes
 from roomtide.session import durable
 
 portable(__name__)
@@ -138,7 +140,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         key = (key << np.uint64(10)) | padded[i:n + i]
     step = 6
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         sorted_key = key[order]
         new = np.ones(n, dtype=bool)
         new[1:] = sorted_key[1:] != sorted_key[:-1]
@@ -164,8 +166,9 @@ def short_prefixes(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarr
     """
     n = len(text)
     before = text[order - 1]  # the text ends with a separator of its own, so it is a cycle
-    image = np.empty(n, dtype=np.int64)
-    image[np.argsort(before, kind="stable")] = np.arange(n)
+    rank = np.empty(n, dtype=np.int64)
+    rank[order] = np.arange(n)
+    image = rank[order - 1]
     border = np.zeros(n + 1, dtype=bool)
     border[[0, n]] = True
     left, right = np.array([0]), np.array([n])
@@ -218,21 +221,31 @@ def repeated_starts(parts: list[bytes], length: int) -> list[np.ndarray]:
 
 # --- matches ----------------------------------------------------------------
 
-def cut_segments(kinds: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """(anchor, kind, bytes) of one segment of each kind."""
+def cut_segments(kinds: DataFrame, docs: DataFrame, text_col: str, length: int) -> DataFrame:
+    """(anchor, kind, hot, bytes) of one segment of each kind. A text comes once, with all places at which it is cut."""
     def cut(batches):
-        for batch in batches:
-            anchor, kind, place, key, size, packed = (c.to_pylist() for c in batch.columns)
-            out, known, text = [], None, b""
-            for i in range(batch.num_rows):
-                if key[i] != known:
-                    known, text = key[i], pa.decompress(packed[i], decompressed_size=size[i], codec="zstd", asbytes=True)
-                p, a, b = place[i] >> 20, (place[i] >> 10) & 1023, place[i] & 1023
-                out.append(text[p - a:p - b + length])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["anchor", "kind", "bytes"])
-
-    both = kinds.join(texts, "key").select("anchor", "kind", "place", "key", "size", "packed")
-    return both.mapInArrow(cut, "anchor bigint, kind bigint, bytes binary")
+        for batch in blocks(batches, "packed"):
+            places = batch.column(2)
+            owner = np.repeat(np.arange(batch.num_rows), np.asarray(pa.compute.list_value_length(places)))
+            anchor, kind, place, hot = places.flatten().flatten()
+            place = np.asarray(place)
+            begin = (place >> 20) - ((place >> 10) & 1023)
+            end = (place >> 20) - (place & 1023) + length
+            sizes, packed = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            out, known, text = [], -1, b""
+            for d, first, last in zip(owner.tolist(), begin.tolist(), end.tolist()):
+                if d != known:
+                    known, text = d, pa.decompress(packed[d], decompressed_size=sizes[d], codec="zstd", asbytes=True)
+                out.append(text[first:last])
+            yield pa.RecordBatch.from_arrays([anchor, kind, hot, pa.array(out, pa.binary())], names=["anchor", "kind", "hot", "bytes"])
+
+    places = kinds.groupBy("key").agg(F.collect_list(F.struct("anchor", "kind", "place", "hot")).alias("places"))
+    texts = keyed_texts(docs, text_col, None).join(kinds.select("key").distinct(), "key", "left_semi").groupBy("key").agg(
+        F.first("size").alias("size"), F.first("packed").alias("packed")
+    )
+    return texts.join(places, "key").select("size", "packed", "places").mapInArrow(
+        cut, "anchor bigint, kind bigint, hot boolean, bytes binary"
+    )
 
 
 def group_matches(cut: DataFrame, length: int, group_bytes: int) -> DataFrame:
@@ -260,25 +273,34 @@ def group_matches(cut: DataFrame, length: int, group_bytes: int) -> DataFrame:
 
 
 def hot_matches(cut: DataFrame, length: int) -> DataFrame:
-    """The same ranges for hot anchors: every window's hash is counted, with partial sums before the shuffle."""
+    """The same ranges for hot anchors: between the windows whose hash is counted once, all windows of a segment are repeated."""
     def windows(batches):
         hasher = Hasher()
-        for batch in batches:
-            for first in range(0, batch.num_rows, 2000):
-                piece = batch.slice(first, 2000)
-                buf, offsets = text_bytes(piece.column(2).cast(pa.large_binary()).view(pa.large_string()))
-                doc = np.repeat(np.arange(piece.num_rows), np.diff(offsets))
-                at = np.flatnonzero(np.arange(length, len(buf) + length) <= offsets[1:][doc])
-                hashes = hasher.ranges(hasher.prefix(buf), at, at + length).view(np.int64)
-                row = pa.array(doc[at])
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column(0).take(row), piece.column(1).take(row), pa.array(at - offsets[:-1][doc[at]]), pa.array(hashes)],
-                    names=["anchor", "kind", "start", "hash"],
-                )
-
-    rows = durable(cut.mapInArrow(windows, "anchor bigint, kind bigint, start bigint, hash bigint"))
-    twice = rows.groupBy("anchor", "hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    return rows.join(twice, ["anchor", "hash"]).select("anchor", "kind", F.col("start").alias("first"), F.col("start").alias("last"))
+        for batch in blocks(batches, "bytes", BLOCK_BYTES >> 1):
+            buf, offsets = text_bytes(batch.column(2).cast(pa.large_binary()).view(pa.large_string()))
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            at = np.flatnonzero(np.arange(length, len(buf) + length) <= offsets[1:][doc])
+            hashes = hasher.ranges(hasher.prefix(buf), at, at + length).view(np.int64)
+            row = pa.array(doc[at])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(row), batch.column(1).take(row), pa.array(at - offsets[:-1][doc[at]]), pa.array(hashes)],
+                names=["anchor", "kind", "start", "hash"],
+            )
+
+    rows = cut.select("anchor", "kind", "bytes").mapInArrow(windows, "anchor bigint, kind bigint, start bigint, hash bigint")
+    once = rows.groupBy("anchor", "hash").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("kind").alias("kind"), F.min("start").alias("start")
+    ).where("_n = 1")
+    borders = once.groupBy("anchor", "kind").agg(F.collect_list("start").alias("_once"))
+    after = (F.octet_length("bytes") - length + 1).cast("bigint")
+    segment = cut.select("anchor", "kind", after.alias("_after")).join(borders, ["anchor", "kind"], "left")
+    none, before = F.lit([]).cast("array<bigint>"), F.array(F.lit(-1).cast("bigint"))
+    edges = segment.select("anchor", "kind", F.array_sort(F.concat(before, F.coalesce("_once", none), F.array("_after"))).alias("_e"))
+    pairs = F.zip_with(
+        F.expr("slice(_e, 1, size(_e) - 1)"), F.expr("slice(_e, 2, size(_e) - 1)"),
+        lambda x, y: F.struct((x + 1).alias("first"), (y - 1).alias("last")),
+    )
+    return edges.select("anchor", "kind", F.inline(F.filter(pairs, lambda r: r["first"] <= r["last"])))
 
 
 def covered(docs: DataFrame, text_col: str = "text", length: int = LENGTH, group_bytes: int = GROUP_BYTES, hot: int = HOT) -> DataFrame:
@@ -295,16 +317,10 @@ def covered(docs: DataFrame, text_col: str = "text", length: int = LENGTH, group
         F.count(F.lit(1)).alias("times"), F.min(F.struct("key", "place")).alias("_at")
     ).select("anchor", "kind", "times", "_at.key", "_at.place"))
     wanted = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("_kinds"), F.min("times").alias("_least")).where("_least = 1")
-    to_cut = kinds.join(wanted, "anchor").select("anchor", "kind", "key", "place", (F.col("_kinds") > hot).alias("_hot"))
-    cold = to_cut.where(~F.col("_hot")).drop("_hot")
-    texts = keyed_texts(docs, text_col, None).join(to_cut.select("key").distinct(), "key").groupBy("key").agg(
-        F.first("size").alias("size"), F.first("packed").alias("packed")
-    )
-    texts = durable(texts)
-    found = group_matches(durable(cut_segments(cold, texts, length)), length, group_bytes)
-    warm = durable(to_cut.where("_hot").drop("_hot"))
-    if not warm.isEmpty():
-        found = found.unionByName(hot_matches(cut_segments(warm, texts, length), length))
+    to_cut = kinds.join(wanted, "anchor").select("anchor", "kind", "key", "place", (F.col("_kinds") > hot).alias("hot"))
+    cut = durable(cut_segments(to_cut, docs, text_col, length))
+    found = group_matches(cut.where(~F.col("hot")).drop("hot"), length, group_bytes)
+    found = found.unionByName(hot_matches(cut.where("hot"), length))
     single = kinds.where("times = 1").join(found, ["anchor", "kind"]).select(
         "key", (begin + F.col("first")).alias("first"), (begin + F.col("last") + length).alias("end")
     )
@@ -319,7 +335,7 @@ def strip_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     )
 
     def strip(batches):
-        for batch in batches:
+        for batch in blocks(batches, "packed"):
             ids, sizes, packed, found = batch.column(0), *(batch.column(i).to_pylist() for i in (1, 2, 3))
             removed, flat, kept = [], [], []
             for size, data, pairs in zip(sizes, packed, found):
