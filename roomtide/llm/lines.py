@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from roomtide.llm.common import SPACE_GAPS, Hasher, Words, blocks, mixed, portable, text_bytes
 from roomtide.llm.repeats import keyed_texts, text_keys
 from roomtide.operators.ordered import match
-from roomtide.session import durable
+from roomtide.session import durable, forget
 
 portable(__name__)
 
@@ -87,14 +87,14 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, run: int, words: i
 
 def later_lines(docs: DataFrame, id_col: str, text_col: str, run: int, words: int) -> DataFrame:
     """(id, key, found): first lines and lengths of the windows of each text that stand at an earlier place, too."""
-    marks = fingerprints(docs, id_col, text_col, run, words)
-    shared = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("_rows"), F.max(F.size("starts")).alias("_most"))
-    shared = shared.where("_rows > 1").select("mark")
+    marks = durable(fingerprints(docs, id_col, text_col, run, words))
+    shared = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select("mark")
     places = durable(
         marks.join(shared, "mark")
         .select("id", "key", "length", F.inline(F.arrays_zip(F.col("starts").alias("start"), F.col("windows").alias("window"))))
         .toDF("id", "key", "length", "start", "window").distinct()
     )
+    forget(marks)
     order = F.struct(F.col("id").isNull().alias("last"), "id", "key", "start")
     first = places.groupBy("window").agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     later = places.join(first.select("window", "_first"), "window").where(order != F.col("_first"))
@@ -109,7 +109,7 @@ def dedup_lines(
     found = match(texts, later_lines(docs, id_col, text_col, run, words), ["id", "key"], "left")
 
     def strip(batches):
-        for batch in batches:
+        for batch in blocks(batches, "packed"):
             out = []
             for size, packed, places in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
                 text = pa.decompress(packed, decompressed_size=size, codec="zstd", asbytes=True) if size else b""
