@@ -1,9 +1,11 @@
-"""Line dedup against brute force."""
+"""Line dedup, and suffix-array dedup of long texts, against brute force."""
 
 import random
 from collections import Counter
 
-from roomtide.llm import lines
+import pytest
+
+from roomtide.llm import lines, repeats
 
 
 def brute(rows, run):
@@ -42,3 +44,24 @@ def test_long_passages_go_on_fewer_lines(spark):
     assert got == {
         1: (0, long), 2: (1, ""), 3: (0, whole[3]), 4: (2, ""), 5: (0, whole[5]), 6: (1, "q\nx"), 7: (0, whole[7]), 8: (0, whole[8])
     }
+
+
+@pytest.mark.parametrize("hot", [0, 1024])
+def test_long_text_is_cut_at_all_its_places(spark, hot):
+    """A long text shares passages with short ones, at differing surroundings; brute force over all windows."""
+    draw = random.Random(5)
+    letters = lambda n: "".join(draw.choices("abcdefgh \n", k=n))
+    passages = [letters(260) for _ in range(4)]
+    long = "".join(letters(9000) + passages[i % 4][i % 7:] for i in range(16))
+    texts = [long, *(letters(150) + p + letters(150) for p in passages), letters(400)]
+    seen = Counter(t[i:i + 200] for t in texts for i in range(len(t) - 199))
+    expected = {}
+    for d, t in enumerate(texts):
+        gone = bytearray(len(t))
+        for i in range(len(t) - 199):
+            if seen[t[i:i + 200]] > 1:
+                gone[i:i + 200] = b"\x01" * 200
+        expected[d] = "".join(c for c, g in zip(t, gone) if not g).encode()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r["id"]: bytes(r["kept"]) for r in repeats.strip_repeats(docs, hot=hot).collect()} == expected
+    assert expected[1] != texts[1].encode() and expected[5] == texts[5].encode()
