@@ -46,16 +46,32 @@ def local_session(
     return tune(spark)
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A runtime setting that holds inside this block."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the cluster's shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a re-read, not a re-run. Unlike
     an RDD checkpoint the table is columnar and has statistics, so later passes
     read only the columns they need and the optimizer knows its size. Inside
-    ``scratch`` the table is removed at the end of the block.
+    ``scratch`` the table is removed at the end of the block. What the write
+    shuffled goes when it is written: no later job reads it.
     """
     path = fresh_path(df.sparkSession)
-    df.write.parquet(path)
+    with setting(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.written_at = path
     return table

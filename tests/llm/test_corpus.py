@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from roomtide.llm import decontaminate, jaccard, language, licenses, mixing, quality, repeats, sharding
+from roomtide.session import durable
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_words bigint, _size string"
 ALNUM, SPACE = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), re.compile(r"[^\x20\x09-\x0D]+")
@@ -126,6 +128,24 @@ def test_jaccard_search_without_bands(spark, monkeypatch):
     assert bag(jaccard.jaccard_components(table), "doc_id", "n_shingles", "component_id") == brute_components(rows)
 
 
+def test_written_tables_leave_no_shuffle_files(spark):
+    place = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = {b.name() for b in seq(place.getAllBlocks())}, spark.conf.get(key)
+    table = durable(spark.range(5000).groupBy((F.col("id") % 100).alias("k")).count())
+    left = set()
+    for _ in range(50):  # files go in the background
+        left = {b.name() for b in seq(place.getAllBlocks()) if b.name().startswith("shuffle_")} - before[0]
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and table.count() == 100 and spark.conf.get(key) == before[1]
+
+
+def seq(blocks):
+    return [blocks.apply(i) for i in range(blocks.size())]
+
+
 def test_keep_one_of_each_group(docs, rows):
     kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns
