@@ -48,7 +48,8 @@ from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from roomtide.llm.common import LOWER, SPACE_GAPS, Hasher, Words, blocks, fresh, mixed, named, plainly_named, portable, text_bytes
 from roomtide.session import durable, forget
@@ -59,6 +60,9 @@ SHINGLE, THRESHOLD = 4, 85
 LEVELS = (0.2, 0.3, 0.5, 1.0)  # first lists, of all nodes
 DENSER = ((0.5, 1.0), (1.0,))  # second and third lists, of the nodes that stay
 ROUNDS = ((2, 2, 1, 1), (1, 1, 1, 1))  # shingles in the keys of each round's bands
+FACTS = ("n", "posted", "at_least", "to_stay")
+FACT_TYPES = ", ".join(f"{c} bigint" for c in FACTS) + ", own array<bigint>"
+SLICED, MARKED = 1000, 1 << 18  # nodes whose postings are unfolded together, postings that a task looks through together
 SLICE = 256  # nodes of a band that are sorted together
 KNOWN_BYTES = 64 << 20  # shingle sets that a verifying task keeps
 BUNDLE = 256  # nodes of a bundle that make a piece
@@ -114,41 +118,110 @@ class NodeFacts:
                 self.to_stay[here] = sure[here]
             open_ &= ~here
 
+    def columns(self, grams: np.ndarray) -> list[pa.Array]:
+        """The FACTS of all texts, and what each posts: hashes are sorted, so those below the level come first."""
+        kept = np.arange(len(grams)) - np.repeat(np.cumsum(self.n) - self.n, self.n) < np.repeat(self.posted, self.n)
+        offsets = np.concatenate([[0], np.cumsum(self.posted)]).astype(np.int32)
+        own = pa.ListArray.from_arrays(pa.array(offsets), pa.array(grams[kept].view(np.int64)))
+        return [*map(pa.array, (self.n, self.posted, self.at_least, self.to_stay)), own]
 
-def node_table(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: int) -> DataFrame:
-    """(id, node, n, posted, at_least, to_stay) of every document; node is null without shingles."""
-    def facts(batches):
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: int) -> DataFrame:
+    """(id, node, text_key, facts, own) of every document; node is null without shingles. Written out.
+
+    The one pass that hashes all texts: ``own`` holds the shingles that the node
+    posts below LEVELS, ``text_key`` tells later passes which texts they need.
+    """
+    def sketch(batches):
         hasher = Hasher()
         for batch in blocks(batches, "_text"):
             grams, bounds = shingle_sets(batch.column(1), hasher, k)
             f = NodeFacts(grams, bounds, threshold)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(f.node, mask=f.n == 0), *map(pa.array, (f.n, f.posted, f.at_least, f.to_stay))],
-                names=["id", "node", "n", "posted", "at_least", "to_stay"],
+                [batch.column(0), batch.column(2), pa.array(f.node, mask=f.n == 0), *f.columns(grams)],
+                names=["id", "text_key", "node", *FACTS, "own"],
             )
 
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    kind = dict(rows.dtypes)["_id"]
-    return rows.mapInArrow(facts, f"id {kind}, node bigint, n bigint, posted bigint, at_least bigint, to_stay bigint")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), text_key(F.col(text_col)))
+    return durable(rows.mapInArrow(sketch, f"id {dict(rows.dtypes)['_id']}, text_key bigint, node bigint, {FACT_TYPES}"))
+
+
+def text_key(text: Column) -> Column:
+    return F.xxhash64(text).alias("text_key")
 
 
-def postings(docs: DataFrame, text_col: str, k: int, threshold: int) -> DataFrame:
-    """(shingle, node): what each document posts."""
+# --- inverted lists ---------------------------------------------------------
+
+def posted(table: DataFrame) -> DataFrame:
+    """(shingle, node): what each node of ``table`` posts."""
     def post(batches):
-        hasher = Hasher()
-        for batch in blocks(batches, "_text"):
-            grams, bounds = shingle_sets(batch.column(0), hasher, k)
-            f = NodeFacts(grams, bounds, threshold)
-            rank = np.arange(len(grams)) - np.repeat(bounds[:-1], f.n)
-            kept = rank < np.repeat(f.posted, f.n)  # hashes are sorted, so those below the level come first
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(grams[kept].view(np.int64)), pa.array(np.repeat(f.node, f.posted))], names=["shingle", "node"]
-            )
+        for batch in batches:
+            for first in range(0, batch.num_rows, SLICED):
+                some = batch.slice(first, SLICED)
+                times = np.asarray(pa.compute.list_value_length(some.column(1)))
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(1).flatten(), pa.array(np.repeat(some.column(0).to_numpy(), times))], names=["shingle", "node"]
+                )
 
-    return docs.select(F.col(text_col).alias("_text")).mapInArrow(post, "shingle bigint, node bigint")
+    return shared(table.where("node IS NOT NULL").select("node", "own"), post)
 
 
-# --- inverted lists ---------------------------------------------------------
+def shared(rows: DataFrame, post=None) -> DataFrame:
+    """The (shingle, node) of shingles that two nodes have; a row that comes twice may do so again.
+
+    Rows of a shingle meet in one task, so a shingle that is found twice in a
+    block of rows sends only its first and last node there. What stands between
+    is shared for sure and is dealt by node.
+    """
+    def mark(batches):
+        held, size = [], 0
+        for batch in chain(batches if post is None else post(batches), [None]):
+            if batch is not None and batch.num_rows:
+                held.append([batch.column(c).to_numpy() for c in range(2)])
+                size += batch.num_rows
+            if held and (batch is None or size >= MARKED):
+                shingle, node = map(np.concatenate, zip(*held))
+                order = np.lexsort((node, shingle))
+                shingle, node = shingle[order], node[order]
+                new = np.append(True, (shingle[1:] != shingle[:-1]) | (node[1:] != node[:-1]))
+                shingle, node = shingle[new], node[new]
+                same = shingle[1:] == shingle[:-1]
+                sure = np.append(False, same) & np.append(same, False)
+                held, size = [], 0
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, (shingle, node, sure))), names=["shingle", "node", "sure"])
+
+    def meet(batches):
+        def parts(columns):
+            """What two nodes share among complete groups."""
+            shingle, node, sure = columns
+            order = np.lexsort((node, shingle, sure))
+            shingle, node, sure = shingle[order], node[order], sure[order]
+            same = (shingle[1:] == shingle[:-1]) & (sure[1:] == sure[:-1])
+            new = np.append(True, ~same | (node[1:] != node[:-1]))
+            shingle, node, sure = shingle[new], node[new], sure[new]
+            same = (shingle[1:] == shingle[:-1]) & (sure[1:] == sure[:-1])
+            kept = sure | np.append(False, same) | np.append(same, False)
+            return pa.RecordBatch.from_arrays([pa.array(shingle[kept]), pa.array(node[kept])], names=["shingle", "node"])
+
+        held = None  # the last group waits for the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if held is not None:
+                now = [np.concatenate(c) for c in zip(held, now)]
+            key = np.where(now[2], now[1], now[0])
+            last = int(np.searchsorted(key, key[-1]))
+            held = [c[last:] for c in now]
+            if last:
+                yield parts([c[:last] for c in now])
+        if held is not None:
+            yield parts(held)
+
+    marked = (rows if post is not None else rows.select("shingle", "node")).mapInArrow(mark, "shingle bigint, node bigint, sure boolean")
+    key = F.when(F.col("sure"), F.col("node")).otherwise(F.col("shingle"))
+    return marked.repartition(key).sortWithinPartitions(key).mapInArrow(meet, "shingle bigint, node bigint")
+
 
 def pruned(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """``rows`` of lists with two nodes, of nodes that share enough for a link. Written out."""
@@ -157,21 +230,14 @@ def pruned(rows: DataFrame, nodes: DataFrame) -> DataFrame:
             rows.groupBy("node").agg(F.count(F.lit(1)).alias("_shared")).join(nodes, "node")
             .where(F.col("_shared") >= F.col("to_stay")).select("node")
         )
-        kept = rows.join(stay, "node")
-        before, rows = rows, durable(kept.join(shared_shingles(kept), "shingle"))
+        before, rows = rows, durable(shared(rows.join(stay, "node")))
         forget(before)
     return rows
 
 
-def shared_shingles(rows: DataFrame) -> DataFrame:
-    ends = rows.groupBy("shingle").agg(F.min("node").alias("_a"), F.max("node").alias("_b"))
-    return ends.where("_a <> _b").select("shingle")
-
-
-def shared_postings(docs: DataFrame, nodes: DataFrame, text_col: str, k: int, threshold: int) -> DataFrame:
+def shared_postings(sketched: DataFrame, nodes: DataFrame) -> DataFrame:
     """First lists: what all documents post below LEVELS, pruned."""
-    all_rows = postings(docs, text_col, k, threshold)
-    return pruned(durable(all_rows.join(shared_shingles(all_rows), "shingle").distinct()), nodes)
+    return pruned(durable(posted(sketched).distinct()), nodes)
 
 
 def dense_postings(texts: DataFrame, k: int, threshold: int, levels: tuple[float, ...]) -> tuple[DataFrame, DataFrame]:
@@ -180,22 +246,7 @@ def dense_postings(texts: DataFrame, k: int, threshold: int, levels: tuple[float
     With more shingles a pair must share a larger part of them, so this drops
     most nodes that only share a passage.
     """
-    def facts(batches):
-        for _, f in unpacked(batches):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(f.node), *map(pa.array, (f.n, f.posted, f.at_least, f.to_stay))],
-                names=["node", "n", "posted", "at_least", "to_stay"],
-            )
-
-    def post(batches):
-        for grams, f in unpacked(batches):
-            rank = np.arange(len(grams)) - np.repeat(np.cumsum(f.n) - f.n, f.n)
-            kept = rank < np.repeat(f.posted, f.n)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(grams[kept].view(np.int64)), pa.array(np.repeat(f.node, f.posted))], names=["shingle", "node"]
-            )
-
-    def unpacked(batches):
+    def sketch(batches):
         hasher = Hasher()
         for batch in batches:
             for first in range(0, batch.num_rows, 100):
@@ -205,15 +256,17 @@ def dense_postings(texts: DataFrame, k: int, threshold: int, levels: tuple[float
                     for n, p in zip(some.column(1).to_pylist(), some.column(2).to_pylist())
                 ]
                 grams, bounds = shingle_sets(pa.array([r.decode("utf-8") for r in raw], pa.string()), hasher, k)
-                yield grams, NodeFacts(grams, bounds, threshold, levels)
+                f = NodeFacts(grams, bounds, threshold, levels)
+                yield pa.RecordBatch.from_arrays([pa.array(f.node), *f.columns(grams)], names=["node", *FACTS, "own"])
 
-    packed = texts.select("node", "size", "packed")
-    nodes = durable(packed.mapInArrow(facts, "node bigint, n bigint, posted bigint, at_least bigint, to_stay bigint"))
-    all_rows = packed.mapInArrow(post, "shingle bigint, node bigint")
-    return pruned(durable(all_rows.join(shared_shingles(all_rows), "shingle")), nodes), nodes
+    table = durable(texts.select("node", "size", "packed").mapInArrow(sketch, f"node bigint, {FACT_TYPES}"))
+    nodes = durable(table.drop("own"))
+    rows = durable(posted(table))
+    forget(table)
+    return pruned(rows, nodes), nodes
 
 
-def node_texts(docs: DataFrame, rows: DataFrame, text_col: str, k: int, threshold: int) -> DataFrame:
+def node_texts(docs: DataFrame, nodes: DataFrame, rows: DataFrame, text_col: str, k: int, threshold: int) -> DataFrame:
     """(node, size, packed): one compressed text for each node of ``rows``. Written out."""
     def pack(batches):
         hasher = Hasher()
@@ -228,9 +281,12 @@ def node_texts(docs: DataFrame, rows: DataFrame, text_col: str, k: int, threshol
                 names=["node", "size", "packed"],
             )
 
-    packed = docs.select(F.col(text_col).alias("_text")).mapInArrow(pack, "node bigint, size bigint, packed binary")
-    wanted = rows.select("node").distinct()
-    return durable(packed.join(wanted, "node").groupBy("node").agg(F.first("size").alias("size"), F.first("packed").alias("packed")))
+    # texts with the same set differ in case or white space; one of them is enough
+    wanted = nodes.join(rows.select("node").distinct(), "node").groupBy("node").agg(F.min("text_key").alias("text_key"))
+    texts = docs.select(F.col(text_col).alias("_text"), text_key(F.col(text_col))).where("_text IS NOT NULL")
+    texts = texts.join(wanted.select("text_key").distinct(), "text_key").select("_text")
+    packed = texts.mapInArrow(pack, "node bigint, size bigint, packed binary")
+    return durable(packed.groupBy("node").agg(F.first("size").alias("size"), F.first("packed").alias("packed")))
 
 
 # --- verification -----------------------------------------------------------
@@ -321,15 +377,30 @@ def band_keys(rows: DataFrame) -> DataFrame:
 
     Nodes that agree in a key are likely to be similar, the more so the more shingles the key is made of.
     """
+    def keys(batches):
+        most = np.iinfo(np.int64).max
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch.column(1).flatten().to_numpy()
+            times = np.asarray(pa.compute.list_value_length(batch.column(1)))
+            starts, no = np.cumsum(times) - times, 0
+            for number, sizes in enumerate(ROUNDS):
+                for size in sizes:
+                    mask = (no * 0x9E3779B97F4A7C1) & ((1 << 60) - 1)
+                    turned, band = own ^ np.int64(mask), np.full(batch.num_rows, no, np.uint64)
+                    for _ in range(size):
+                        least = np.minimum.reduceat(turned, starts)
+                        band = mixed(band + mixed(least.view(np.uint64)))
+                        turned = np.where(turned == np.repeat(least, times), most, turned)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(batch.num_rows, number, np.int32)), pa.array(np.full(batch.num_rows, mask)), pa.array(band.view(np.int64)), batch.column(0)],
+                        names=["round", "mask", "band", "node"],
+                    )
+                    no += 1
+
     own = rows.groupBy("node").agg(F.collect_list("shingle").alias("_own"))
-    bands, no = [], 0
-    for number, sizes in enumerate(ROUNDS):
-        for size in sizes:
-            mask = F.lit((no * 0x9E3779B97F4A7C1) & ((1 << 60) - 1)).cast("bigint")
-            least = F.slice(F.array_sort(F.transform("_own", lambda x, mask=mask: x.bitwiseXOR(mask))), 1, size)
-            bands.append(F.struct(F.lit(number).alias("round"), mask.alias("mask"), F.xxhash64(F.lit(no), least).alias("band")))
-            no += 1
-    return durable(own.select("node", F.inline(F.array(*bands))))
+    return durable(own.mapInArrow(keys, "round int, mask bigint, band bigint, node bigint"))
 
 
 def feasible(threshold: int):
@@ -474,9 +545,21 @@ def divide_skip(rows: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
         forget(before)
     lists = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("_length"))
     sets = rows.join(lists, "shingle").groupBy("node", "component").agg(
-        F.array_sort(F.collect_list(F.struct("_length", "shingle"))).alias("_own")
+        F.collect_list(F.struct("_length", "shingle")).alias("_own")
     ).join(nodes.select("node", "n"), "node").where(F.size("_own") >= need)
-    sets = durable(sets.select("node", "component", "n", F.transform("_own", lambda x: x.getField("shingle")).alias("own")))
+
+    def ordered(batches):
+        for batch in batches:
+            lengths, own = (c.to_numpy() for c in batch.column(3).flatten().flatten())
+            times = np.asarray(pa.compute.list_value_length(batch.column(3)), dtype=np.int64)
+            order = np.lexsort((own, lengths, np.repeat(np.arange(len(times)), times)))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(times)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.ListArray.from_arrays(offsets, pa.array(own[order]))], names=["node", "component", "n", "own"]
+            )
+
+    sets = sets.select("node", "component", "n", "_own")
+    sets = durable(sets.mapInArrow(ordered, "node bigint, component bigint, n bigint, own array<bigint>"))
     # the smaller of two nodes shares a larger part of its shingles, so it must have met the other earlier in its order
     of_smaller = F.size("own") - F.ceil(F.col("n") * (2 * threshold) / (100 + threshold)) + 1
     places = sets.select(
@@ -530,13 +613,14 @@ def divide_skip(rows: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
 
 # --- the join ---------------------------------------------------------------
 
-def node_components(docs: DataFrame, nodes: DataFrame, text_col: str, k: int, threshold: int) -> DataFrame | None:
-    """(node, component) of the nodes with links; None if there are none."""
-    distinct = durable(nodes.where("node IS NOT NULL").dropDuplicates(["node"]).drop("id"))
-    rows = shared_postings(docs, distinct, text_col, k, threshold)
+def node_components(docs: DataFrame, sketched: DataFrame, nodes: DataFrame, text_col: str, k: int, threshold: int) -> DataFrame | None:
+    """(node, component) of the nodes with links; None if there are none. ``sketched`` is used up."""
+    distinct = durable(nodes.where("node IS NOT NULL").dropDuplicates(["node"]).select("node", *FACTS))
+    rows = shared_postings(sketched, distinct)
+    forget(sketched)
     if rows.isEmpty():
         return None
-    texts = node_texts(docs, rows, text_col, k, threshold)
+    texts = node_texts(docs, nodes, rows, text_col, k, threshold)
     for levels in DENSER:
         before = rows, distinct
         rows, distinct = dense_postings(texts.join(rows.select("node").distinct(), "node"), k, threshold, levels)
@@ -570,8 +654,9 @@ def linked_components(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD
 ) -> DataFrame:
     """(id, n_shingles, component, component_id) of every document; component is null without shingles."""
-    nodes = durable(node_table(docs, id_col, text_col, shingle, threshold))
-    members = durable(labelled(nodes.select("id", "n", "node"), node_components(docs, nodes, text_col, shingle, threshold)))
+    sketched = sketches(docs, id_col, text_col, shingle, threshold)
+    nodes = durable(sketched.drop("own"))
+    members = durable(labelled(nodes.select("id", "n", "node"), node_components(docs, sketched, nodes, text_col, shingle, threshold)))
     smallest = members.where("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("_first"))
     out = members.join(smallest, "component", "left")
     return out.select(

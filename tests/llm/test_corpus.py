@@ -128,6 +128,32 @@ def test_jaccard_search_without_bands(spark, monkeypatch):
     assert bag(jaccard.jaccard_components(table), "doc_id", "n_shingles", "component_id") == brute_components(rows)
 
 
+def test_shared_rows_meet_across_blocks(spark, monkeypatch):
+    """Shingles of one node go, however often it posts them; of a common shingle each block sends two nodes to its task."""
+    monkeypatch.setattr(jaccard, "MARKED", 50)
+    pairs = [(1, n) for n in range(400)] + [(n, n) for n in range(2, 300)] * 2 + [(s, n) for s in range(500, 520) for n in (s, -s)]
+    rows = spark.createDataFrame(pairs, "shingle bigint, node bigint").repartition(4)
+    found = jaccard.shared(rows)
+    assert {tuple(r) for r in found.collect()} == {(s, n) for s, n in pairs if s == 1 or s >= 500}
+
+
+def test_texts_are_hashed_once(spark, monkeypatch):
+    """One pass hashes all texts; those that follow read the texts that may link."""
+    rows = [(i, sentence(200 + i, 40)) for i in range(200)] + [(1000, sentence(200, 40))]
+    rows += [(2000 + i, f"{sentence(500, 60)} end{i}") for i in range(3)]
+    hashed, sets = spark.sparkContext.accumulator(0), jaccard.shingle_sets
+
+    def counted(texts, hasher, k):
+        hashed.add(len(texts))
+        return sets(texts, hasher, k)
+
+    monkeypatch.setattr(jaccard, "shingle_sets", counted)
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(table).collect()}
+    assert got == {i: {1000: 0, 2001: 2000, 2002: 2000}.get(i, i) for i, _ in rows}
+    assert len(rows) <= hashed.value < 2 * len(rows)
+
+
 def test_written_tables_leave_no_shuffle_files(spark):
     place = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
