@@ -29,8 +29,9 @@ Documents with the same shingle set are one node; nodes x and y link when
    instead, which gives the same numbers. Bundles put out links, one per node
    and component, and no candidates. Large bundles are cut into pieces.
 
-Components come from label propagation with pointer jumping over the verified
-links. No links, components or fingerprints reach the driver, only counts.
+Components go over to their smallest neighbour, round by round, and verified
+links within one drop out; each search goes on from the components of those
+before it. No links, components or fingerprints reach the driver, only counts.
 
 Defined cases: null, empty and word-less texts have no shingles and link with
 nothing; a text shorter than a shingle has one shingle, its whole sequence of
@@ -332,27 +333,43 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFr
 
 # --- components -------------------------------------------------------------
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, component) of every node of a link: its smallest reachable node."""
-    edges = durable(links.select("x", "y").union(links.select(F.col("y"), F.col("x"))).distinct())
-    labels = durable(edges.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("_y")).select("node", F.least("node", "_y").alias("component")))
-    written = labels
-    while True:
-        offered = (
-            edges.join(labels.select(F.col("node").alias("x"), "component"), "x")
-            .groupBy(F.col("y").alias("node")).agg(F.min("component").alias("_offer"))
-        )
-        lower = labels.join(offered, "node").select("node", F.least("component", "_offer").alias("_new"), "component")
-        lower = durable(lower)
-        jumped = lower.join(lower.select(F.col("node").alias("_new"), F.col("_new").alias("_next")), "_new").select(
-            "node", F.least("_new", "_next").alias("component"), F.col("component").alias("_old")
-        )
-        jumped = durable(jumped)
-        forget(written, lower)
-        written, labels = jumped, jumped.select("node", "component")
-        if jumped.where("component <> _old").isEmpty():
-            forget(edges)
-            return labels
+def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """(node, component) of the nodes that ``links`` and the components of ``labels`` join to a smaller one; written out.
+
+    The component is the smallest reachable node; a node without row is its own.
+    In each round every component with a smaller neighbour goes over to the
+    smallest, and on to where that one ends up; links within one component then drop
+    out, so later rounds work on what is still to be joined. ``labels`` stay as they are.
+    """
+    def moved(rows: DataFrame, column: str, moves: DataFrame | None) -> DataFrame:
+        """``rows`` with the nodes of ``column`` replaced by where ``moves`` (node, component) puts them."""
+        if moves is None:
+            return rows
+        to = moves.select(F.col("node").alias("_at"), F.col("component").alias("_to"))
+        return rows.join(to, F.col(column) == F.col("_at"), "left").withColumn(column, F.coalesce("_to", column)).drop("_at", "_to")
+
+    def apart(edges: DataFrame, moves: DataFrame | None) -> DataFrame:
+        edges = moved(moved(edges, "x", moves), "y", moves).where("x <> y")
+        return durable(edges.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")))
+
+    edges, rounds = apart(links.select("x", "y"), labels), []
+    while not edges.isEmpty():
+        nearest = durable(edges.groupBy(F.col("y").alias("node")).agg(F.min("x").alias("component")))
+        moves = nearest
+        while True:  # four times as far each time
+            half = moved(moves, "component", moves).withColumn("_half", F.col("component"))
+            before, moves = moves, durable(moved(half, "component", half))
+            forget(before)
+            if moves.where("component <> _half").isEmpty():
+                break
+        rounds.append(moves)
+        moves = moves.drop("_half")
+        before, edges = edges, apart(edges, moves)
+        forget(before)
+        labels = moves if labels is None else moved(labels, "component", moves).unionByName(moves)
+    labels = durable(labels if labels is not None else edges.select(F.col("y").alias("node"), F.col("x").alias("component")))
+    forget(edges, *rounds)
+    return labels
 
 
 def labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -629,24 +646,22 @@ def node_components(docs: DataFrame, sketched: DataFrame, nodes: DataFrame, text
         return None
     shared = rows.groupBy("node").agg(F.count(F.lit(1)).alias("_shared"))
     distinct = durable(distinct.join(shared, "node").withColumn("most", F.col("n") - F.col("posted") + F.col("_shared")).drop("_shared"))
-    links, labels = None, None
+    labels = None
 
     def add(found: DataFrame) -> None:
-        nonlocal links, labels
-        found = verify(found, texts, k, threshold)
+        nonlocal labels
         if not found.isEmpty():
-            links = found if links is None else durable(links.union(found))
-            labels = components(links)
+            before, labels = labels, components(found, labels)
+            forget(before)
+        forget(found)
 
     bands = band_keys(rows) if ROUNDS else None
     for number in range(len(ROUNDS)):
-        add(band_pairs(bands, distinct, labels, number, threshold))
+        add(verify(band_pairs(bands, distinct, labels, number, threshold), texts, k, threshold))
     forget(bands, texts)
     remaining = durable(open_lists(labelled(rows, labels)))
     forget(rows)
-    found = divide_skip(remaining, distinct, threshold)
-    if not found.isEmpty():
-        labels = components(found if links is None else links.union(found))
+    add(divide_skip(remaining, distinct, threshold))
     return labels
 
 

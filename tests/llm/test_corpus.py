@@ -1,6 +1,7 @@
 """Corpus operators against brute force, on dirty tables."""
 
 import hashlib
+import random
 import re
 import time
 from collections import Counter
@@ -154,6 +155,21 @@ def test_texts_are_hashed_once(spark, monkeypatch):
     assert len(rows) <= hashed.value < 2 * len(rows)
 
 
+def test_components_go_on_from_those_found(spark, monkeypatch):
+    """Chains, mixed and in order, a star and doubled links; later links join components and write little."""
+    names = random.Random(3).sample(range(-10**9, 10**9), 60)
+    links = list(zip(names, names[1:])) + [(10**10 + i, 10**10 + i + 1) for i in range(40)] + [(2 * 10**10 + i, 2 * 10**10) for i in range(20)]
+    table = lambda pairs: spark.createDataFrame(pairs, "x bigint, y bigint").coalesce(2)
+    first = min(names)
+    expected = {n: first for n in names} | {10**10 + i: 10**10 for i in range(41)} | {2 * 10**10 + i: 2 * 10**10 for i in range(20)}
+    most = jaccard.components(table(links[:-1] + links[:9]))
+    written, real = [], jaccard.durable
+    monkeypatch.setattr(jaccard, "durable", lambda df: written.append(1) or real(df))
+    got = dict(map(tuple, jaccard.components(table(links[-1:] + links[:9]), most).collect()))
+    assert {n: got.get(n, n) for n in expected} == expected and got.keys() <= expected.keys()
+    assert len(written) <= 5
+
+
 def test_written_tables_leave_no_shuffle_files(spark):
     place = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
