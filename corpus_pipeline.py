@@ -8,33 +8,39 @@ from roomtide.llm import decontaminate, jaccard, language, mixing, sharding
 from roomtide.session import fresh_path, remove, scratch, tune
 
 
+def prepare(spark: SparkSession) -> None:
+    """Settings of every stage. Whole documents go to Python in batches that rows alone would let grow to tens of MB."""
+    tune(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; what the classifier rejects goes."""
-    tune(spark)
+    prepare(spark)
     return language.keep_recognised(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of documents linked at five words and 0.8: the one with the smallest id."""
-    tune(spark)
+    prepare(spark)
     return jaccard.keep_one(docs, shingle=5, threshold=80)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    tune(spark)
+    prepare(spark)
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or left out so that the sources reach their target weights."""
-    tune(spark)
+    prepare(spark)
     return mixing.mixed_documents(docs)
 
 
 def sharding_plan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the shard each goes to; equal texts share one."""
-    tune(spark)
+    prepare(spark)
     return sharding.sharded_documents(docs)
 
 

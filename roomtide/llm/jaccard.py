@@ -52,7 +52,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from roomtide.llm.common import LOWER, SPACE_GAPS, Hasher, Words, blocks, fresh, mixed, named, plainly_named, portable, text_bytes
+from roomtide.llm.common import LOWER, SPACE_GAPS, Hasher, Words, blocks, mixed, named, portable, text_bytes
 from roomtide.session import durable, forget
 
 portable(__name__)
@@ -668,14 +668,14 @@ def node_components(docs: DataFrame, sketched: DataFrame, nodes: DataFrame, text
 def linked_components(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD
 ) -> DataFrame:
-    """(id, n_shingles, component, component_id) of every document; component is null without shingles."""
+    """(id, n_shingles, node, text_key, component, component_id) of every document; component is null without shingles."""
     sketched = sketches(docs, id_col, text_col, shingle, threshold)
     nodes = durable(sketched.drop("own"))
-    members = durable(labelled(nodes.select("id", "n", "node"), node_components(docs, sketched, nodes, text_col, shingle, threshold)))
+    members = durable(labelled(nodes.select("id", "n", "node", "text_key"), node_components(docs, sketched, nodes, text_col, shingle, threshold)))
     smallest = members.where("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("_first"))
     out = members.join(smallest, "component", "left")
     return out.select(
-        "id", F.col("n").alias("n_shingles"), "node", "component",
+        "id", F.col("n").alias("n_shingles"), "node", "text_key", "component",
         F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("_first")).alias("component_id"),
     )
 
@@ -693,26 +693,15 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     found = durable(linked_components(docs, id_col=id_col, text_col=text_col, shingle=shingle, threshold=threshold))
     first = found.where(F.col("component").isNotNull() & F.col("id").eqNullSafe(F.col("component_id")))
     # copies of one row may share the smallest id, and so may two nodes: one node is kept, and one row of it
-    kept = durable(first.groupBy("component").agg(F.min("node").alias("_kept")).select("_kept"))
-    chosen = durable(first.join(kept, first["node"] == kept["_kept"]).groupBy("node").agg(
-        F.first("id").alias("_kept_id"), F.count(F.lit(1)).alias("_times")
-    ))
-    repeated = not chosen.where("_times > 1").isEmpty()
-    node, columns = fresh(docs, "node"), docs.columns
-    plain, text_at = plainly_named(docs), f"c{columns.index(text_col)}"
-    schema = plain.select("*", F.lit(None).cast("bigint").alias("node")).schema
-
-    def mark(batches):
-        hasher = Hasher()
-        for batch in blocks(batches, text_at):
-            grams, bounds = shingle_sets(batch.column(batch.schema.get_field_index(text_at)), hasher, shingle)
-            f = NodeFacts(grams, bounds, threshold)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(f.node, mask=f.n == 0)], names=[*batch.schema.names, "node"])
-
-    marked = plain.mapInArrow(mark, schema).toDF(*columns, node)
-    rows = marked.select(F.struct(*[named(c) for c in columns]).alias("_doc"), F.col(node).alias("node"), named(id_col).alias("_id"))
-    staying = rows.join(chosen, "node").where(F.col("_id").eqNullSafe(F.col("_kept_id")))
+    kept = first.groupBy("component").agg(F.min("node").alias("_kept")).select("_kept")
+    chosen = durable(first.join(kept, first["node"] == kept["_kept"]).groupBy("id", "text_key", "node").agg(F.count(F.lit(1)).alias("_times")))
+    repeated = not chosen.groupBy("node").agg(F.sum("_times").alias("_times")).where("_times > 1").isEmpty()
+    # id and text tell a document; texts need not be hashed to shingles again
+    alone = found.where("node IS NULL").select("id", "text_key", "node").distinct()
+    wanted = durable(chosen.select("id", "text_key", "node").unionByName(alone))
+    columns = docs.columns
+    rows = docs.select(F.struct(*[named(c) for c in columns]).alias("_doc"), named(id_col).alias("_id"), F.xxhash64(named(text_col)).alias("_key"))
+    staying = rows.join(wanted, (F.col("_key") == F.col("text_key")) & F.col("_id").eqNullSafe(F.col("id")))
     if repeated:
-        staying = staying.dropDuplicates(["node"])
-    staying = staying.select("_doc").unionByName(rows.where(F.col("node").isNull()).select("_doc"))
+        staying = staying.where("node IS NOT NULL").dropDuplicates(["node"]).unionByName(staying.where("node IS NULL"))
     return staying.select(*[F.col("_doc").getField(c).alias(c) for c in columns])

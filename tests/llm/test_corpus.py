@@ -170,6 +170,21 @@ def test_components_go_on_from_those_found(spark, monkeypatch):
     assert len(written) <= 5
 
 
+def test_keep_one_hashes_texts_once(spark, monkeypatch):
+    """The documents that stay are told by id and text; no second or third pass makes their shingles."""
+    rows = [(i, sentence(200 + i, 40)) for i in range(200)] + [(300, sentence(200, 40)), (301, None), (301, None), (302, " "), (None, sentence(201, 40))]
+    hashed, sets = spark.sparkContext.accumulator(0), jaccard.shingle_sets
+
+    def counted(texts, hasher, k):
+        hashed.add(len(texts))
+        return sets(texts, hasher, k)
+
+    monkeypatch.setattr(jaccard, "shingle_sets", counted)
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert Counter(map(tuple, kept.collect())) == Counter(r for r in rows if r[0] not in (300, None))
+    assert hashed.value < 1.5 * len(rows)
+
+
 def test_written_tables_leave_no_shuffle_files(spark):
     place = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
