@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from roomtide.llm.common import BLOCK_BYTES, Hasher, blocks, mixed, portable, text_bytes
-from roomtide.session import durable
+from roomtide.session import durable, forget
 
 portable(__name__)
 
@@ -73,20 +73,19 @@ def segments(buf: np.ndarray, offsets: np.ndarray, hasher: Hasher, sums: np.ndar
     if n < length:
         empty = np.zeros(0, np.int64)
         return empty, empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
-    at = np.arange(n - GRAM + 1)
-    grams = hasher.ranges(sums, at, at + GRAM)
-    ranked = (grams & ~PLACE) | (PLACE - at.astype(np.uint64))
-    place = (PLACE - (sliding_min(ranked, length - GRAM + 1) & PLACE)).astype(np.int64)
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    starts = np.flatnonzero(np.arange(length, n + 1) <= offsets[1:][doc[:n - length + 1]])
-    place, own = place[starts], doc[starts]
+    grams = mixed((sums[GRAM:] - sums[:-GRAM]) * hasher.down[:n - GRAM + 1])
+    ranked = (grams & ~PLACE) | np.arange(int(PLACE), int(PLACE) - len(grams), -1).astype(np.uint64)
+    place = PLACE - (sliding_min(ranked, length - GRAM + 1) & PLACE)
+    room = np.repeat(offsets[1:] - length, np.diff(offsets))[:n - length + 1]
+    starts = np.flatnonzero(np.arange(n - length + 1) <= room)
+    place = place[starts].astype(np.int64)
     new = np.ones(len(starts), dtype=bool)
-    new[1:] = (place[1:] != place[:-1]) | (own[1:] != own[:-1])
+    new[1:] = place[1:] != place[:-1]  # anchors of different texts stand at different places
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(starts))[:len(first)] - 1
     a, b, p = starts[first], starts[last], place[first]
     kind = mixed(hasher.ranges(sums, a, b + length) + (p - a).astype(np.uint64) * np.uint64(length) + (b - a).astype(np.uint64))
-    return own[first], p, a, b, grams[p], kind
+    return np.searchsorted(offsets, a, side="right") - 1, p, a, b, grams[p], kind
 
 
 def packed_place(offset: np.ndarray, p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -94,21 +93,19 @@ def packed_place(offset: np.ndarray, p: np.ndarray, a: np.ndarray, b: np.ndarray
     return ((p - offset) << 20) | ((p - a) << 10) | (p - b)
 
 
-def anchor_rows(docs: DataFrame, text_col: str, length: int, places: bool) -> DataFrame:
-    """(anchor, kind) of all segments, with ``places`` also (text key, place)."""
+def anchor_rows(docs: DataFrame, text_col: str, length: int) -> DataFrame:
+    """(anchor, kind, text key, place) of all segments."""
     def find(batches):
         hasher = Hasher()
-        for batch in blocks(batches, "_text"):
+        for batch in blocks(batches, "_text", BLOCK_BYTES >> 2):  # so that its arrays stay in a core's cache
             buf, offsets = text_bytes(batch.column(0))
             sums = hasher.prefix(buf)
             doc, p, a, b, anchor, kind = segments(buf, offsets, hasher, sums, length)
-            columns = {"anchor": anchor.view(np.int64), "kind": kind.view(np.int64)}
-            if places:
-                columns |= {"key": text_keys(hasher, sums, offsets)[doc], "place": packed_place(offsets[doc], p, a, b)}
-            yield pa.RecordBatch.from_pydict(columns)
+            keys, place = text_keys(hasher, sums, offsets)[doc], packed_place(offsets[doc], p, a, b)
+            columns = (anchor.view(np.int64), kind.view(np.int64), keys, place)
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["anchor", "kind", "key", "place"])
 
-    schema = "anchor bigint, kind bigint" + (", key bigint, place bigint" if places else "")
-    return docs.select(F.col(text_col).alias("_text")).mapInArrow(find, schema)
+    return docs.select(F.col(text_col).alias("_text")).mapInArrow(find, "anchor bigint, kind bigint, key bigint, place bigint")
 
 
 def keyed_texts(docs: DataFrame, text_col: str, id_col: str | None) -> DataFrame:
@@ -131,65 +128,85 @@ def keyed_texts(docs: DataFrame, text_col: str, id_col: str | None) -> DataFrame
 
 # --- suffix array and interval expansion ------------------------------------
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffix array of small non-negative numbers, by prefix doubling; a shorter suffix comes first."""
+def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(order, fewer, just, known): suffixes of small non-negative numbers, sorted by their first ``depth`` symbols at least.
+
+    A shorter suffix comes first. The first sort is by ``known`` symbols, packed into one number; it
+    tells which suffixes share fewer than these, or just one fewer, with the one before them. After it, ties
+    alone are sorted, by the ranks of the parts that follow, three times (in long texts twice) as deep each time.
+    """
     n = len(text)
-    padded = np.concatenate([text.astype(np.uint64) + np.uint64(1), np.zeros(6, np.uint64)])
-    key = np.zeros(n, dtype=np.uint64)
-    for i in range(6):  # six numbers of at most nine bits
-        key = (key << np.uint64(10)) | padded[i:n + i]
-    step = 6
-    while True:
-        order = np.argsort(key)
-        sorted_key = key[order]
-        new = np.ones(n, dtype=bool)
-        new[1:] = sorted_key[1:] != sorted_key[:-1]
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = np.cumsum(new)
-        if rank[order[-1]] == n:
-            return order
-        after = np.zeros(n, dtype=np.int64)
-        if step < n:
-            after[:n - step] = rank[step:]
-        key = (rank.astype(np.uint64) << np.uint64(32)) | after.astype(np.uint64)
-        step *= 2
-
-
-def short_prefixes(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
+    used = np.zeros(int(text.max()) + 1, dtype=bool)
+    used[text] = True
+    codes = np.cumsum(used).astype(np.uint64)  # from 1: beyond the end are zeros
+    bits = int(codes[-1]).bit_length()
+    known = max(min(64 // bits, depth // 2), 1)
+    padded = np.zeros(n + known, dtype=np.uint64)
+    padded[:n] = codes[text]
+    key = padded[:n].copy()
+    for i in range(1, known):
+        key <<= np.uint64(bits)
+        key |= padded[i:n + i]
+    order = np.argsort(key)
+    key = key[order]
+    unlike = np.append(np.uint64(1 << 63), key[1:] ^ key[:-1])
+    fewer = unlike != 0
+    just = fewer & (unlike >> np.uint64(bits) == 0)
+    new, slot = fewer.copy(), np.arange(n)
+    rank = np.zeros(n + 2 * depth, dtype=np.uint64)
+    rank[order] = np.maximum.accumulate(np.where(new, slot, 0)) + 1
+    parts, width = (3, 21) if n < 1 << 21 else (2, 32)
+    step = known
+    while step < depth:
+        tied = np.flatnonzero(~(new & np.append(new[1:], True)))
+        if not len(tied):
+            break
+        at = order[tied]
+        key = rank[at]
+        for part in range(1, parts):
+            key = (key << np.uint64(width)) | rank[at + part * step]
+        by = np.argsort(key)
+        at, key = at[by], key[by]
+        order[tied] = at
+        new[tied[1:]] |= key[1:] != key[:-1]
+        rank[at] = np.maximum.accumulate(np.where(new[tied], tied, 0)) + 1
+        step *= parts
+    return order, fewer, just, known
+
+
+def short_prefixes(order: np.ndarray, fewer: np.ndarray, just: np.ndarray, known: int, length: int) -> np.ndarray:
     """For each place of the suffix array: does the suffix share fewer than ``length`` symbols with the one before it?
 
     Interval expansion on the Burrows-Wheeler transform: the suffixes that begin
     with a string w are an interval; those that begin with cw are the images of
     its rows with c before them. When the intervals of all w with l symbols are
     extended, a right border not seen before has a common prefix of just l.
-    Only such intervals go on to the next round.
+    Only such intervals go on to the next round. The first sort gives the borders
+    below ``known`` symbols, so expansion begins with the intervals of that length.
     """
-    n = len(text)
-    before = text[order - 1]  # the text ends with a separator of its own, so it is a cycle
-    rank = np.empty(n, dtype=np.int64)
-    rank[order] = np.arange(n)
-    image = rank[order - 1]
-    border = np.zeros(n + 1, dtype=bool)
-    border[[0, n]] = True
-    left, right = np.array([0]), np.array([n])
-    where = np.empty(n, dtype=np.int64)
-    for _ in range(length):
+    n = len(order)
+    image = np.empty(n, dtype=np.uint64)
+    image[order] = np.arange(n)
+    image = image[order - 1] << np.uint64(32)  # the text ends with a separator of its own, so it is a cycle
+    border = np.append(fewer, True)
+    right = np.flatnonzero(just[1:]) + 1
+    borders = np.flatnonzero(border)
+    left = borders[np.searchsorted(borders, right) - 1]
+    for _ in range(known, length):
+        if not len(left):
+            break
         sizes = right - left
-        rows = np.repeat(left - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-        source = np.repeat(np.arange(len(left)), sizes)
-        to, symbol = image[rows], before[rows]
-        where[to] = np.arange(len(to))
-        to = np.sort(to)
-        source, symbol = source[where[to]], symbol[where[to]]
-        new = np.ones(len(to), dtype=bool)
-        new[1:] = (source[1:] != source[:-1]) | (symbol[1:] != symbol[:-1]) | (to[1:] != to[:-1] + 1)
+        before = np.cumsum(sizes) - sizes
+        rows = np.repeat(left - before, sizes) + np.arange(sizes.sum())
+        key = np.sort(image[rows] | np.repeat(np.arange(len(left), dtype=np.uint64), sizes))
+        to = (key >> np.uint64(32)).astype(np.int64)
+        new = border[to]  # other symbols c have a border between them
+        new[0] = True
+        new[1:] |= key[1:] - key[:-1] != np.uint64(1 << 32)  # not the next row from the same interval
         first = np.flatnonzero(new)
-        last = np.append(first[1:], len(to)) - 1
-        left, right = to[first], to[last] + 1
+        left, right = to[first], to[np.append(first[1:], len(to)) - 1] + 1
         unseen = ~border[right]
         left, right = left[unseen], right[unseen]
-        if not len(left):
-            break
         border[right] = True
     return border[:n]
 
@@ -206,8 +223,8 @@ def repeated_starts(parts: list[bytes], length: int) -> list[np.ndarray]:
     text[inside] += 2
     text[ends - 1] = 1
     text[-1] = 0
-    order = suffix_array(text)
-    apart = short_prefixes(text, order, length)
+    order, *borders = suffix_array(text, length)
+    apart = short_prefixes(order, *borders, length)
     fits = np.zeros(len(text), dtype=bool)
     for s, size in zip(begins, sizes):
         fits[s:s + max(size - length + 1, 0)] = True
@@ -305,10 +322,12 @@ def hot_matches(cut: DataFrame, length: int) -> DataFrame:
 
 def covered(docs: DataFrame, text_col: str = "text", length: int = LENGTH, group_bytes: int = GROUP_BYTES, hot: int = HOT) -> DataFrame:
     """(key, first, end): byte ranges of each text covered by matches; they may overlap. Written out."""
-    counted = anchor_rows(docs, text_col, length, False).groupBy("anchor").agg(
+    rows = durable(anchor_rows(docs, text_col, length))
+    counted = rows.groupBy("anchor").agg(
         F.count(F.lit(1)).alias("_n"), (F.min("kind") == F.max("kind")).alias("alike")
     ).where("_n > 1").drop("_n")
-    shared = durable(anchor_rows(docs, text_col, length, True).join(counted, "anchor"))
+    shared = durable(rows.join(counted, "anchor"))
+    forget(rows)
     place, before = F.shiftright("place", 20), lambda bits: F.shiftright("place", bits).bitwiseAND(1023)
     begin = place - before(10)
     whole = lambda df: df.select("key", begin.alias("first"), (place - before(0) + length).alias("end"))
@@ -336,26 +355,26 @@ def strip_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     def strip(batches):
         for batch in blocks(batches, "packed"):
-            ids, sizes, packed, found = batch.column(0), *(batch.column(i).to_pylist() for i in (1, 2, 3))
-            removed, flat, kept = [], [], []
-            for size, data, pairs in zip(sizes, packed, found):
+            sizes, packed = batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            times = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(batch.column(3)), 0))
+            first, end = (c.to_numpy() for c in batch.column(3).flatten().flatten())
+            owner = np.repeat(np.arange(batch.num_rows), times)
+            shift = (np.cumsum(sizes) - sizes)[owner]  # as if the texts stood in one line
+            order = np.lexsort((first, owner))
+            first, reach = (first + shift)[order], np.maximum.accumulate((end + shift)[order])
+            new = np.append(True, (owner[1:] != owner[:-1]) | (first[1:] > reach[:-1]))[:len(first)]
+            own, shift = owner[new], shift[new]
+            start, stop = first[new] - shift, reach[np.append(new[1:], True)[:len(new)]] - shift
+            bounds = np.searchsorted(own, np.arange(batch.num_rows + 1))
+            removed = np.diff(np.append(0, np.cumsum(stop - start))[bounds])
+            starts, stops, at, kept = start.tolist(), stop.tolist(), bounds.tolist(), []
+            for d, (size, data) in enumerate(zip(sizes.tolist(), packed)):
                 text = pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True) if size else b""
-                runs: list[list[int]] = []
-                for first, end in sorted((x["first"], x["end"]) for x in pairs or ()):
-                    if runs and first <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], end)
-                    else:
-                        runs.append([first, end])
-                at, rest = 0, []
-                for first, end in runs:
-                    rest.append(text[at:first])
-                    at = end
-                rest.append(text[at:])
-                removed.append(sum(e - s for s, e in runs))
-                flat.append([v for run in runs for v in run])
-                kept.append(b"".join(rest))
+                runs = slice(at[d], at[d + 1])
+                kept.append(b"".join(text[e:s] for e, s in zip([0, *stops[runs]], [*starts[runs], size])))
+            spans = pa.ListArray.from_arrays(pa.array((2 * bounds).astype(np.int32)), pa.array(np.stack([start, stop], axis=1).ravel()))
             yield pa.RecordBatch.from_arrays(
-                [ids, batch.column(1), pa.array(removed, pa.int64()), pa.array(flat, pa.list_(pa.int64())), pa.array(kept, pa.binary())],
+                [batch.column(0), batch.column(1), pa.array(removed), spans, pa.array(kept, pa.binary())],
                 names=["id", "n_bytes", "n_removed", "spans", "kept"],
             )
 

@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from roomtide.llm import lines, repeats
@@ -65,3 +66,31 @@ def test_long_text_is_cut_at_all_its_places(spark, hot):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     assert {r["id"]: bytes(r["kept"]) for r in repeats.strip_repeats(docs, hot=hot).collect()} == expected
     assert expected[1] != texts[1].encode() and expected[5] == texts[5].encode()
+
+
+def test_anchors_hash_each_text_once(spark, monkeypatch):
+    """One pass finds the segments; counting anchors and joining them read what it wrote."""
+    seen, segments = spark.sparkContext.accumulator(0), repeats.segments
+
+    def counted(buf, *rest):
+        seen.add(len(buf))
+        return segments(buf, *rest)
+
+    monkeypatch.setattr(repeats, "segments", counted)
+    words = lambda n, tag: " ".join(f"{tag}{i}" for i in range(n))
+    texts = [words(60, "w") + " " + words(9 * i, f"x{i}y") for i in range(1, 9)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert all(r.n_removed > 200 for r in repeats.strip_repeats(docs).collect())
+    assert seen.value == sum(map(len, texts))
+
+
+def test_suffixes_are_sorted_as_deep_as_asked_and_bounds_found_from_there():
+    draw = random.Random(7)
+    base = draw.choices(range(2, 40), k=300)
+    text = np.array([*base[20:280], 1, *base[:150], *base[140:], 1, *base[100:190], *base[100:190], 0])
+    for depth in (1, 2, 7, 40, 200):
+        order, *borders = repeats.suffix_array(text, depth)
+        head = [tuple(text[i:i + depth]) for i in order]
+        assert sorted(order) == list(range(len(text))) and head == sorted(head)
+        assert borders[-1] <= max(depth // 2, 1)
+        assert repeats.short_prefixes(order, *borders, depth).tolist() == [True, *(x != y for x, y in zip(head, head[1:]))]
