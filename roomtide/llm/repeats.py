@@ -49,6 +49,7 @@ portable(__name__)
 
 LENGTH, GRAM = 200, 32
 GROUP_BYTES, HOT = 1 << 19, 1024
+RUN = 12  # places before a hot anchor whose windows are looked at together first
 PLACE = np.uint64((1 << 31) - 1)
 
 
@@ -239,14 +240,18 @@ def repeated_starts(parts: list[bytes], length: int) -> list[np.ndarray]:
 # --- matches ----------------------------------------------------------------
 
 def cut_segments(kinds: DataFrame, docs: DataFrame, text_col: str, length: int) -> DataFrame:
-    """(anchor, kind, hot, bytes) of one segment of each kind. A text comes once, with all places at which it is cut."""
+    """(anchor, kind, hot, before, bytes) of one segment of each kind; the anchor stands ``before`` bytes in.
+
+    A text comes once, with all places at which it is cut.
+    """
     def cut(batches):
         for batch in blocks(batches, "packed"):
             places = batch.column(2)
             owner = np.repeat(np.arange(batch.num_rows), np.asarray(pa.compute.list_value_length(places)))
             anchor, kind, place, hot = places.flatten().flatten()
             place = np.asarray(place)
-            begin = (place >> 20) - ((place >> 10) & 1023)
+            before = (place >> 10) & 1023
+            begin = (place >> 20) - before
             end = (place >> 20) - (place & 1023) + length
             sizes, packed = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out, known, text = [], -1, b""
@@ -254,14 +259,15 @@ def cut_segments(kinds: DataFrame, docs: DataFrame, text_col: str, length: int)
                 if d != known:
                     known, text = d, pa.decompress(packed[d], decompressed_size=sizes[d], codec="zstd", asbytes=True)
                 out.append(text[first:last])
-            yield pa.RecordBatch.from_arrays([anchor, kind, hot, pa.array(out, pa.binary())], names=["anchor", "kind", "hot", "bytes"])
+            columns = [anchor, kind, hot, pa.array(before), pa.array(out, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "kind", "hot", "before", "bytes"])
 
     places = kinds.groupBy("key").agg(F.collect_list(F.struct("anchor", "kind", "place", "hot")).alias("places"))
     texts = keyed_texts(docs, text_col, None).join(kinds.select("key").distinct(), "key", "left_semi").groupBy("key").agg(
         F.first("size").alias("size"), F.first("packed").alias("packed")
     )
     return texts.join(places, "key").select("size", "packed", "places").mapInArrow(
-        cut, "anchor bigint, kind bigint, hot boolean, bytes binary"
+        cut, "anchor bigint, kind bigint, hot boolean, before bigint, bytes binary"
     )
 
 
@@ -290,34 +296,82 @@ def group_matches(cut: DataFrame, length: int, group_bytes: int) -> DataFrame:
 
 
 def hot_matches(cut: DataFrame, length: int) -> DataFrame:
-    """The same ranges for hot anchors: between the windows whose hash is counted once, all windows of a segment are repeated."""
+    """The same ranges for hot anchors: between the windows whose hash is counted once, all windows of a segment are repeated.
+
+    Equal windows begin equally far before their anchor. The windows that begin in
+    a run of ``RUN`` such places share a core of bytes and lie in a hull. A core
+    counted once settles that its windows are, too, and a hull that comes again that
+    its windows do. Windows become rows where neither holds, and for the first of equal hulls, with which they count double.
+    """
+    def runs(batch):
+        """Bytes, text borders, and of every run its segment, its first and last window start, and the last of a whole run."""
+        buf, offsets = text_bytes(batch.column(3).cast(pa.large_binary()).view(pa.large_string()))
+        before, after = batch.column(2).to_numpy(), np.diff(offsets) - length
+        low = (before - after) // RUN
+        times = before // RUN - low + 1
+        row = np.repeat(np.arange(len(before)), times)
+        start = before[row] - (np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times) + low[row]) * RUN
+        return buf, offsets, row, np.maximum(start - RUN + 1, 0), np.minimum(start, after[row]), start
+
+    def named(batch, row, **columns):
+        keys = [c.take(pa.array(row)) for c in batch.columns[:2]]
+        return pa.RecordBatch.from_arrays([*keys, *map(pa.array, columns.values())], names=["anchor", "kind", *columns])
+
+    def outlines(batches):
+        hasher = Hasher()
+        for batch in blocks(batches, "bytes", BLOCK_BYTES >> 2):
+            buf, offsets, row, first, last, start = runs(batch)
+            sums, base = hasher.prefix(buf), offsets[row]
+            core = hasher.ranges(sums, base + start, base + start + length - RUN + 1)
+            hull = mixed(hasher.ranges(sums, base + first, base + last + length) + (start - first).astype(np.uint64) * np.uint64(RUN) + (start - last).astype(np.uint64))
+            yield named(batch, row, first=first, last=last, core=core.view(np.int64), hull=hull.view(np.int64))
+
     def windows(batches):
         hasher = Hasher()
-        for batch in blocks(batches, "bytes", BLOCK_BYTES >> 1):
-            buf, offsets = text_bytes(batch.column(2).cast(pa.large_binary()).view(pa.large_string()))
-            doc = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-            at = np.flatnonzero(np.arange(length, len(buf) + length) <= offsets[1:][doc])
+        for batch in blocks(batches, "bytes", BLOCK_BYTES >> 2):
+            buf, offsets, row, first, last, _ = runs(batch)
+            weight = np.zeros(len(row), dtype=np.int64)
+            by_place = np.argsort(offsets[row] + first)
+            place = (offsets[row] + first)[by_place]
+
+            def listed(column):
+                """Which runs the lists of a column name, by their first start, and the other number there."""
+                times = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(batch.column(column)), 0))
+                start, other = (c.to_numpy() for c in batch.column(column).flatten().flatten())
+                return by_place[np.searchsorted(place, np.repeat(offsets[:-1], times) + start)], other
+
+            stands, times = listed(5)
+            weight[stands] = np.minimum(times, 2)
+            weight[listed(4)[0]] = 0
+            chosen = weight > 0
+            row, first, size, weight = row[chosen], first[chosen], (last - first + 1)[chosen], weight[chosen]
+            row, weight, start = np.repeat(row, size), np.repeat(weight, size), np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+            at = offsets[row] + start
             hashes = hasher.ranges(hasher.prefix(buf), at, at + length).view(np.int64)
-            row = pa.array(doc[at])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(row), batch.column(1).take(row), pa.array(at - offsets[:-1][doc[at]]), pa.array(hashes)],
-                names=["anchor", "kind", "start", "hash"],
-            )
-
-    rows = cut.select("anchor", "kind", "bytes").mapInArrow(windows, "anchor bigint, kind bigint, start bigint, hash bigint")
-    once = rows.groupBy("anchor", "hash").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("kind").alias("kind"), F.min("start").alias("start")
-    ).where("_n = 1")
-    borders = once.groupBy("anchor", "kind").agg(F.collect_list("start").alias("_once"))
+            yield named(batch, row, start=start, weight=weight, hash=hashes)
+
+    key = ["anchor", "kind"]
+    cut = cut.select(*key, "before", "bytes")
+    outline = durable(cut.mapInArrow(outlines, "anchor bigint, kind bigint, first bigint, last bigint, core bigint, hull bigint"))
+    run = F.struct("kind", "first", "last")
+    alone = outline.groupBy("anchor", "core").agg(F.count(F.lit(1)).alias("_n"), F.min(run).alias("_at")).where("_n = 1")
+    alone = alone.groupBy("anchor", "_at.kind").agg(F.collect_list(F.struct("_at.first", "_at.last")).alias("_alone"))
+    hulls = outline.groupBy("anchor", "hull").agg(F.count(F.lit(1)).alias("_n"), F.min(run).alias("_at"))
+    hulls = hulls.groupBy("anchor", "_at.kind").agg(F.collect_list(F.struct("_at.first", "_n")).alias("_hulls"))
+    segment = durable(cut.join(alone, key, "left").join(hulls, key, "left"))
+    rows = segment.mapInArrow(windows, "anchor bigint, kind bigint, start bigint, weight bigint, hash bigint")
+    once = rows.groupBy("anchor", "hash").agg(F.sum("weight").alias("_n"), F.min(F.struct("kind", "start")).alias("_at")).where("_n = 1")
+    once = once.groupBy("anchor", "_at.kind").agg(F.collect_list(F.struct(F.col("_at.start").alias("first"), F.col("_at.start").alias("last"))).alias("_once"))
     after = (F.octet_length("bytes") - length + 1).cast("bigint")
-    segment = cut.select("anchor", "kind", after.alias("_after")).join(borders, ["anchor", "kind"], "left")
-    none, before = F.lit([]).cast("array<bigint>"), F.array(F.lit(-1).cast("bigint"))
-    edges = segment.select("anchor", "kind", F.array_sort(F.concat(before, F.coalesce("_once", none), F.array("_after"))).alias("_e"))
+    segment = segment.select(*key, "_alone", after.alias("_after")).join(once, key, "left")
+    ends = F.array(*[F.struct(x.alias("first"), x.alias("last")) for x in (F.lit(-1).cast("bigint"), F.col("_after"))])
+    none = F.slice(ends, 1, 0)
+    edges = segment.select(*key, F.array_sort(F.concat(ends, F.coalesce("_alone", none), F.coalesce("_once", none))).alias("_e"))
     pairs = F.zip_with(
         F.expr("slice(_e, 1, size(_e) - 1)"), F.expr("slice(_e, 2, size(_e) - 1)"),
-        lambda x, y: F.struct((x + 1).alias("first"), (y - 1).alias("last")),
+        lambda x, y: F.struct((x["last"] + 1).alias("first"), (y["first"] - 1).alias("last")),
     )
-    return edges.select("anchor", "kind", F.inline(F.filter(pairs, lambda r: r["first"] <= r["last"])))
+    return edges.select(*key, F.inline(F.filter(pairs, lambda r: r["first"] <= r["last"])))
 
 
 def covered(docs: DataFrame, text_col: str = "text", length: int = LENGTH, group_bytes: int = GROUP_BYTES, hot: int = HOT) -> DataFrame:
@@ -338,7 +392,7 @@ def covered(docs: DataFrame, text_col: str = "text", length: int = LENGTH, group
     wanted = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("_kinds"), F.min("times").alias("_least")).where("_least = 1")
     to_cut = kinds.join(wanted, "anchor").select("anchor", "kind", "key", "place", (F.col("_kinds") > hot).alias("hot"))
     cut = durable(cut_segments(to_cut, docs, text_col, length))
-    found = group_matches(cut.where(~F.col("hot")).drop("hot"), length, group_bytes)
+    found = group_matches(cut.where(~F.col("hot")).drop("hot", "before"), length, group_bytes)
     found = found.unionByName(hot_matches(cut.where("hot"), length))
     single = kinds.where("times = 1").join(found, ["anchor", "kind"]).select(
         "key", (begin + F.col("first")).alias("first"), (begin + F.col("last") + length).alias("end")

@@ -94,3 +94,34 @@ def test_suffixes_are_sorted_as_deep_as_asked_and_bounds_found_from_there():
         assert sorted(order) == list(range(len(text))) and head == sorted(head)
         assert borders[-1] <= max(depth // 2, 1)
         assert repeats.short_prefixes(order, *borders, depth).tolist() == [True, *(x != y for x, y in zip(head, head[1:]))]
+
+
+def test_windows_of_hot_anchors_are_rows_only_where_runs_leave_them_open(spark, monkeypatch):
+    """One passage in ever different surroundings, cut at many places; brute force over all windows."""
+    draw = random.Random(11)
+    letters = lambda n: "".join(draw.choices("abcdefgh \n", k=n))
+    passage = letters(500)
+    texts = [letters(90) + passage[draw.randrange(0, 200):draw.randrange(260, 500)] + letters(300) for _ in range(40)]
+    seen = Counter(t[i:i + 200] for t in texts for i in range(len(t) - 199))
+    expected = Counter()
+    for t in texts:
+        gone = bytearray(len(t))
+        for i in range(len(t) - 199):
+            if seen[t[i:i + 200]] > 1:
+                gone[i:i + 200] = b"\x01" * 200
+        expected["".join(c for c, g in zip(t, gone) if not g).encode()] += 1
+    docs, kept = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), []
+    frame = type(docs)
+    arrow = frame.mapInArrow
+
+    def noted(self, f, *rest):
+        out = arrow(self, f, *rest)
+        if f.__name__ == "windows":
+            kept.append((self, out := repeats.durable(out)))
+        return out
+
+    monkeypatch.setattr(frame, "mapInArrow", noted)
+    assert Counter(bytes(r["kept"]) for r in repeats.strip_repeats(docs, hot=0).collect()) == expected
+    (segments, rows), = kept
+    windows = segments.selectExpr("sum(octet_length(bytes) - 199)").first()[0]
+    assert 0 < rows.count() < windows / 2
