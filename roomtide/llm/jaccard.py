@@ -67,6 +67,7 @@ SLICED, MARKED = 1000, 1 << 18  # nodes whose postings are unfolded together, po
 SLICE = 256  # nodes of a band that are sorted together
 KNOWN_BYTES = 64 << 20  # shingle sets that a verifying task keeps
 BUNDLE = 256  # nodes of a bundle that make a piece
+LINKED = 1 << 12  # links for which a round of components has a task of its own
 LONG_LIST, PROBED = 32, 8  # lists above are set aside; so many nodes are looked up in them one by one
 HEAP_ENTRIES = 256  # entries that a heap merges
 
@@ -340,7 +341,14 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     In each round every component with a smaller neighbour goes over to the
     smallest, and on to where that one ends up; links within one component then drop
     out, so later rounds work on what is still to be joined. ``labels`` stay as they are.
+    The tables of the rounds are written by a task per ``LINKED`` links: most are
+    small, and many files of a few rows cost more than the rows.
     """
+    tasks = links.count() // LINKED + 1
+
+    def written(rows: DataFrame) -> DataFrame:
+        return durable(rows.coalesce(tasks))
+
     def moved(rows: DataFrame, column: str, moves: DataFrame | None) -> DataFrame:
         """``rows`` with the nodes of ``column`` replaced by where ``moves`` (node, component) puts them."""
         if moves is None:
@@ -350,15 +358,15 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
 
     def apart(edges: DataFrame, moves: DataFrame | None) -> DataFrame:
         edges = moved(moved(edges, "x", moves), "y", moves).where("x <> y")
-        return durable(edges.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")))
+        return written(edges.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")))
 
     edges, rounds = apart(links.select("x", "y"), labels), []
     while not edges.isEmpty():
-        nearest = durable(edges.groupBy(F.col("y").alias("node")).agg(F.min("x").alias("component")))
+        nearest = written(edges.groupBy(F.col("y").alias("node")).agg(F.min("x").alias("component")))
         moves = nearest
         while True:  # four times as far each time
             half = moved(moves, "component", moves).withColumn("_half", F.col("component"))
-            before, moves = moves, durable(moved(half, "component", half))
+            before, moves = moves, written(moved(half, "component", half))
             forget(before)
             if moves.where("component <> _half").isEmpty():
                 break

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from roomtide.llm import decontaminate, jaccard, language, licenses, mixing, quality, repeats, sharding
-from roomtide.session import durable
+from roomtide.session import durable, setting
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_words bigint, _size string"
 ALNUM, SPACE = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), re.compile(r"[^\x20\x09-\x0D]+")
@@ -212,6 +212,26 @@ def test_keep_one_of_each_group(docs, rows):
     assert got == expected
 
 
+def test_rounds_of_components_take_tasks_by_their_links(spark, monkeypatch):
+    files, durable = [], jaccard.durable
+
+    def noted(df):
+        table = durable(df)
+        files.append(len(table.inputFiles()))
+        return table
+
+    monkeypatch.setattr(jaccard, "durable", noted)
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 103), (101, 103)], "x bigint, y bigint")
+    with setting(spark, "spark.sql.shuffle.partitions", "16"), setting(spark, "spark.sql.adaptive.coalescePartitions.enabled", "false"):
+        got = dict(map(tuple, jaccard.components(links).collect()))
+        assert got == {**{i: 0 for i in range(1, 41)}, 101: 100, 103: 100}
+        assert max(files[:-1]) == 1
+        files.clear()
+        monkeypatch.setattr(jaccard, "LINKED", 10)
+        assert dict(map(tuple, jaccard.components(links).collect())) == got
+        assert max(files[:-1]) == 5
+
+
 def test_pipeline_stage_links_at_five_words_and_80(spark):
     base, block = sentence(70, 100), sentence(71, 22)
     rows = [(1, base), (2, f"{base} {block}"), (3, sentence(72, 100))]
