@@ -22,9 +22,9 @@ to groups in which all their matches must lie:
    separate suffixes that agree in ``length`` bytes or more, a match.
 4. An anchor with more than ``HOT`` kinds of segments (a very common line in ever
    different surroundings) is not collected: the hashes of its windows are
-   counted with ordinary aggregation instead. Only windows counted once are told
-   to their segments, whose other windows are matches; so a window that stands in
-   thousands of segments is one row after the partial sums, and none comes back.
+   counted with ordinary aggregation instead, where runs of neighbouring windows
+   are not settled by what all of a run share. Only what is counted once is told
+   to the segments, whose other windows are matches.
 5. The matches of each text are merged into removed runs.
 
 Equal texts have one key (64 bits) and are cut alike. Anchors, segments and hot
